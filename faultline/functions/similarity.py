@@ -66,28 +66,32 @@ def compare_errors(left, right, text_score=None) -> Column:
     return F.least(F.lit(1.0), score)
 
 
-def _common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word row per letter of b."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    open_cells = full
-    for ch in b:
-        hit = open_cells & where.get(ch, 0)
-        open_cells = ((open_cells + hit) | (open_cells - hit)) & full
-    return len(a) - open_cells.bit_count()
-
-
-@F.pandas_udf(T.DoubleType())
-def _edit_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            2.0 * _common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
-            for a, b in zip(left, right)
-        ],
-        dtype="float64",
-    )
+def _edit_ratio_udf():
+    """The measure as a pandas UDF. All of it is nested here, so that it travels with the
+    job and executors need no copy of this package."""
+
+    def common(a: str, b: str) -> int:
+        """Length of the longest common subsequence: one bit row per letter of b."""
+        where: dict[str, int] = {}
+        for i, ch in enumerate(a):
+            where[ch] = where.get(ch, 0) | (1 << i)
+        full = (1 << len(a)) - 1
+        row = full
+        for ch in b:
+            hit = row & where.get(ch, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(a) - row.bit_count()
+
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                2.0 * common(a, b) / (len(a) + len(b)) if a and b else 0.0
+                for a, b in zip(left, right)
+            ],
+            dtype="float64",
+        )
+
+    return F.pandas_udf(ratio, T.DoubleType())
 
 
 def edit_similarity(left, right) -> Column:
@@ -97,7 +101,7 @@ def edit_similarity(left, right) -> Column:
     pairs go to Python in Arrow batches. Call it on pruned pairs only.
     """
     head = lambda c: F.lower(F.substring(_col(c), 1, EDIT_CHARS))
-    return _edit_ratio(head(left), head(right))
+    return _edit_ratio_udf()(head(left), head(right))
 
 
 def issue_text(summary="summary", description="description", labels="labels", comments=None):
