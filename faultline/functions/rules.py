@@ -55,7 +55,8 @@ class Rule:
         if literal:
             anchored, text = literal
             return line.startswith(text) if anchored else line.contains(text)
-        return line.rlike((_FLAGS_NOCASE if self.ignore_case else _FLAGS) + self.regex)
+        found = line.rlike((_FLAGS_NOCASE if self.ignore_case else _FLAGS) + self.regex)
+        return line.contains(self.stem) & found if self.stem else found
 
     def needed_text(self) -> str | None:
         literal = self._literal()
@@ -157,34 +158,36 @@ WARNING_RULES = (
     Rule(r"warning", 3, "builtin:warning", stem_lower="warn", ignore_case=True),
 )
 
-# A line holding any of these (case-insensitive) is never an error.
+# A line holding any of these (case-insensitive) is never an error. The
+# second text is lower-case text that every match contains.
 IGNORE_PATTERNS = (
-    r"UVM_ERROR\s*:\s*0",
-    r"UVM_ERROR reports\s+:\s+0",
-    r"UVM_FATAL\s*:\s*0",
-    r"UVM_FATAL reports\s+:\s+0",
-    r"grep UVM_ERROR",
-    r"grep UVM_FATAL",
-    r"-fail_on_regex.*UVM_(FATAL|ERROR)",
-    r"^ERROR Param: unable to open file:",
-    r"Dumping state in current store \(Lookup error",
-    r"possible error on line",
-    r"^perl .*\/check_results\.pl .* -type errors",
-    r"^ERROR: File .* is non-zero",
-    r"Runtime log has errors in Simulator",
-    r"Green Light: no errorflag",
-    r"grep ERROR .*\.log",
-    r"To reproduce the error using the extracted testcase",
-    r"To reproduce the error using the original design",
-    r'grep -v "To reproduce the error"',
-    r"Your project demotes this error to a warning",
-    r"Number of demoted UVM_FATAL reports",
-    r"Model will not work properly because atleast one pin is not connected",
-    r"grep.*ERROR.*mail.*FAIL",
-    r"perl .*\/tb_log_grep\.pl.*ERROR",
-    r"FlexNet\s+Licensing\s+(checkout|error)",
-    r"error in a future release\s*$",
-    r": no version information available",
+    (r"UVM_ERROR\s*:\s*0", "uvm_error"),
+    (r"UVM_ERROR reports\s+:\s+0", "uvm_error reports"),
+    (r"UVM_FATAL\s*:\s*0", "uvm_fatal"),
+    (r"UVM_FATAL reports\s+:\s+0", "uvm_fatal reports"),
+    (r"grep UVM_ERROR", "grep uvm_error"),
+    (r"grep UVM_FATAL", "grep uvm_fatal"),
+    (r"-fail_on_regex.*UVM_(FATAL|ERROR)", "-fail_on_regex"),
+    (r"^ERROR Param: unable to open file:", "error param: unable to open file:"),
+    (r"Dumping state in current store \(Lookup error", "dumping state in current store"),
+    (r"possible error on line", "possible error on line"),
+    (r"^perl .*\/check_results\.pl .* -type errors", "check_results.pl"),
+    (r"^ERROR: File .* is non-zero", " is non-zero"),
+    (r"Runtime log has errors in Simulator", "runtime log has errors"),
+    (r"Green Light: no errorflag", "green light: no errorflag"),
+    (r"grep ERROR .*\.log", "grep error "),
+    (r"To reproduce the error using the extracted testcase", "to reproduce the error"),
+    (r"To reproduce the error using the original design", "to reproduce the error"),
+    (r'grep -v "To reproduce the error"', "to reproduce the error"),
+    (r"Your project demotes this error to a warning", "your project demotes"),
+    (r"Number of demoted UVM_FATAL reports", "number of demoted"),
+    (r"Model will not work properly because atleast one pin is not connected",
+     "model will not work properly"),
+    (r"grep.*ERROR.*mail.*FAIL", "grep"),
+    (r"perl .*\/tb_log_grep\.pl.*ERROR", "tb_log_grep.pl"),
+    (r"FlexNet\s+Licensing\s+(checkout|error)", "flexnet"),
+    (r"error in a future release\s*$", "error in a future release"),
+    (r": no version information available", ": no version information"),
 )
 
 # A line naming this program is ignored unless it reports a caught signal.
@@ -231,12 +234,18 @@ def may_match(line, rules=ERROR_RULES) -> Column:
     )
 
 
-def ignored(line) -> Column:
-    """True for lines that no analysis looks at."""
+def folded(line) -> Column:
+    """Lower-case line in which the letters that fold to s, k and i are plain."""
+    return F.lower(F.translate(_col(line), "\u017f\u212a\u0131\u0130", "skii"))
+
+
+def ignored(line, low=None) -> Column:
+    """True for lines that no analysis looks at. ``low`` is the folded line, if at hand."""
     line = _col(line)
+    low = folded(line) if low is None else low
     program = line.contains(IGNORE_PROGRAM) & ~line.rlike(_FLAGS + CAUGHT_SIGNAL)
-    listed = line.rlike(_FLAGS_NOCASE + "|".join(f"(?:{p})" for p in IGNORE_PATTERNS))
-    return program | listed
+    listed = [low.contains(stem) & line.rlike(_FLAGS_NOCASE + p) for p, stem in IGNORE_PATTERNS]
+    return program | _any(listed)
 
 
 def classify(line, rules=ERROR_RULES) -> Column:

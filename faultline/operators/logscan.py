@@ -42,25 +42,34 @@ def _so_far(*keys) -> Window:
 # --------------------------------------------------------------------------- per line
 
 
-def ignored_lines(lines: DataFrame) -> DataFrame:
-    return lines.where(R.ignored("line"))
-
-
 def _once(value) -> Column:
     """``value(line)`` evaluated once per row, outside the generated code of the stage.
 
     The rule chain is too long for the method size the JVM compiles, and a filter on its
     result would be pushed below it and evaluate it twice. As the output of a generator
-    it is neither inlined nor repeated; it only ever sees lines the cheap tests let pass.
+    it is neither inlined nor repeated.
     """
     return F.explode(F.transform(F.array("line"), value))
 
 
+def _unless_ignored(value) -> Column:
+    """The same, null for ignored lines."""
+    pair = F.array(F.struct("line", R.folded("line").alias("low")))
+    return F.explode(F.transform(
+        pair, lambda t: F.when(~R.ignored(t["line"], t["low"]), value(t["line"]))
+    ))
+
+
+def ignored_lines(lines: DataFrame) -> DataFrame:
+    kept = lines.withColumn("kept", _unless_ignored(lambda t: F.lit(True)))
+    return kept.where(F.col("kept").isNull()).drop("kept")
+
+
 def classified_lines(lines: DataFrame, rules=R.ERROR_RULES) -> DataFrame:
     """Lines an error rule matches, with level and pos; ignored lines are left out."""
     return (
         lines.where(R.may_match("line", rules))
-        .withColumn("rule", _once(lambda t: F.when(~R.ignored(t), R.classify(t, rules))))
+        .withColumn("rule", _unless_ignored(lambda t: R.classify(t, rules)))
         .where(F.col("rule").isNotNull())
         .withColumn("level", R.rule_level("rule", rules))
         .withColumn("pos", R.rule_pos("rule", rules))
@@ -84,13 +93,13 @@ def _state_lines(lines: DataFrame, rules, detect: bool, tools: bool) -> DataFram
     no_tool = F.lit(None).cast("string")
 
     def state(t):
-        return F.when(~R.ignored(t), F.struct(
+        return F.struct(
             (R.action(t) if detect else no_action).alias("action"),
             (R.tool_name(t) if tools else no_tool).alias("tool"),
             R.is_marker(t).alias("marker"),
-        ))
+        )
 
-    rows = lines.where(wanted).withColumn("state", _once(state)).where(
+    rows = lines.where(wanted).withColumn("state", _unless_ignored(state)).where(
         F.col("state").isNotNull()
     )
     plain = F.col("state.tool").isNull() & ~F.col("state.marker")
@@ -114,8 +123,7 @@ def tool_events(lines: DataFrame) -> DataFrame:
     """Every tool line with the tool it names."""
     return (
         lines.where(F.col("line").contains(R.TOOL_HEAD))
-        .where(~R.ignored("line"))
-        .withColumn("tool", R.tool_name("line"))
+        .withColumn("tool", _unless_ignored(R.tool_name))
         .where(F.col("tool").isNotNull())
         .select("log_file", "line_no", "tool")
     )
@@ -125,8 +133,7 @@ def log_identity(lines: DataFrame) -> DataFrame:
     """Suite, test and tool of the first action line of each log."""
     found = (
         lines.where(F.col("line").startswith(R.ACTION_HEAD))
-        .where(~R.ignored("line"))
-        .withColumn("action", R.action("line"))
+        .withColumn("action", _unless_ignored(R.action))
         .where(F.col("action").isNotNull())
     )
     return (

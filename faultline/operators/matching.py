@@ -181,11 +181,10 @@ def issue_report(issues: DataFrame, base_url: str, comments: str | None = None)
     from ..functions.text import issue_link
 
     nested = None if comments is None else F.col(comments)
-    return issues.select(
+    return issues.withColumn("solution_summary", S.solution_for_match(comments=nested)).select(
         "issue_key", "summary",
         F.substring("description", 1, DESCRIPTION_CHARS).alias("description"),
-        "status", "resolution",
-        S.solution_for_match(comments=nested).alias("solution_summary"),
+        "status", "resolution", "solution_summary",
         issue_link(base_url, "issue_key").alias("link"),
     )
 

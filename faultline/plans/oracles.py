@@ -148,7 +148,7 @@ def _rule_case(rules, what) -> str:
 
 
 def _classified(rules) -> str:
-    ignore = "|".join(f"(?:{p})" for p in R.IGNORE_PATTERNS)
+    ignore = "|".join(f"(?:{p})" for p, _ in R.IGNORE_PATTERNS)
     return f"""
 SELECT log_file, line_no, line, ign,
        CASE WHEN NOT ign THEN {_rule_case(rules, 'level')} END AS level,
@@ -608,9 +608,20 @@ def _similar_failures() -> dict[str, str]:
     }
 
 
+def _as_text(name: str, body: str) -> str:
+    """Integers that may be missing compare as text."""
+    cols = Q.NULLABLE_INTEGERS.get(name)
+    if not cols:
+        return body
+    texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({texts}) FROM ({body})"
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    add = lambda name, body, extra=None: out.__setitem__(name, _sql(body, extra))
+
+    def add(name, body, extra=None):
+        out[name] = _sql(_as_text(name, body), extra)
 
     # warehouse
     add("status_map", "SELECT DISTINCT status AS name, status AS id FROM tor")

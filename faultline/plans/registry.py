@@ -468,13 +468,34 @@ QUERIES = (
 _NAMES = {"tfidf_pairs": "tfidf_cosine"}
 
 
-def _entry(fn):
+
+# Integers that may be missing; they compare as text, because some engines read a column
+# of integers with gaps as floats.
+_LOG_NUMBERS = ("error_level", "line_number", "num_lines_scanned")
+NULLABLE_INTEGERS = {
+    "failed_tests": ("failed_job_run_ref",),
+    "test_details": ("failed_job_run_ref",),
+    "search_tests_run": ("failed_job_run_ref",),
+    "search_tests_recent": ("failed_job_run_ref",),
+    "job_details": ("command_cmd_id", "command_exit_code"),
+    "failed_tests_with_errors": ("failed_job_run_ref", "error_level"),
+    "test_details_with_errors": ("failed_job_run_ref",) + _LOG_NUMBERS,
+    "test_log_report": _LOG_NUMBERS,
+    "find_solutions": ("rank",),
+    "batch_solutions": ("rank",),
+}
+
+
+def _entry(name, fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _flat(fn(_inputs(spark.sparkContext.applicationId, sf_dir, spark)))
+        out = _flat(fn(_inputs(spark.sparkContext.applicationId, sf_dir, spark)))
+        texts = {c: F.col(c).cast("string") for c in NULLABLE_INTEGERS.get(name, ())}
+        return out.withColumns(texts) if texts else out
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
 
 
 def queries() -> dict:
-    return {_NAMES.get(fn.__name__, fn.__name__): _entry(fn) for fn in QUERIES}
+    names = {_NAMES.get(fn.__name__, fn.__name__): fn for fn in QUERIES}
+    return {name: _entry(name, fn) for name, fn in names.items()}
