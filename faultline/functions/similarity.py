@@ -121,30 +121,47 @@ def _first(array) -> Column:
     return F.get(array, F.lit(0))
 
 
-def _any_word(c, words) -> Column:
-    return F.lower(c).rlike("|".join(words))
+def _let(value, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return _first(F.transform(F.array(value), body))
+
+
+def _holds(low, words) -> Column:
+    held = low.contains(words[0])
+    for w in words[1:]:
+        held = held | low.contains(w)
+    return held
 
 
 def _comment_with(comments, words) -> Column:
-    return _first(F.filter(_col(comments), lambda c: _any_word(c["body"], words)))["body"]
+    return _first(F.filter(_col(comments), lambda c: _let(
+        F.lower(c["body"]), lambda low: _holds(low, words))))["body"]
+
+
+def _sentence(text, pattern, test) -> Column:
+    """First sentence that passes, trimmed and cut."""
+    hits = F.filter(F.split(text, pattern), lambda s: test(F.lower(s)))
+    return F.substring(strip(_first(hits)), 1, SENTENCE_CHARS)
 
 
 def _sentence_by_word(text, words) -> Column:
     """First word of the list that occurs anywhere; then the first sentence holding it."""
-    low = F.lower(text)
-    word = F.when(F.lit(False), F.lit(None).cast("string"))
-    for w in words:
-        word = word.when(low.contains(w), F.lit(w))
-    hits = F.filter(F.split(text, "[.!?]"), lambda s: F.lower(s).contains(word))
-    return F.when(
-        _any_word(text, words), F.substring(strip(_first(hits)), 1, SENTENCE_CHARS)
-    )
+
+    def pick(low):
+        word = F.when(low.contains(words[0]), F.lit(words[0]))
+        for w in words[1:]:
+            word = word.when(low.contains(w), F.lit(w))
+        return word
+
+    return _let(_let(F.lower(text), pick), lambda word: F.when(
+        word.isNotNull(), _sentence(text, "[.!?]", lambda s: s.contains(word))))
 
 
 def _sentence_any_word(text, words) -> Column:
     """First sentence that holds any of the words."""
-    hits = F.filter(F.split(text, "\\."), lambda s: _any_word(s, words))
-    return F.substring(strip(_first(hits)), 1, SENTENCE_CHARS)
+    held = _let(F.lower(text), lambda low: _holds(low, words))
+    return F.when(held, _sentence(text, "\\.", lambda s: _let(
+        s, lambda low: _holds(low, words))))
 
 
 def solution_for_match(resolution="resolution", description="description", comments=None):

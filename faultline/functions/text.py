@@ -44,7 +44,7 @@ def strip(c) -> Column:
 def keyword_set(c) -> Column:
     """All keywords of a text: distinct, in first-seen order. Null gives an empty array."""
     words = F.regexp_extract_all(F.lower(_col(c)), F.lit(_KEYWORD), F.lit(0))
-    noise = F.array(*[F.lit(w) for w in NOISE_WORDS if len(w) > 2])
+    noise = F.split(F.lit(" ".join(w for w in NOISE_WORDS if len(w) > 2)), " ")
     return F.coalesce(F.array_except(words, noise), F.array().cast("array<string>"))
 
 

@@ -103,7 +103,8 @@ def solution_sentences(issues: DataFrame, comments: DataFrame) -> DataFrame:
         "issue_key", F.lit(-1).cast("bigint").alias("seq"), F.col("description").alias("body")
     ).unionByName(comments.select("issue_key", "seq", "body"))
     return (
-        said.select("issue_key", "seq", F.posexplode(F.split("body", "\\.")).alias("pos", "s"))
+        said.where(F.lower("body").rlike("|".join(S.ISSUE_SOLUTION_WORDS)))
+        .select("issue_key", "seq", F.posexplode(F.split("body", "\\.")).alias("pos", "s"))
         .where(F.lower("s").rlike("|".join(S.ISSUE_SOLUTION_WORDS)))
         .select("issue_key", "seq", "pos",
                 F.substring(S.strip("s"), 1, S.SENTENCE_CHARS).alias("sentence"))

@@ -286,13 +286,14 @@ def analyze_logs(
         nothing = F.when(F.col("n_lines") > max_lines, F.lit(cut)).otherwise(nothing)
     rows = _state_lines(lines, rules, detect=detect, tools=True)
     found = _resolve_segments(_segments(rows, block_lines), keep_tool=tool is not None)
+    given = F.lit(tool).cast("string")
     out = totals.join(found, "log_file", "left").select(
         "log_file",
         F.col("act.action.suite").alias("suite"),
         F.col("act.action.test").alias("test"),
         F.coalesce(strip(F.col("best.line")), nothing).alias("signature"),
-        F.coalesce(F.col("best.tool"), F.lit(tool).cast("string"), F.col("last.tool"),
-                   F.lit("unknown")).alias("tool"),
+        F.coalesce(F.col("best.tool"), F.when(F.col("best").isNotNull(), given),
+                   F.col("last.tool"), given, F.lit("unknown")).alias("tool"),
         F.coalesce(-F.col("best.neg"), F.lit(0)).alias("line_number"),
         F.coalesce("best.level", F.lit(1)).alias("error_level"),
         F.coalesce(F.col("best.line"), nothing).alias("error_line"),

@@ -140,8 +140,8 @@ def rank_matches(
     if search:
         issues = issues.where(S.settled("status"))
     rows = staged(issue_profiles(issues, comments))
-    profiles = _profile_table(rows, max_results)
-    queries = (
+    profiles = staged(_profile_table(rows, max_results))
+    queries = staged(
         errors.where(F.size("error_keywords") > 0)
         .groupBy("query")
         .agg(F.any_value("signature").alias("signature"),
