@@ -20,6 +20,9 @@ COMPARE_TEXT_WEIGHT = 0.4
 EDIT_CHARS = 200
 SENTENCE_CHARS = 200
 
+# Fixed value: comments that count as text of an issue.
+TEXT_COMMENTS = 3
+
 # Words that mark a sentence as a solution, in search order.
 MATCH_SOLUTION_WORDS = ("solution", "fix", "resolved", "patch", "workaround", "applied")
 ISSUE_SOLUTION_WORDS = MATCH_SOLUTION_WORDS + ("implemented", "corrected", "updated")
@@ -111,7 +114,7 @@ def issue_text(summary="summary", description="description", labels="labels", co
     if labels is not None:
         parts.append(F.when(F.size(_col(labels)) > 0, F.array_join(_col(labels), " ")))
     if comments is not None:
-        bodies = F.transform(F.slice(_col(comments), 1, 3), lambda c: empty(c["body"]))
+        bodies = F.transform(F.slice(_col(comments), 1, TEXT_COMMENTS), lambda c: empty(c["body"]))
         kept = F.filter(bodies, lambda b: b.isNotNull())
         parts.append(F.when(F.size(kept) > 0, F.array_join(kept, " ")))
     return F.concat_ws(" ", *parts)
@@ -126,7 +129,7 @@ def _let(value, body) -> Column:
     return _first(F.transform(F.array(value), body))
 
 
-def _holds(low, words) -> Column:
+def holds_any(low, words) -> Column:
     held = low.contains(words[0])
     for w in words[1:]:
         held = held | low.contains(w)
@@ -135,7 +138,7 @@ def _holds(low, words) -> Column:
 
 def _comment_with(comments, words) -> Column:
     return _first(F.filter(_col(comments), lambda c: _let(
-        F.lower(c["body"]), lambda low: _holds(low, words))))["body"]
+        F.lower(c["body"]), lambda low: holds_any(low, words))))["body"]
 
 
 def _sentence(text, pattern, test) -> Column:
@@ -159,9 +162,9 @@ def _sentence_by_word(text, words) -> Column:
 
 def _sentence_any_word(text, words) -> Column:
     """First sentence that holds any of the words."""
-    held = _let(F.lower(text), lambda low: _holds(low, words))
+    held = _let(F.lower(text), lambda low: holds_any(low, words))
     return F.when(held, _sentence(text, "\\.", lambda s: _let(
-        s, lambda low: _holds(low, words))))
+        s, lambda low: holds_any(low, words))))
 
 
 def solution_for_match(resolution="resolution", description="description", comments=None):

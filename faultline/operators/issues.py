@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as S
 from ..functions.text import issue_link, keyword_set
 from .matching import in_project, with_status
+from .skew import number_rows
 
 # Default result sizes.
 SEARCH_RESULTS = 50
 TEXT_RESULTS = 20
 
+# How a long thread or a span of seconds is cut into parts that fit a task.
+THREAD_SLICE = 10_000
+DAY = 86_400
+
 
 def _newest(issues: DataFrame, limit: int | None, updated: str) -> DataFrame:
     if limit is None:
@@ -52,22 +57,53 @@ def search_labels(
     return _newest(issues.where(found), max_results, updated)
 
 
-def nested_comments(comments: DataFrame) -> DataFrame:
-    """issue_key, comments: the comments of an issue in order, as an array."""
-    fields = [c for c in ("seq", "author", "body", "created", "updated") if c in comments.columns]
-    return comments.groupBy("issue_key").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("comments")
-    )
+def issue_comments(comments: DataFrame, issue_key: str | None = None) -> DataFrame:
+    """Comments with their position in the thread, one row each.
+
+    A thread stays a set of rows: positions come from slices of the sequence number, so
+    a thread of any length is never gathered.
+    """
+    if issue_key is not None:
+        comments = comments.where(F.col("issue_key") == issue_key)
+    cut = comments.withColumn("slice", F.floor(F.col("seq") / THREAD_SLICE))
+    return number_rows(cut, "issue_key", ["seq"], "slice", "position").drop("slice")
 
 
 def with_comments(issues: DataFrame, comments: DataFrame) -> DataFrame:
-    return issues.join(nested_comments(comments), "issue_key", "left")
+    """Issues with what the text functions need of their comments.
+
+    first_comments: the first three; match_comments and issue_comments: the first one
+    that holds a solution word (of either list), as arrays of at most one; n_comments.
+    """
+    rank = F.row_number().over(Window.partitionBy("issue_key").orderBy("seq"))
+    first = (
+        comments.select("issue_key", "seq", "body")
+        .withColumn("n", rank).where(F.col("n") <= S.TEXT_COMMENTS)
+        .groupBy("issue_key")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("first_comments"))
+    )
+    low = F.lower("body")
+    telling = lambda words: F.min(
+        F.when(S.holds_any(low, words), F.struct("seq", "body")))
+    told = comments.groupBy("issue_key").agg(
+        F.count(F.lit(1)).alias("n_comments"),
+        telling(S.MATCH_SOLUTION_WORDS).alias("m"), telling(S.ISSUE_SOLUTION_WORDS).alias("i"),
+    )
+    return (
+        issues.join(first, "issue_key", "left").join(told, "issue_key", "left")
+        .withColumns({
+            "match_comments": F.array_compact(F.array("m")),
+            "issue_comments": F.array_compact(F.array("i")),
+            "n_comments": F.coalesce("n_comments", F.lit(0)),
+        })
+        .drop("m", "i")
+    )
 
 
 def issue_details(
     issues: DataFrame, comments: DataFrame | None = None, issue_key: str | None = None
 ) -> DataFrame:
-    """Issues with their comments and the sentence that tells the solution."""
+    """Issues with the sentence that tells the solution; ``issue_comments`` has the thread."""
     if issue_key is not None:
         issues = issues.where(F.col("issue_key") == issue_key)
         if comments is not None:
@@ -75,8 +111,8 @@ def issue_details(
     if comments is None:
         return issues.withColumn("solution_summary", S.solution_for_issue())
     return with_comments(issues, comments).withColumn(
-        "solution_summary", S.solution_for_issue(comments="comments")
-    )
+        "solution_summary", S.solution_for_issue(comments="issue_comments")
+    ).drop("first_comments", "match_comments", "issue_comments")
 
 
 def related_issues(issues: DataFrame, links: DataFrame, base_url: str) -> DataFrame:
@@ -119,14 +155,43 @@ def issue_stats(issues: DataFrame) -> DataFrame:
     return rows.rollup("status", "resolution").agg(F.count(F.lit(1)).alias("n_issues"))
 
 
+def _median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Exact median of whole numbers per key: first by day, then inside one or two days.
+
+    No key is sorted as a whole; per key only its days meet, and then the values of the
+    days that hold the middle.
+    """
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "day", F.floor(F.col(value) / DAY)
+    )
+    whole = Window.partitionBy(key)
+    upto = whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = counts.groupBy(key, "day").agg(F.sum("n").alias("in_day"))
+    days = days.withColumn("before", F.coalesce(F.sum("in_day").over(upto), F.lit(0)))
+    days = days.withColumn("total", F.sum("in_day").over(whole))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = days.where(
+        (F.col("before") <= high) & (F.col("before") + F.col("in_day") > low)
+    ).drop("in_day")
+    inside = Window.partitionBy(key, "day").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    near = counts.join(middle, [key, "day"]).withColumn(
+        "start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    )
+    at = lambda r: F.max(
+        F.when((F.col("start") <= r) & (r < F.col("start") + F.col("n")), F.col(value)))
+    return near.groupBy(key).agg(((at(low) + at(high)) / 2).alias(f"median_{value}"))
+
+
 def resolution_time(issues: DataFrame, created: str, updated: str) -> DataFrame:
     """Seconds from creation to last update of settled issues, by status."""
     took = (F.col(updated) - F.col(created)).alias("seconds")
     rows = issues.where(S.settled("status")).select("status", took)
-    return rows.groupBy("status").agg(
+    basic = rows.groupBy("status").agg(
         F.count(F.lit(1)).alias("n_issues"),
         F.avg("seconds").alias("avg_seconds"),
         F.min("seconds").alias("min_seconds"),
         F.max("seconds").alias("max_seconds"),
-        F.percentile("seconds", F.lit(0.5)).alias("median_seconds"),
     )
+    return basic.join(_median(rows, "status", "seconds"), "status", "left")

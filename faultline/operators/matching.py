@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as S
-from ..functions.text import keyword_set, keywords
+from ..functions.text import issue_link, keyword_set, keywords
 from .simjoin import similar_sets
+from .skew import salted_join
 from .stage import staged
 
 # Keywords read from an issue, keywords that select candidates, and the
@@ -39,7 +40,10 @@ def error_queries(errors: DataFrame) -> DataFrame:
 
 
 def issue_profiles(issues: DataFrame, comments: str | None = None) -> DataFrame:
-    """What scoring reads of each issue: words, settled, head, and the profile they form."""
+    """What scoring reads of each issue: words, settled, head, and the profile they form.
+
+    ``comments`` names an array column with the first comments, if they count.
+    """
     text = S.issue_text(labels="labels", comments=comments)
     rows = issues.select(
         "issue_key",
@@ -178,10 +182,7 @@ def rank_matches(
 
 def issue_report(issues: DataFrame, base_url: str, comments: str | None = None) -> DataFrame:
     """What a match shows of an issue, short enough to shuffle."""
-    from ..functions.text import issue_link
-
-    nested = None if comments is None else F.col(comments)
-    return issues.withColumn("solution_summary", S.solution_for_match(comments=nested)).select(
+    return issues.withColumn("solution_summary", S.solution_for_match(comments=comments)).select(
         "issue_key", "summary",
         F.substring("description", 1, DESCRIPTION_CHARS).alias("description"),
         "status", "resolution", "solution_summary",
@@ -195,14 +196,19 @@ def match_issues(
     base_url: str = "",
     min_score: float = 0.3,
     max_results: int = 10,
-    comments: str | None = None,
+    with_comments: bool = False,
     search: bool = False,
 ) -> DataFrame:
-    """Matches of every error ``(id, signature, error_keywords)``, best first by rank."""
+    """Matches of every error ``(id, signature, error_keywords)``, best first by rank.
+
+    With comments, ``issues`` carries the columns ``issues.with_comments`` adds.
+    """
+    first, telling = ("first_comments", "match_comments") if with_comments else (None, None)
     keyed = staged(error_queries(errors.select("id", "signature", "error_keywords")))
-    ranked = rank_matches(keyed, issues, min_score, max_results, comments, search)
-    reported = ranked.join(issue_report(issues, base_url, comments), "issue_key")
-    return keyed.select("id", "query").join(reported, "query").drop("query")
+    ranked = rank_matches(keyed, issues, min_score, max_results, first, search)
+    reported = ranked.join(issue_report(issues, base_url, telling), "issue_key")
+    ids = keyed.select("id", "query")
+    return salted_join(ids, reported, ["query"], F.xxhash64("id")).drop("query")
 
 
 def score_pairs(pairs: DataFrame, text_score: str | None = None) -> DataFrame:

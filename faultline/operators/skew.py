@@ -20,6 +20,20 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], salt: Column,
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 
+def left_lookup(many: DataFrame, few: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join on a key that is often missing.
+
+    All missing keys would hash to one task; here they are spread by ``spread``. Frequent
+    values are left to the skew handling of adaptive execution, which may split them, as
+    nothing after the join needs its partitioning.
+    """
+    left = many.withColumn(
+        "_spread", F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0))
+    )
+    right = few.withColumn("_spread", F.lit(0).cast("bigint"))
+    return left.join(right, [key, "_spread"], "left").drop("_spread")
+
+
 def number_rows(df: DataFrame, key: str, order: list[str], slice_col: str, out: str) -> DataFrame:
     """Number the rows of each key from 1 without sorting a whole key in one task.
 

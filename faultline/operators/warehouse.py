@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .skew import left_lookup
+
 TEST_COLUMNS = (
     "test_object_run_id", "test_name", "block_name", "status", "arch", "conf", "test_group",
     "start_time", "end_time", "cpu_time", "num_error", "num_warning", "host", "random_seed",
@@ -226,23 +228,26 @@ def test_details(
 test_details.__test__ = False  # not a pytest case
 
 
-def log_paths(wh: Warehouse, tests: DataFrame | None = None) -> DataFrame:
-    """test_object_run_id, log_file: log of the newest command of the failed job.
+def with_log_path(wh: Warehouse, tests: DataFrame) -> DataFrame:
+    """Tests with log_file: the log of the newest command of their failed job.
 
     The newest command decides even if its path is missing. Commands of jobs that no
     given test refers to are dropped before they are grouped.
     """
-    if tests is None:
-        tests = wh.test_object_run
-    refs = tests.select("test_object_run_id", "failed_job_run_ref")
-    wanted = refs.where(F.col("failed_job_run_ref").isNotNull())
-    cmds = wh.job_cmd.select("job_run_ref", "job_cmd_id", "log_file").join(
-        wanted.select(F.col("failed_job_run_ref").alias("job_run_ref")), "job_run_ref", "left_semi"
+    wanted = tests.select("failed_job_run_ref").where(F.col("failed_job_run_ref").isNotNull())
+    cmds = wh.job_cmd.select(
+        F.col("job_run_ref").alias("failed_job_run_ref"), "job_cmd_id", "log_file"
+    ).join(wanted, "failed_job_run_ref", "left_semi")
+    newest = cmds.groupBy("failed_job_run_ref").agg(
+        F.max_by(F.nullif(F.col("log_file"), F.lit("")), F.col("job_cmd_id")).alias("log_file")
     )
-    newest = cmds.groupBy("job_run_ref").agg(F.max_by("log_file", "job_cmd_id").alias("path"))
-    return refs.join(
-        newest, refs.failed_job_run_ref == newest.job_run_ref, "left"
-    ).select("test_object_run_id", F.nullif(F.col("path"), F.lit("")).alias("log_file"))
+    return left_lookup(tests, newest, "failed_job_run_ref", F.col("test_object_run_id"))
+
+
+def log_paths(wh: Warehouse, tests: DataFrame | None = None) -> DataFrame:
+    """test_object_run_id, log_file of the given tests, or of all."""
+    rows = with_log_path(wh, wh.test_object_run if tests is None else tests)
+    return rows.select("test_object_run_id", "log_file")
 
 
 def status_counts(wh: Warehouse) -> DataFrame:

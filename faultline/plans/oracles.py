@@ -117,8 +117,7 @@ SELECT concat('DOC-', conv_id) AS issue_key, turn AS seq, role AS author,
 FROM conversations"""
 
 CTE["nested"] = """
-SELECT issue_key, list(body ORDER BY seq) AS bodies, count(*) AS n_comments,
-       string_agg(concat(author, ': ', body), chr(10) ORDER BY seq) AS thread
+SELECT issue_key, list(body ORDER BY seq) AS bodies, count(*) AS n_comments
 FROM comments GROUP BY issue_key"""
 
 CTE["links"] = """
@@ -602,9 +601,12 @@ CROSS JOIN (SELECT count(*) AS n FROM issues) k WHERE d.df <= 0.9 * k.n""",
 def _similar_failures() -> dict[str, str]:
     return {
         "errors": _test_errors("failed"),
-        "seen": "SELECT sig, any_value(query) AS q, count(*) AS n_failures, min(end_time) AS first_seen, "
-                "max(end_time) AS last_seen FROM errors WHERE end_time IS NOT NULL GROUP BY sig",
-        "sig_words": _words("SELECT sig AS id, sig AS txt FROM seen", 10),
+        "sig_words": _words("SELECT DISTINCT sig AS id, sig AS txt FROM errors", 10),
+        "families": "SELECT id, list_sort(list_filter(words, lambda w: NOT regexp_matches(w, '[0-9]'))) AS words "
+                    "FROM sig_words",
+        "seen": "SELECT f.words, min(e.sig) AS sig, count(*) AS n_failures, min(e.end_time) AS first_seen, "
+                "max(e.end_time) AS last_seen FROM errors e JOIN families f ON f.id = e.sig "
+                "WHERE e.end_time IS NOT NULL AND len(f.words) > 0 GROUP BY f.words",
     }
 
 
@@ -808,10 +810,12 @@ GROUP BY issue_key ORDER BY n_tests DESC, issue_key LIMIT 10""", batch)
     add("search_text", f"""
 SELECT {_BRIEF} FROM issues i JOIN full_words f ON f.id = i.issue_key
 WHERE list_has_all(f.words, [{_list(Q.SEARCH_TEXT.split())}]) AND {_SETTLED.format('status')} {_TOP.format(20)}""")
-    add("issue_comments", "SELECT issue_key, CAST(n_comments AS INTEGER) AS n_comments, thread FROM nested")
+    add("issue_comments", """
+SELECT issue_key, seq, author, body, CAST(row_number() OVER (PARTITION BY issue_key ORDER BY seq) AS INTEGER) AS position
+FROM comments""")
     add("issue_details", f"""
 SELECT {_BRIEF}, description, array_to_string(labels, ' ') AS labels,
-       CAST(coalesce(n_comments, 0) AS INTEGER) AS n_comments, issue_solution AS solution_summary FROM solved""")
+       coalesce(n_comments, 0) AS n_comments, issue_solution AS solution_summary FROM solved""")
     add("labels_any", f"SELECT {_BRIEF} FROM issues WHERE list_has_any(labels, [{_list(Q.LABELS)}]) {_TOP.format(20)}")
     add("labels_all", f"SELECT {_BRIEF} FROM issues WHERE list_has_all(labels, [{_list(Q.LABELS)}]) {_TOP.format(20)}")
     add("related_issues", f"""
@@ -828,10 +832,10 @@ LEFT JOIN (SELECT s_nationkey, min(s_name) AS lead FROM supplier GROUP BY 1) s O
     score = f"({_jaccard('a.words', 'b.words')}) * {S.COMPARE_KEYWORD_WEIGHT}::DOUBLE"
     add("similar_failures", f"""
 SELECT signature, CAST(rank AS INTEGER) AS rank, earlier_signature, score, n_failures, first_seen, last_seen FROM (
-  SELECT *, row_number() OVER (PARTITION BY signature ORDER BY score DESC, first_seen DESC, earlier_signature) AS rank
-  FROM (SELECT x.sig AS signature, y.sig AS earlier_signature, {score} AS score, y.n_failures, y.first_seen, y.last_seen
-        FROM seen x JOIN seen y ON y.first_seen < x.first_seen
-        JOIN sig_words a ON a.id = x.sig JOIN sig_words b ON b.id = y.sig) WHERE score >= 0.3)
+  SELECT *, row_number() OVER (PARTITION BY words ORDER BY score DESC, first_seen DESC, earlier_signature) AS rank
+  FROM (SELECT a.words, a.sig AS signature, b.sig AS earlier_signature, {score} AS score, b.n_failures, b.first_seen,
+               b.last_seen
+        FROM seen a JOIN seen b ON b.first_seen < a.first_seen) WHERE score >= 0.3)
 WHERE rank <= 5""", _similar_failures())
     words = "|".join(S.ISSUE_SOLUTION_WORDS)
     add("solution_sentences_all", f"""

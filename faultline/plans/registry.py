@@ -303,7 +303,7 @@ def tfidf_pairs(x):
 
 def issue_text(x):
     both = I.with_comments(x.issues, x.comments)
-    return both.select("issue_key", S.issue_text(comments="comments").alias("text"))
+    return both.select("issue_key", S.issue_text(comments="first_comments").alias("text"))
 
 
 def match_scores(x):
@@ -321,7 +321,7 @@ def match_scores(x):
 
 def _matches(x):
     return M.match_issues(
-        _errors_of_logs(x), I.with_comments(x.issues, x.comments), TRACKER, comments="comments")
+        _errors_of_logs(x), I.with_comments(x.issues, x.comments), TRACKER, with_comments=True)
 
 
 def match_issues(x):
@@ -353,12 +353,12 @@ def candidate_issues(x):
 
 def solution_sentence_match(x):
     both = I.with_comments(x.issues, x.comments)
-    return both.select("issue_key", S.solution_for_match(comments="comments").alias("solution"))
+    return both.select("issue_key", S.solution_for_match(comments="match_comments").alias("solution"))
 
 
 def solution_sentence_issue(x):
     both = I.with_comments(x.issues, x.comments)
-    return both.select("issue_key", S.solution_for_issue(comments="comments").alias("solution"))
+    return both.select("issue_key", S.solution_for_issue(comments="issue_comments").alias("solution"))
 
 
 def find_solutions(x):
@@ -393,18 +393,12 @@ def search_text(x):
 
 
 def issue_comments(x):
-    n = I.nested_comments(x.comments)
-    return n.select(
-        "issue_key", F.size("comments").alias("n_comments"),
-        F.array_join(F.transform("comments", lambda c: F.concat(
-            c["author"], F.lit(": "), c["body"])), "\n").alias("thread"))
+    return I.issue_comments(x.comments).drop("created")
 
 
 def issue_details(x):
     d = I.issue_details(x.issues, x.comments)
-    return d.select(*_BRIEF, "description", "labels",
-                    F.greatest(F.size("comments"), F.lit(0)).alias("n_comments"),
-                    "solution_summary")
+    return d.select(*_BRIEF, "description", "labels", "n_comments", "solution_summary")
 
 
 def labels_any(x):
@@ -426,9 +420,7 @@ def project_info(x):
 
 def similar_failures(x):
     tests = W.failed_rows(x.warehouse)
-    errors = P.test_errors(x.warehouse, tests, x.log_lines).select("id", "signature")
-    times = tests.select(F.col("test_object_run_id").alias("id"), "end_time")
-    return P.similar_failures(errors.join(times, "id"))
+    return P.similar_failures(P.test_errors(x.warehouse, tests, x.log_lines))
 
 
 def solution_sentences_all(x):

@@ -11,6 +11,7 @@ from ..operators import logscan as L
 from ..operators import matching as M
 from ..operators import warehouse as W
 from ..operators.simjoin import similar_sets
+from ..operators.skew import left_lookup, salted_join
 from ..operators.stage import staged
 
 # Lines of a log report, matches per test in a batch and what it shows.
@@ -30,8 +31,9 @@ def with_analysis(
     found = L.analyze_logs(lines, rules, detect=False).drop("suite", "test")
     found = found.select("log_file", F.struct(*[c for c in found.columns if c != "log_file"])
                          .alias("a"))
-    paths = W.log_paths(wh, tests)
-    rows = tests.join(paths, "test_object_run_id", "left").join(found, "log_file", "left")
+    rows = left_lookup(
+        W.with_log_path(wh, tests), found, "log_file", F.col("test_object_run_id")
+    )
     words = F.col("a.error_keywords")
     return rows.withColumn(
         "analysis",
@@ -68,7 +70,7 @@ def test_log_report(wh: W.Warehouse, lines: DataFrame, **which) -> DataFrame:
     """Analysis and log tail of each test, or the reason why there is none."""
     rows = with_analysis(wh, W.test_details(wh, **which), lines)
     tails = L.log_tail_text(lines, REPORT_TAIL)
-    rows = rows.join(tails, "log_file", "left")
+    rows = left_lookup(rows, tails, "log_file", F.col("test_object_run_id"))
     no_path, no_log = F.col("log_file").isNull(), F.col("analysis").isNull()
     return rows.select(
         "regression_run_id", "test_object_run_id", "test_name", "log_file",
@@ -97,6 +99,7 @@ def test_errors(wh: W.Warehouse, tests: DataFrame, lines: DataFrame) -> DataFram
         F.coalesce("analysis.error_keywords", test_name_keywords("test_name"))
         .alias("error_keywords"),
         "regression_run_id", "test_name", "status", "block_name", "num_error", "num_warning",
+        "end_time",
     )
 
 
@@ -122,7 +125,12 @@ def find_solutions(
     ).withColumn("top_match_score", F.max("similarity_score").over(per_query))
     matches = ranked.join(M.issue_report(issues, base_url), "issue_key")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return errors.join(matches.withColumnRenamed("status", "issue_status"), "query", "left").select(
+    # an error may be that of a third of all tests; its matches are few
+    rows = salted_join(
+        errors, matches.withColumnRenamed("status", "issue_status"), ["query"],
+        F.xxhash64("id"), how="left",
+    )
+    return rows.select(
         F.col("id").alias("test_object_run_id"), "regression_run_id", "test_name", "status",
         "block_name", "num_error", "num_warning", "signature", "error_keywords",
         "rank", "issue_key", "summary", "description", "issue_status", "resolution",
@@ -167,23 +175,24 @@ def frequent_issues(batch: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def similar_failures(
-    errors: DataFrame, min_score: float = 0.3, k: int = 5
-) -> DataFrame:
-    """For each error text, the ``k`` most similar texts that first failed earlier.
+def similar_failures(errors: DataFrame, min_score: float = 0.3, k: int = 5) -> DataFrame:
+    """For each family of errors, the ``k`` most similar families that failed earlier.
 
-    ``errors`` has signature, end_time. Failures are folded to one row per signature
-    first, so a signature that makes up most failures is compared once.
+    ``errors`` has signature, end_time. Signatures that differ only in keywords with
+    digits (addresses, counters, times) form one family, so a fault that makes up most
+    failures is compared once, however often its numbers change.
     """
+    words = F.filter(keywords("signature", 10), lambda w: ~w.rlike("[0-9]"))
     seen = staged(
         errors.where(F.col("end_time").isNotNull())
-        .groupBy("signature")
-        .agg(F.count(F.lit(1)).alias("n_failures"), F.min("end_time").alias("first_seen"),
-             F.max("end_time").alias("last_seen"))
-        .withColumn("words", keywords("signature", 10))
-        .withColumn("id", F.md5("signature"))
+        .withColumn("words", F.array_sort(words))
+        .where(F.size("words") > 0)
+        .groupBy("words")
+        .agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("n_failures"),
+             F.min("end_time").alias("first_seen"), F.max("end_time").alias("last_seen"))
+        .withColumn("id", F.md5(F.array_join("words", " ")))
     )
-    sets = seen.where(F.size("words") > 0).select("id", "words")
+    sets = seen.select("id", "words")
     pairs = similar_sets(sets, sets, min_score / S.COMPARE_KEYWORD_WEIGHT)
     new = seen.select(F.col("id").alias("left_id"), "signature", F.col("first_seen").alias("at"))
     old = seen.select(
@@ -192,7 +201,7 @@ def similar_failures(
     )
     score = F.col("n_both") / F.col("n_all") * S.COMPARE_KEYWORD_WEIGHT
     rank = F.row_number().over(
-        Window.partitionBy("signature").orderBy(
+        Window.partitionBy("left_id").orderBy(
             F.desc("score"), F.desc("first_seen"), F.asc("earlier_signature"))
     )
     return (
