@@ -38,7 +38,7 @@ DRIVER_TABLES = {
 
 def headline(text="text"):
     """First line of a document."""
-    return F.split_part(F.col(text), F.lit("\n"), F.lit(1))
+    return F.substring_index(F.col(text), "\n", 1)
 
 
 class Inputs:
