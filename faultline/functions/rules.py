@@ -224,11 +224,22 @@ def _shortest(texts) -> list[str]:
 def may_match(line, rules=ERROR_RULES) -> Column:
     """Cheap test that holds for every line any of the rules matches."""
     line = _col(line)
-    exact = [r.needed_text() for r in rules if r.needed_text()]
-    lower = [r.stem_lower for r in rules if not r.needed_text() and r.stem_lower]
-    rest = [r for r in rules if not r.needed_text() and not r.stem_lower]
+    inside, at_start, lower, rest = [], [], [], []
+    for r in rules:
+        literal = r._literal()
+        if literal and literal[0] and not r.stem:
+            at_start.append(literal[1])
+        elif r.needed_text():
+            inside.append(r.needed_text())
+        elif r.stem_lower:
+            lower.append(r.stem_lower)
+        else:
+            rest.append(r)
+    inside = _shortest(inside)
+    at_start = [t for t in at_start if not any(k in t for k in inside)]
     return _any(
-        [line.contains(t) for t in _shortest(exact)]
+        [line.startswith(t) for t in at_start]
+        + [line.contains(t) for t in inside]
         + [F.lower(line).contains(t) for t in _shortest(lower)]
         + [r.found_in(line) for r in rest]
     )

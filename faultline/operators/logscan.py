@@ -84,7 +84,7 @@ def _state_lines(lines: DataFrame, rules, detect: bool, tools: bool) -> DataFram
     lines. Columns: action, tool, marker, level, pos, warning.
     """
     line = F.col("line")
-    wanted = R.may_match(line, rules) | R.may_match(line, R.WARNING_RULES) | R.is_marker(line)
+    wanted = R.may_match(line, tuple(rules) + R.WARNING_RULES) | R.is_marker(line)
     if tools:
         wanted = wanted | line.contains(R.TOOL_HEAD)
     if detect:
@@ -153,8 +153,14 @@ def has_error(lines: DataFrame, rules=R.ERROR_RULES) -> DataFrame:
 
 def warnings_as_errors(lines: DataFrame, rules=R.ERROR_RULES) -> DataFrame:
     """Warning lines that count as errors: after the marker, matched by no error rule."""
+    marks = lines.where(R.is_marker("line")).withColumn(
+        "kept", _unless_ignored(lambda t: F.lit(True))
+    )
+    marked = (
+        marks.where(F.col("kept")).groupBy("log_file")
+        .agg(F.min("line_no").alias("marker_line"))
+    )
     rows = _state_lines(lines, rules, detect=False, tools=False)
-    marked = rows.where("marker").groupBy("log_file").agg(F.min("line_no").alias("marker_line"))
     warned = rows.where("warning").select("log_file", "line_no", "line")
     return (
         salted_join(warned, marked, ["log_file"], block_of())
