@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, by Spark application, until they are released.
+_written: dict[str, list[str]] = defaultdict(list)
+
 
 def stage_folder(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir, shared by all executors.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A session without that setting uses a folder of its own warehouse, which executors
+    share as well.
     """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="faultline-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged").rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -30,6 +29,32 @@ def staged(df: DataFrame) -> DataFrame:
     Spark sees the true size when it chooses a join.
     """
     spark = df.sparkSession
-    path = f"{stage_folder(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{stage_folder(spark)}/faultline-{uuid.uuid4().hex}"
+    _written[spark.sparkContext.applicationId].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove the tables staged after the first ``since``; returns how many.
+
+    Call it once the results that read them are written.
+    """
+    paths = _written[spark.sparkContext.applicationId]
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths[since:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    gone = len(paths) - since
+    del paths[since:]
+    return gone
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """Removes at its end what was staged inside it."""
+    since = len(_written[spark.sparkContext.applicationId])
+    try:
+        yield
+    finally:
+        release(spark, since)

@@ -4,9 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import compare, connect
+from faultline.operators.stage import staging
+from faultline.plans import oracles, registry
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracles.oracle_sql()
+QUERIES = registry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +18,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = entry.queries()[name](spark, SF).toPandas()
+    with staging(spark):
+        got = QUERIES[name](spark, SF).toPandas()
     assert compare(got, con.execute(SQL[name]).df()) == ""
 
 
