@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, templates
+from . import mixing, packing, sharding, templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pack": packing.query,
         "op3_mix_sources": mixing.query,
         "op4_line_dedup": templates.query,
         "op6_sharding": sharding.query,
