@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, templates
+from . import mixing, packing, perplexity, sharding, templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.query,
         "op4_line_dedup": templates.query,
         "op6_sharding": sharding.query,
+        "op8_quality_rules": perplexity.query,
     }
 
 
