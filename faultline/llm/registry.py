@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, perplexity, sharding, templates
+from . import mixing, packing, perplexity, sharding, templates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": templates.query,
         "op6_sharding": sharding.query,
         "op8_quality_rules": perplexity.query,
+        "op9_toxicity": toxicity.query,
     }
 
 
