@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, perplexity, sharding, templates, toxicity
+from . import mixing, packing, perplexity, quality, sharding, templates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
         "op2_pack": packing.query,
         "op3_mix_sources": mixing.query,
         "op4_line_dedup": templates.query,
