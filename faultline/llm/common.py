@@ -56,3 +56,23 @@ def rank_in_group(rows: DataFrame, group: list[str], out: str) -> DataFrame:
         .withColumn(out, (F.col("_at") + F.col("_shift")).cast("long"))
         .drop("_at", "_shift", "_slice")
     )
+
+
+class HashFilter:
+    """A table of bounded size that lets the members of a set of hashes through, and some others.
+
+    It only spares rows a shuffle: what passes is joined exactly afterwards.
+    """
+
+    def __init__(self, hashes: DataFrame, slots: int = 1 << 22):
+        """``hashes`` has one column of hashes; at most ``slots`` rows reach the driver."""
+        self.slots = slots
+        taken = bytearray(slots)
+        slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots)).cast("int").alias("slot")
+        for at in hashes.select(slot).distinct().toArrow()["slot"].to_pylist():
+            taken[at] = 1
+        self.table = bytes(taken)
+
+    def passes(self, value: Column) -> Column:
+        slot = F.pmod(value, F.lit(self.slots)).cast("int")
+        return F.substring(F.lit(self.table), slot + 1, F.lit(1)) == F.lit(b"\x01")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, perplexity, quality, sharding, templates, toxicity
+from . import jaccard, mixing, packing, perplexity, quality, sharding, templates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": sharding.query,
         "op8_quality_rules": perplexity.query,
         "op9_toxicity": toxicity.query,
+        "op10_jaccard_join": jaccard.query,
     }
 
 
