@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, perplexity, quality, sharding, templates, toxicity
+from . import forest, jaccard, mixing, packing, perplexity, quality, sharding, templates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pack": packing.query,
         "op3_mix_sources": mixing.query,
         "op4_line_dedup": templates.query,
+        "op5_prefix_forest": forest.query,
         "op6_sharding": sharding.query,
         "op8_quality_rules": perplexity.query,
         "op9_toxicity": toxicity.query,
