@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.stage import staged
+
 #: A Poisson law with a larger mean is drawn as a sum of equal parts, so that exp() of its
 #: mean stays far from underflow.
 PART_MEAN = 16.0
@@ -28,12 +30,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "
         table = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))])
         known = F.when(F.col("_key").isNull(), F.lit(0.0)).otherwise(table[F.col("_key")])
         weighted = sizes.withColumn("w", F.coalesce(known, F.lit(0.0)))
-    total = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    return weighted.join(F.broadcast(total), how="cross").select(  # one row of sums
-        "_key", "n",
-        F.when(F.col("all_w") > 0, F.lit(float(epochs)) * F.col("all_n") * F.col("w")
-               / (F.col("n") * F.col("all_w"))).otherwise(0.0).alias("rate"),
-    )
+    all_n, all_w = weighted.agg(F.sum("n"), F.sum("w")).first()
+    rate = F.lit(float(epochs)) * F.lit(float(all_n or 0)) * F.col("w") / (F.col("n") * F.lit(float(all_w or 1)))
+    return staged(weighted.select("_key", "n", rate.alias("rate")))
 
 
 def distribution(mean: Column) -> Column:
@@ -76,13 +75,12 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, key: str
     docs = docs.drop(*[c for c in docs.columns if c in taken])
     table = rates(docs, weights, key, epochs)
     # At most SALTS sources can each hold more than 1/SALTS of the rows.
-    share = table.agg(F.sum("n").alias("all_n"))
-    hot = [r[0] for r in table.join(F.broadcast(share), how="cross")
-           .where(F.col("n") * SALTS > F.col("all_n")).select("_key").collect()]
+    all_n = table.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in table.where(F.col("n") * SALTS > all_n).select("_key").collect()]
     is_hot = lambda c: F.coalesce(c.isin([h for h in hot if h is not None]), F.lit(None in hot))
     copies = F.when(is_hot(F.col("_key")), SALTS).otherwise(1)
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
-    facts = (
+    facts = staged(  # small as a rule: Spark sees its size and need not shuffle the texts for it
         table.withColumn("_parts", parts)
         .withColumn("_cdf", distribution(F.col("rate") / F.col("_parts")))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
