@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.stage import staged
@@ -67,11 +68,10 @@ class HashFilter:
     def __init__(self, hashes: DataFrame, slots: int = 1 << 22):
         """``hashes`` has one column of hashes; at most ``slots`` rows reach the driver."""
         self.slots = slots
-        taken = bytearray(slots)
+        taken = np.zeros(slots, np.uint8)
         slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots)).cast("int").alias("slot")
-        for at in hashes.select(slot).distinct().toArrow()["slot"].to_pylist():
-            taken[at] = 1
-        self.table = bytes(taken)
+        taken[hashes.select(slot).distinct().toArrow()["slot"].to_numpy()] = 1
+        self.table = taken.tobytes()
 
     def passes(self, value: Column) -> Column:
         slot = F.pmod(value, F.lit(self.slots)).cast("int")

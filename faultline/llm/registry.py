@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, jaccard, mixing, packing, perplexity, quality, sharding, templates, toxicity
+from . import forest, jaccard, mixing, packing, perplexity, quality, sharding, suffix, templates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": templates.query,
         "op5_prefix_forest": forest.query,
         "op6_sharding": sharding.query,
+        "op7_suffix_dedup": suffix.query,
         "op8_quality_rules": perplexity.query,
         "op9_toxicity": toxicity.query,
         "op10_jaccard_join": jaccard.query,
