@@ -128,11 +128,11 @@ def _smoothed(counts: DataFrame, order: int) -> DataFrame:
     # Counts of counts give the three discounts of modified Kneser-Ney.
     of = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"t{k}")
     t = counts.groupBy("lang").agg(of(1), of(2), of(3), of(4))
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
 
     def discount(k: int) -> Column:
-        d = k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")
-        return F.when((F.col(f"t{k}") > 0) & (d > 0) & (d < k), d).otherwise(0.5 * k).alias(f"d{k}")
+        d = k - (k + 1) * y * F.try_divide(F.col(f"t{k + 1}"), F.col(f"t{k}"))
+        return F.when((d > 0) & (d < k), d).otherwise(0.5 * k).alias(f"d{k}")  # also for too few counts
 
     t = staged(t.select("lang", discount(1), discount(2), discount(3)))
     cut = F.col("gram").substr(F.lit(1), F.lit(order - 1))
@@ -342,7 +342,8 @@ def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short
     """
     small_batches(docs.sparkSession)
     rows = measured(docs).withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("logp") / F.col("n_words")))
-    half = F.greatest(F.lit(width) * F.col("spread"), F.lit(floor)) * F.sqrt(1 + F.lit(short) / F.col("n_words"))
+    half = F.greatest(F.lit(width) * F.col("spread"), F.lit(floor)) * F.sqrt(
+        1 + F.lit(short) / F.greatest(F.col("n_words"), F.lit(1)))
     rows = rows.join(bands(rows), "lang", "left").withColumns(
         {"low": F.col("middle") - half, "high": F.col("middle") + half})
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
