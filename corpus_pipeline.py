@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, templates
+from faultline.llm import jaccard, mixing, packing, perplexity, templates
 from faultline.operators.stage import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or leave their language's perplexity band go."""
+    return perplexity.filter_documents(docs.select(*COLUMNS))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; documents stay."""
-    return templates.drop_recurring_lines(docs).select(*COLUMNS)
+    cut = templates.drop_recurring_lines(docs.select(*COLUMNS))
+    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8."""
+    return jaccard.one_of_each(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal shares of all sources, by Poisson replication in a global shuffle."""
-    return mixing.replicate(docs).select(*COLUMNS)
+    return mixing.replicate(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 2048."""
+    import public_tokenizers
+
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
+    ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("mix sources", mix),
+    ("near copies", near_copies),
+    ("mix sources", mix_sources),
+    ("pack", pack),
 ]
 
 #: SQL can't express the language model of the first stage.

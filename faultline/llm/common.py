@@ -76,3 +76,21 @@ class HashFilter:
     def passes(self, value: Column) -> Column:
         slot = F.pmod(value, F.lit(self.slots)).cast("int")
         return F.substring(F.lit(self.table), slot + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def row_key() -> Column:
+    """Hash of what a verdict on a document may rest on."""
+    return F.xxhash64("doc_id", "lang", "text")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose ``row_key`` is not among the ``_key`` of ``gone``.
+
+    Only documents that a bounded filter can't clear are shuffled.
+    """
+    gone = staged(gone.select("_key").distinct())
+    maybe = HashFilter(gone)
+    keyed = docs.withColumn("_key", row_key())
+    clear = keyed.where(~maybe.passes(F.col("_key")))
+    rest = keyed.where(maybe.passes(F.col("_key"))).join(gone, "_key", "left_anti")
+    return clear.select(docs.columns).union(rest.select(docs.columns))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
-from .common import HashFilter, documents, small_batches
+from .common import HashFilter, documents, row_key, small_batches, without
 from .components import components
 
 #: Chance that a link at the very threshold shares no bucket; links above share more.
@@ -94,7 +94,8 @@ def sketch(width: int, bands: int):
                 pa.array([bitmap(s) for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                          pa.array(np.concatenate(keys) if keys else [], pa.int64())),
-            ], names=["doc_id", "cid", "n", "bits", "keys"])
+                batch.column(2),
+            ], names=["doc_id", "cid", "n", "bits", "keys", "_key"])
 
     return run
 
@@ -223,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Returns doc_id, n_shingles, component_id per document.
+    """Returns doc_id, n_shingles, component_id and _key (its ``row_key``) per document.
 
     A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased, split
     at ASCII white space); with fewer words the whole sequence is one shingle. Documents
@@ -240,9 +241,9 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     whole sets. Pairs inside a component change nothing and are not compared.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), row_key().alias("_key"))
     rows = staged(texts.mapInArrow(sketch(width, band_count(num / den)),
-                                   "doc_id bigint, cid bigint, n bigint, bits binary, keys array<bigint>"))
+                                   "doc_id bigint, cid bigint, n bigint, bits binary, keys array<bigint>, _key bigint"))
     classes = staged(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first")))
     keyed = rows.where("n > 0").join(
         classes, (rows["cid"] == classes["cid"]) & rows["doc_id"].eqNullSafe(classes["first"])
@@ -267,10 +268,25 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
         "cid", "first", F.coalesce("root", "cid").alias("root"))
     least = staged(named.groupBy("root").agg(F.min("first").alias("component_id")))
     by_class = staged(named.join(least, "root").select("cid", "component_id"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(by_class, "cid", "left")
+    out = rows.select("doc_id", "n", "_key", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(by_class, "cid", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "_key")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The document of the smallest doc_id of each component, with all its columns.
+
+    Of rows that repeat a doc_id and a text one stays. Documents without shingles stay,
+    and so does a document without an id if no linked one has an id, once per text.
+    """
+    linked = link_components(docs, width, num, den)
+    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    left = without(docs, gone)
+    repeated = HashFilter(linked.where("n_shingles > 0").groupBy("_key").count().where("count > 1").select("_key"))
+    again = repeated.passes(row_key())
+    single = left.where(again).withColumn("_key", row_key()).dropDuplicates(["_key"]).drop("_key")
+    return left.where(~again).union(single.select(left.columns))
 
 
 def between(members: DataFrame, comps: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -305,4 +321,4 @@ def between(members: DataFrame, comps: DataFrame, rows: DataFrame, num: int, den
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(documents(spark, sf_dir))
+    return link_components(documents(spark, sf_dir)).drop("_key")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
-from .common import documents, small_batches, worker_state
+from .common import documents, row_key, small_batches, without, worker_state
 
 ORDER = 5
 #: Stands for what is before and after a word.
@@ -236,15 +236,15 @@ class WordScores:
         return math.fsum(found)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Each document's counts, language and log probability."""
+def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame:
+    """Each document's counts, language, log probability and row key."""
     vocab = vocabulary(docs)
     grams = model(vocab)
     rows = docs.select(
         "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        F.col("text").cast("binary").alias("text"))
-    schema = f"doc_id bigint, lang string, {BASE}, logp double"
-    if grams.count() <= SHIPPED_NGRAMS:
+        F.col("text").cast("binary").alias("text"), row_key().alias("_key"))
+    schema = f"doc_id bigint, lang string, {BASE}, logp double, _key bigint"
+    if grams.count() <= shipped_ngrams:
         arrays = HashArrays.of(grams)
         shipped = docs.sparkSession.sparkContext.broadcast(arrays.langs)
         job = str(id(shipped))
@@ -258,45 +258,41 @@ def measured(docs: DataFrame) -> DataFrame:
 
         return staged(rows.mapInArrow(scored, schema))
 
-    counted = staged(rows.withColumn("_row", F.monotonically_increasing_id()))
-    base = staged(counted.select("doc_id", "lang", "text", "_row").mapInArrow(
-        lambda b: _measure(b, None), schema + ", _row bigint"))
-    words = counted.select("_row", "lang", "text").mapInArrow(
-        _words_by_row, "_row bigint, lang string, word string, n bigint")
+    # A larger model scores words by a join, and documents by a join with their words.
+    base = staged(rows.mapInArrow(lambda b: _measure(b, None), schema))
+    words = rows.dropDuplicates(["_key"]).select("_key", "lang", "text").mapInArrow(
+        _words_by_row, "_key bigint, lang string, word string, n bigint")
     parts = vocab.mapInPandas(_positions, "lang string, word string, gram string").join(grams, ["lang", "gram"])
     scores = staged(parts.groupBy("lang", "word").agg(F.sum(F.log("p")).alias("logp")))
-    sums = words.join(scores, ["lang", "word"]).groupBy("_row").agg(
+    sums = words.join(scores, ["lang", "word"]).groupBy("_key").agg(
         F.sum(F.col("logp") * F.col("n")).alias("_logp"))
-    return staged(base.join(sums, "_row", "left").withColumn(
-        "logp", F.coalesce("_logp", F.lit(0.0))).drop("_row", "_logp"))
+    return staged(base.join(sums, "_key", "left").withColumn("logp", F.coalesce("_logp", F.lit(0.0))).drop("_logp"))
 
 
 def _measure(batches, total):
     for batch in batches:
         rows = []
-        extra = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-        for i, (doc_id, lang, raw) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+        for doc_id, lang, raw, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = raw or b""
             words = raw.split()
-            counts = text_counts(raw.decode(), words)
             logp = total(lang, words) if total and words else 0.0
-            rows.append((doc_id, lang, *counts, logp, *([extra[i]] if extra else [])))
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), *([pa.int64()] if extra else [])]
+            rows.append((doc_id, lang, *text_counts(raw.decode(), words), logp, key))
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
         names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                 "logp", *(["_row"] if extra else [])]
+                 "logp", "_key"]
         cols = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
 def _words_by_row(batches):
     for batch in batches:
-        rows = [(row, lang, w.decode(), n)
-                for row, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)))
+        rows = [(key, lang, w.decode(), n)
+                for key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)))
                 for w, n in Counter((text or b"").split()).items()]
         cols = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
-            names=["_row", "lang", "word", "n"])
+            names=["_key", "lang", "word", "n"])
 
 
 def _positions(frames):
@@ -325,12 +321,14 @@ def bands(rows: DataFrame) -> DataFrame:
     return staged(sound.join(middle, "lang").groupBy("lang", "middle").agg((off * 1.4826).alias("spread")))
 
 
-def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short: float = 30.0) -> DataFrame:
+def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short: float = 30.0,
+                  shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame:
     """Counts of every document, the base rules and the perplexity band of its language.
 
     Returns doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, log_ppl (natural logarithm of the perplexity per word; null without
-    words), low, high and kept: whether the base rules hold and log_ppl lies in the band.
+    words), low, high, kept (whether the base rules hold and log_ppl lies in the band) and
+    _key (the document's ``row_key``).
     The band's bounds lie ``width`` robust standard deviations of the language from its
     median on either side, at least ``floor``, and sqrt(1 + short / n_words) times that,
     as the mean over few words varies more.
@@ -341,7 +339,7 @@ def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short
     doc_id are judged each. An empty table gives an empty table; other columns take no part.
     """
     small_batches(docs.sparkSession)
-    rows = measured(docs).withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("logp") / F.col("n_words")))
+    rows = measured(docs, shipped_ngrams).withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("logp") / F.col("n_words")))
     half = F.greatest(F.lit(width) * F.col("spread"), F.lit(floor)) * F.sqrt(
         1 + F.lit(short) / F.greatest(F.col("n_words"), F.lit(1)))
     rows = rows.join(bands(rows), "lang", "left").withColumns(
@@ -350,7 +348,12 @@ def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return rows.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "log_ppl", "low", "high", (~failed & inside).alias("kept"))
+        failed.alias("base_failed"), "log_ppl", "low", "high", (~failed & inside).alias("kept"), "_key")
+
+
+def filter_documents(docs: DataFrame, **bands_) -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with all their columns."""
+    return without(docs, quality_rules(docs, **bands_).where("not kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
