@@ -23,6 +23,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def plain(docs: DataFrame, *added: str) -> DataFrame:
+    """The input without columns that the operator adds or that begin with an underscore."""
+    return docs.drop(*[c for c in docs.columns if c in added or c.startswith("_")])
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that a Python worker keeps from task to task."""
     module = sys.modules.setdefault("faultline_worker_state", types.ModuleType("faultline_worker_state"))
@@ -86,8 +91,10 @@ def row_key() -> Column:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Documents whose ``row_key`` is not among the ``_key`` of ``gone``.
 
-    Only documents that a bounded filter can't clear are shuffled.
+    Only documents that a bounded filter can't clear are shuffled. Columns that begin with
+    an underscore are dropped.
     """
+    docs = plain(docs)
     gone = staged(gone.select("_key").distinct())
     maybe = HashFilter(gone)
     keyed = docs.withColumn("_key", row_key())

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
-from .common import HashFilter, documents, row_key, small_batches, without
+from .common import HashFilter, documents, plain, row_key, small_batches, without
 from .components import components
 
 #: Chance that a link at the very threshold shares no bucket; links above share more.
@@ -279,7 +279,9 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 
     Of rows that repeat a doc_id and a text one stays. Documents without shingles stay,
     and so does a document without an id if no linked one has an id, once per text.
+    Columns that begin with an underscore are dropped.
     """
+    docs = plain(docs)
     linked = link_components(docs, width, num, den)
     gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     left = without(docs, gone)

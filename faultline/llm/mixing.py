@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.stage import staged
+from .common import plain
 
 #: A Poisson law with a larger mean is drawn as a sum of equal parts, so that exp() of its
 #: mean stays far from underflow.
@@ -65,14 +66,14 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, key: str
     with its source's rate, at a uniform number hashed from the seed and its doc_id. It is
     exploded by that number and dealt out by a hash of (seed, doc_id, copy); inside each
     partition the rows are ordered by that hash. Adds ``copy`` (from 1) and
-    ``shuffle_key``; columns of these names in the input are replaced.
+    ``shuffle_key``; input columns of these names, or that begin with an underscore, are
+    dropped.
 
     Rows that repeat a doc_id get equal counts. A missing doc_id is seeded by the text. A
     missing source counts as one source. Empty and missing texts are documents like any
     other. An empty table gives an empty table.
     """
-    taken = {"copy", "shuffle_key", "_key", "_salt", "_cdf", "_parts"}
-    docs = docs.drop(*[c for c in docs.columns if c in taken])
+    docs = plain(docs, "copy", "shuffle_key")
     table = rates(docs, weights, key, epochs)
     # At most SALTS sources can each hold more than 1/SALTS of the rows.
     all_n = table.agg(F.sum("n")).first()[0] or 0

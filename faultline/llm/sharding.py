@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
-from .common import rank_in_group, with_row_id
+from .common import plain, rank_in_group, with_row_id
 
 #: Bits of the group key that one look at the groups resolves.
 LEVEL_BITS = 10
@@ -134,12 +134,13 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
     a missing text counts as an empty one. Groups are ordered by the hash of their text
     and cut where the greedy check of the smallest feasible capacity cuts. Slots count
     from 0 without gaps in every shard, repeated rows included. An empty table gives an
-    empty table; input columns of the added names are replaced.
+    empty table; input columns of the added names, or that begin with an underscore, are
+    dropped.
 
-    The text is not shuffled: sizes and slots are found on (row, key, size).
+    Rows are shuffled once, to their place in the shard; cuts are found on (key, size).
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.drop("size", "shard", "slot", "_key", "_rid")
+    docs = plain(docs, "size", "shard", "slot")
     rows = with_row_id(docs.withColumn("_key", group_key(content)).withColumn(
         "size", (F.octet_length(content) + 1).cast("long")))
     return place(rows, shards)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
+from .common import plain
 
 #: What separates tokens inside a line.
 SPACE = r"[ \t\x0B\f\r]"
@@ -92,9 +93,10 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = 10, depth: int =
     even with nothing left. A missing text stays missing with 0 lines, an empty text has
     one line. Lines without a token are kept. Copies of one text count once towards a
     template. Rows that repeat a doc_id and text get equal results; a missing doc_id is
-    never the first. Input columns of the added names are replaced.
+    never the first. Input columns of the added names, or that begin with an underscore, are
+    dropped.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = plain(docs, "n_lines", "n_dropped")
     drops = dropped_lines(docs.select("doc_id", "text"), min_documents, depth, similarity).groupBy(
         F.col("doc_id").alias("_id"), "_doc").agg(F.collect_set("line_no").alias("_drop"))
     lines = F.split("text", "\n")
