@@ -17,7 +17,7 @@ CAPACITY = 2048
 #: Id that ends every document.
 END = 0
 #: Words whose ids a Python worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 800_000
 #: Bytes of a long text that are split into words at once.
 CHUNK = 1 << 20
 
@@ -44,26 +44,48 @@ class WordIds:
     text's ids are those of its words in turn, and frequent words are encoded once.
     """
 
-    TAIL = re.compile(rb"([a-z]+)([.,;:!?|)\]}]+)")
+    #: Letters that normalising keeps letters, and marks that end a letter run.
+    LETTERS = "[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+    TAIL = re.compile(f"({LETTERS})([.,;:!?|)\\]}}]*)")
+    #: Words encoded as one text.
+    RUN = 512
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in out]
 
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, each of which is one unit to the tokenizer: many
+        are encoded as one text and parted after the ids that end a word."""
+        out = []
+        for at in range(0, len(words), self.RUN):
+            run = words[at:at + self.RUN]
+            ids = np.frombuffer(self.encode([" ".join(run)])[0], "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            assert len(cuts) == len(run)
+            data, places = ids.tobytes(), (4 * cuts).tolist()
+            out += [data[i:j] for i, j in zip([0, *places], places)]
+        return out
+
     def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; a letter run and the marks that end it are encoded apart."""
-        ends = {w: m.groups() for w in missing if (m := self.TAIL.fullmatch(w))}
-        need = {x for parts in ends.values() for x in parts if x not in self.known}
-        need = list(need | {w for w in missing if w not in ends})
-        new = dict(zip(need, self.encode([w.decode() for w in need])))
-        for w, (stem, tail) in ends.items():
-            new[w] = (self.known.get(stem) or new[stem]) + (self.known.get(tail) or new[tail])
+        parts = {w: m.groups() if (m := self.TAIL.fullmatch(w.decode())) else None for w in missing}
+        ids = {x: self.known.get(x.encode()) for p in parts.values() if p for x in p if x}
+        stems = list({p[0] for p in parts.values() if p and ids[p[0]] is None})
+        others = list({p[1] for p in parts.values() if p and p[1] and ids[p[1]] is None}
+                      | {w.decode() for w, p in parts.items() if not p})
+        ids.update(zip(stems, self.encode_letters(stems)))
+        ids.update(zip(others, self.encode(others)))
+        new = {w: ids[p[0]] + ids[p[1]] if p and p[1] else ids[w.decode()] for w, p in parts.items()}
         if len(self.known) + len(new) <= KNOWN_WORDS:
             self.known.update(new)
         return new
