@@ -65,22 +65,36 @@ def rank_in_group(rows: DataFrame, group: list[str], out: str) -> DataFrame:
 
 
 class HashFilter:
-    """A table of bounded size that lets the members of a set of hashes through, and some others.
+    """A bit table of bounded size that lets the members of a set of hashes through, and some others.
 
-    It only spares rows a shuffle: what passes is joined exactly afterwards.
+    It only spares rows a shuffle: what passes is joined exactly afterwards. The table has
+    one row of ``slots`` bits, so its broadcast never grows with the data.
     """
 
-    def __init__(self, hashes: DataFrame, slots: int = 1 << 22):
-        """``hashes`` has one column of hashes; at most ``slots`` rows reach the driver."""
+    def __init__(self, hashes: DataFrame, slots: int = 1 << 24):
+        """``hashes`` has one column of hashes; at most slots / 64 words reach the driver."""
         self.slots = slots
-        taken = np.zeros(slots, np.uint8)
-        slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots)).cast("int").alias("slot")
-        taken[hashes.select(slot).distinct().toArrow()["slot"].to_numpy()] = 1
-        self.table = taken.tobytes()
+        slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots))
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+        words = hashes.select(F.floor(slot / 64).alias("at"), one.alias("bit")).groupBy("at").agg(
+            F.bit_or("bit").alias("word")).toArrow()
+        bits = np.zeros(slots // 64, np.int64)
+        bits[words["at"].to_numpy()] = words["word"].to_numpy()
+        self.table = staged(hashes.sparkSession.createDataFrame([(bits.tolist(),)], "_bits array<bigint>"))
 
-    def passes(self, value: Column) -> Column:
-        slot = F.pmod(value, F.lit(self.slots)).cast("int")
-        return F.substring(F.lit(self.table), slot + 1, F.lit(1)) == F.lit(b"\x01")
+    def _join(self, df: DataFrame, value: Column, how: str) -> DataFrame:
+        slot = F.pmod(value, F.lit(self.slots))
+        word = F.get(self.table["_bits"], F.floor(slot / 64).cast("int"))
+        hit = F.bit_get(word, F.pmod(slot, F.lit(64)).cast("int")) == 1
+        return df.join(F.broadcast(self.table), hit, how)
+
+    def keep(self, df: DataFrame, value: Column) -> DataFrame:
+        """All rows with a member, and some others."""
+        return self._join(df, value, "left_semi")
+
+    def rest(self, df: DataFrame, value: Column) -> DataFrame:
+        """The rows that ``keep`` leaves out; none has a member."""
+        return self._join(df, value, "left_anti")
 
 
 def row_key() -> Column:
@@ -98,6 +112,6 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = staged(gone.select("_key").distinct())
     maybe = HashFilter(gone)
     keyed = docs.withColumn("_key", row_key())
-    clear = keyed.where(~maybe.passes(F.col("_key")))
-    rest = keyed.where(maybe.passes(F.col("_key"))).join(gone, "_key", "left_anti")
+    clear = maybe.rest(keyed, F.col("_key"))
+    rest = maybe.keep(keyed, F.col("_key")).join(gone, "_key", "left_anti")
     return clear.select(docs.columns).union(rest.select(docs.columns))

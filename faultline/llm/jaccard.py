@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def of(side: str) -> DataFrame:
         wanted = HashFilter(pairs.select(side))
-        return sets.where(wanted.passes(F.col("cid"))).select(
+        return wanted.keep(sets, F.col("cid")).select(
             F.col("cid").alias(side), F.col("items").alias(f"{side}_items"))
 
     both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_items", "v_items")
@@ -254,7 +254,7 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     members = staged(keyed.join(shared, "bucket"))
 
     first = HashFilter(members.select("cid").distinct().join(classes, "cid").select(F.xxhash64("first")))
-    sets = staged(texts.where(first.passes(F.xxhash64("doc_id"))).select("text")
+    sets = staged(first.keep(texts, F.xxhash64("doc_id")).select("text")
                   .mapInArrow(whole_sets(width), "cid bigint, items binary"))
 
     stars = members.where("cid <> pivot").groupBy("cid").agg(F.min("pivot").alias("v"))
@@ -286,9 +286,8 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     left = without(docs, gone)
     repeated = HashFilter(linked.where("n_shingles > 0").groupBy("_key").count().where("count > 1").select("_key"))
-    again = repeated.passes(row_key())
-    single = left.where(again).withColumn("_key", row_key()).dropDuplicates(["_key"]).drop("_key")
-    return left.where(~again).union(single.select(left.columns))
+    single = repeated.keep(left, row_key()).withColumn("_key", row_key()).dropDuplicates(["_key"])
+    return repeated.rest(left, row_key()).union(single.select(left.columns))
 
 
 def between(members: DataFrame, comps: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:

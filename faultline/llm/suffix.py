@@ -95,15 +95,14 @@ ANCHOR = "cid bigint, at bigint, first bigint, last bigint, gram bigint, part bi
 
 
 def anchor_rows(batches):
-    """For mapInArrow: (cid, maybe_copied, text) to anchors."""
+    """For mapInArrow: (cid, text) to anchors."""
     for batch in batches:
-        for cid, copied, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for cid, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
             for cols in anchors(text or b""):
                 n = len(cols[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, cid)), *[pa.array(c.view(np.int64)) for c in cols],
-                     pa.array(np.full(n, copied))],
-                    names=["cid", "at", "first", "last", "gram", "part", "copied"])
+                    [pa.array(np.full(n, cid)), *[pa.array(c.view(np.int64)) for c in cols]],
+                    names=["cid", "at", "first", "last", "gram", "part"])
 
 
 # ---- the suffix sort ----------------------------------------------------------------
@@ -277,7 +276,7 @@ def many_starts(parts: DataFrame) -> DataFrame:
                                                        F.lit(LENGTH - CELL + 1))))
     counts = staged(cells.select("core", "cid", "at", "first").groupBy("core").count().where("count > 1").select("core"))
     shared = HashFilter(counts)
-    found = cells.where(shared.passes(F.col("core"))).join(counts, "core", "left_semi")
+    found = shared.keep(cells, F.col("core")).join(counts, "core", "left_semi")
     start = F.explode(F.sequence(F.greatest(F.col("first"), base - CELL + 1), F.least(F.col("last"), base)))
     strings = staged(found.withColumn("start", start).select(
         "cid", "n", "start", F.xxhash64(
@@ -295,14 +294,14 @@ def repeats(texts: DataFrame) -> DataFrame:
     """
     copied = staged(texts.where(F.octet_length("text") >= LENGTH).groupBy("cid").count().where("count > 1").select("cid"))
     maybe = HashFilter(copied)
-    found = staged(texts.select("cid", maybe.passes(F.col("cid")).alias("copied"), "text")
-                   .mapInArrow(anchor_rows, ANCHOR + ", copied boolean"))
     cols = ["cid", "at", "first", "last", "gram", "part"]
-    runs = found.where("not copied").select(cols).union(found.where("copied").select(cols).distinct())
+    single = maybe.rest(texts, F.col("cid")).select("cid", "text").mapInArrow(anchor_rows, ANCHOR)
+    several = maybe.keep(texts, F.col("cid")).select("cid", "text").mapInArrow(anchor_rows, ANCHOR)
+    runs = staged(single.union(several.distinct()))
     # Grams at more than one place.
     grams = staged(runs.groupBy("gram").count().where("count > 1").select("gram"))
     likely = HashFilter(grams)
-    runs = staged(runs.where(likely.passes(F.col("gram"))).join(grams, "gram", "left_semi").select(cols))
+    runs = staged(likely.keep(runs, F.col("gram")).join(grams, "gram", "left_semi").select(cols))
     # Equal runs are copies of each other; one of them stands for all when runs differ.
     parts = staged(runs.groupBy("gram", "part").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("cid", "at", "first", "last")).alias("one")))
@@ -312,7 +311,7 @@ def repeats(texts: DataFrame) -> DataFrame:
             "gram", "one.at", "one.first", "one.last", "n", (F.col("kinds") > CLASS).alias("many")).alias("run"))
     wanted = staged(mixed_parts.groupBy("cid").agg(F.collect_list("run").alias("runs")))
     needed = HashFilter(wanted.select("cid"))
-    one_each = texts.where(needed.passes(F.col("cid"))).groupBy("cid").agg(F.first("text").alias("text"))
+    one_each = needed.keep(texts, F.col("cid")).groupBy("cid").agg(F.first("text").alias("text"))
     pieces = staged(one_each.join(wanted, "cid").select("cid", "text", "runs").mapInArrow(
         text_parts, "gram bigint, cid bigint, at bigint, first bigint, last bigint, n bigint, bytes binary, many boolean"))
     few = pieces.where("not many").drop("many").repartition("gram").sortWithinPartitions("gram")
@@ -375,10 +374,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = texts.withColumn("cid", F.xxhash64("text"))
     spans = staged(repeats(texts.select("cid", "text")))
     cut = HashFilter(spans.select("cid"))
-    touched = texts.where(cut.passes(F.col("cid"))).join(spans, "cid", "left").select(
+    touched = cut.keep(texts, F.col("cid")).join(spans, "cid", "left").select(
         "doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "spans")
     schema = "doc_id bigint, n_bytes bigint, kept binary, removed array<struct<first:bigint,last:bigint>>"
-    rest = texts.where(~cut.passes(F.col("cid"))).select(
+    rest = cut.rest(texts, F.col("cid")).select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.col("text").alias("kept"),
         F.array().cast("array<struct<first:bigint,last:bigint>>").alias("removed"))
     return touched.mapInArrow(cut_rows, schema).union(rest)

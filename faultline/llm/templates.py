@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
-from .common import plain
+from .common import HashFilter, plain
 
 #: What separates tokens inside a line.
 SPACE = r"[ \t\x0B\f\r]"
 #: Stands for a variable field.
 FIELD = "<*>"
-#: Buckets of the bounded filter that spares most lines the shuffle.
-FILTER_BYTES = 1 << 20
 
 
 def masked(line: Column) -> Column:
@@ -45,13 +43,8 @@ def dropped_lines(docs: DataFrame, min_documents: int = 10, depth: int = 3,
         lines.select("_leaf", "_doc").distinct().groupBy("_leaf").count()
         .where(F.col("count") >= min_documents).select("_leaf")
     )
-    # A bounded bitmap of leaf hashes spares most lines the shuffle; the join is what decides.
-    taken = bytearray(FILTER_BYTES)
-    for (at,) in leaves.select(F.pmod("_leaf", F.lit(FILTER_BYTES))).distinct().collect():
-        taken[at] = 1
-    place = F.pmod("_leaf", F.lit(FILTER_BYTES)).cast("int")
-    likely = F.substring(F.lit(bytes(taken)), place + 1, F.lit(1)) == F.lit(b"\x01")
-    found = staged(lines.where(likely).join(leaves, "_leaf", "left_semi"))
+    likely = HashFilter(leaves)
+    found = staged(likely.keep(lines, F.col("_leaf")).join(leaves, "_leaf", "left_semi"))
 
     # Equal lines meet once, before their tokens are counted by position.
     forms = staged(found.groupBy("_leaf", "_line").agg(F.count(F.lit(1)).alias("n")))
