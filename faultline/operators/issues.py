@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as S
-from ..functions.text import issue_link, keyword_set
+from ..functions.text import issue_link
 from .matching import in_project, with_status
-from .skew import number_rows
+from .skew import number_rows, salted_join
 
 # Default result sizes.
 SEARCH_RESULTS = 50
@@ -36,10 +38,20 @@ def search_text(
     issues: DataFrame, text: str, status: str | None = None, project: str | None = None,
     max_results: int | None = TEXT_RESULTS, updated: str = "updated",
 ) -> DataFrame:
-    """Issues that hold every keyword of the text."""
-    held = keyword_set(F.concat_ws(" ", "summary", "description", F.array_join("labels", " ")))
-    found = issues.where(F.size(F.array_except(keyword_set(F.lit(text)), held)) == 0)
-    return _newest(with_status(in_project(found, project), status), max_results, updated)
+    """Issues that hold every word of the text, short and common ones too.
+
+    A text without a word finds nothing. ``max_results`` None gives all.
+    """
+    words = sorted(set(re.findall(r"\w+", text.lower())))
+    if not words:
+        return issues.where(F.lit(False))
+    found = with_status(in_project(issues, project), status)
+    whole = F.lower(F.concat_ws(" ", "summary", "description", F.array_join("labels", " ")))
+    for w in words:  # cheap, and all that the words must pass
+        found = found.where(F.contains(whole, F.lit(w)))
+    held = F.regexp_extract_all(whole, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    asked = F.array(*[F.lit(w) for w in words])
+    return _newest(found.where(F.size(F.array_except(asked, held)) == 0), max_results, updated)
 
 
 def search_labels(
@@ -116,11 +128,19 @@ def issue_details(
 
 
 def related_issues(issues: DataFrame, links: DataFrame, base_url: str) -> DataFrame:
-    """Linked issues of each issue, with what the link says."""
+    """Linked issues of each issue, with what the link says in its direction.
+
+    ``links`` has src_key, dst_key, direction (outward or inward) and the names of its type,
+    ``outward`` and ``inward``. A linked issue outside the table keeps its link, without a
+    summary and with the status Unknown. Links to a hub are spread by their source.
+    """
     other = issues.select(F.col("issue_key").alias("dst_key"), "summary", "status")
-    return links.join(other, "dst_key").select(
-        F.col("src_key").alias("issue_key"), F.col("dst_key").alias("key"), "summary", "status",
-        F.coalesce("relation", F.lit("relates to")).alias("relation"),
+    said = F.when(F.col("direction") == "outward", F.col("outward")).otherwise(F.col("inward"))
+    return salted_join(links, other, ["dst_key"], F.xxhash64("src_key"), how="left").select(
+        F.col("src_key").alias("issue_key"), F.col("dst_key").alias("key"),
+        F.coalesce("summary", F.lit("")).alias("summary"),
+        F.coalesce("status", F.lit("Unknown")).alias("status"),
+        F.coalesce(said, F.lit("relates to")).alias("relation"),
         issue_link(base_url, "dst_key").alias("link"),
     )
 
@@ -142,8 +162,7 @@ def solution_sentences(issues: DataFrame, comments: DataFrame) -> DataFrame:
         said.where(F.lower("body").rlike("|".join(S.ISSUE_SOLUTION_WORDS)))
         .select("issue_key", "seq", F.posexplode(F.split("body", "\\.")).alias("pos", "s"))
         .where(F.lower("s").rlike("|".join(S.ISSUE_SOLUTION_WORDS)))
-        .select("issue_key", "seq", "pos",
-                F.substring(S.strip("s"), 1, S.SENTENCE_CHARS).alias("sentence"))
+        .select("issue_key", "seq", "pos", S.strip("s").alias("sentence"))
     )
 
 

@@ -57,20 +57,22 @@ def issue_profiles(issues: DataFrame, comments: str | None = None) -> DataFrame:
     )
 
 
-def _profile_table(rows: DataFrame, keep: int) -> DataFrame:
-    """One row per profile with its first ``keep`` issue keys; no more can rank."""
-    rank = F.row_number().over(Window.partitionBy("profile").orderBy("issue_key"))
-    return (
-        rows.withColumn("n", rank).where(F.col("n") <= keep)
-        .groupBy("profile")
-        .agg(
-            F.any_value("words").alias("words"), F.any_value("settled").alias("settled"),
-            F.any_value("head").alias("head"),
-            F.array_sort(F.collect_list("issue_key")).alias("keys"),
-        )
+def _profile_table(rows: DataFrame) -> DataFrame:
+    """One row per profile."""
+    return rows.groupBy("profile").agg(
+        F.any_value("words").alias("words"), F.any_value("settled").alias("settled"),
+        F.any_value("head").alias("head"),
     )
 
 
+def _first_keys(rows: DataFrame, by: list[str], keep: int | None) -> DataFrame:
+    """The first ``keep`` issue keys per group, as no more can rank; None keeps all."""
+    if keep is None:
+        return rows
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("issue_key"))
+    return rows.withColumn("n", rank).where(F.col("n") <= keep).drop("n")
+
+
 def _scored(pairs: DataFrame) -> DataFrame:
     """Adds edit and score to (signature, head, settled, n_both, n_all)."""
     kw = F.col("n_both") / F.col("n_all")
@@ -91,7 +93,9 @@ def _within_reach(min_score: float) -> Column:
     return best >= min_score - 1e-9
 
 
-def _found_by_search(pairs: DataFrame, rows: DataFrame, issues: DataFrame, keep: int) -> DataFrame:
+def _found_by_search(
+    pairs: DataFrame, rows: DataFrame, issues: DataFrame, keep: int | None
+) -> DataFrame:
     """Pairs whose issue holds one of the first keywords of the error, with issue keys.
 
     Most pairs share such a word among the issue's own keywords; then any issue of the
@@ -100,21 +104,23 @@ def _found_by_search(pairs: DataFrame, rows: DataFrame, issues: DataFrame, keep:
     """
     first = F.slice("error_keywords", 1, SEARCH_KEYWORDS)
     direct = F.arrays_overlap(first, F.col("words"))
-    sure = pairs.where(direct).withColumn("issue_key", F.explode("keys"))
+    keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], keep)
+    sure = salted_join(pairs.where(direct), keys, ["profile"], F.xxhash64("query")) if keep else (
+        pairs.where(direct).join(keys, "profile"))
     open_pairs = pairs.where(~direct).withColumn("word", F.explode(F.array_distinct(first)))
     asked = open_pairs.select("profile", "word").distinct()
     members = rows.select("issue_key", "profile").join(
         asked.select("profile").distinct(), "profile", "left_semi"
     )
     text = F.concat_ws(" ", "summary", "description", F.array_join("labels", " "))
+    asked_of = asked.groupBy("profile").agg(F.collect_set("word").alias("asked"))  # few per profile
     held = (
-        issues.select("issue_key", keyword_set(text).alias("all_words"))
-        .join(members, "issue_key")
-        .select("profile", "issue_key", F.explode("all_words").alias("word"))
-        .join(asked, ["profile", "word"], "left_semi")
+        issues.select("issue_key", text.alias("text"))
+        .join(members, "issue_key").join(asked_of, "profile")  # before any text is taken apart
+        .select("profile", "issue_key", F.explode(
+            F.array_intersect("asked", keyword_set("text"))).alias("word"))
     )
-    rank = F.row_number().over(Window.partitionBy("profile", "word").orderBy("issue_key"))
-    held = held.withColumn("n", rank).where(F.col("n") <= keep).drop("n")
+    held = _first_keys(held, ["profile", "word"], keep)
     late = open_pairs.join(held, ["profile", "word"]).drop("word").dropDuplicates(
         ["query", "issue_key"]
     )
@@ -125,11 +131,11 @@ def rank_matches(
     errors: DataFrame,
     issues: DataFrame,
     min_score: float = 0.3,
-    max_results: int = 10,
+    max_results: int | None = 10,
     comments: str | None = None,
     search: bool = False,
 ) -> DataFrame:
-    """query, rank, issue_key and score parts for distinct errors.
+    """query, rank, issue_key and score parts for distinct errors; all matches without a limit.
 
     ``errors`` has query, signature, error_keywords and is read several times, so pass a
     staged table. ``search`` applies the candidate rule of the one-call report: settled
@@ -144,7 +150,7 @@ def rank_matches(
     if search:
         issues = issues.where(S.settled("status"))
     rows = staged(issue_profiles(issues, comments))
-    profiles = staged(_profile_table(rows, max_results))
+    profiles = staged(_profile_table(rows))
     queries = staged(
         errors.where(F.size("error_keywords") > 0)
         .groupBy("query")
@@ -162,15 +168,19 @@ def rank_matches(
         .where(_within_reach(min_score))
         .drop("left_id", "right_id")
     )
-    scored = _scored(pairs).where(F.col("score") >= min_score)
+    # Written down before the filter: each pair is scored once, whoever reads it.
+    scored = staged(_scored(pairs)).where(F.col("score") >= min_score)
     if search:
         scored = _found_by_search(scored, rows, issues, max_results)
     else:
-        scored = scored.withColumn("issue_key", F.explode("keys"))
+        keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], max_results)
+        scored = scored.join(keys, "profile")
     rank = F.row_number().over(
         Window.partitionBy("query").orderBy(F.desc("score"), F.asc("issue_key"))
     )
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= max_results)
+    best = scored.withColumn("rank", rank)
+    if max_results is not None:
+        best = best.where(F.col("rank") <= max_results)
     matching = F.array_sort(F.array_intersect(F.array_distinct("error_keywords"), "words"))
     return best.select(
         "query", "rank", "issue_key", F.col("score").alias("similarity_score"),
@@ -201,12 +211,17 @@ def match_issues(
 ) -> DataFrame:
     """Matches of every error ``(id, signature, error_keywords)``, best first by rank.
 
+    A ``min_score`` that issues without a shared keyword could reach (0.22 or less) is
+    refused, as it would ask for all pairs.
+
     With comments, ``issues`` carries the columns ``issues.with_comments`` adds.
     """
     first, telling = ("first_comments", "match_comments") if with_comments else (None, None)
     keyed = staged(error_queries(errors.select("id", "signature", "error_keywords")))
     ranked = rank_matches(keyed, issues, min_score, max_results, first, search)
-    reported = ranked.join(issue_report(issues, base_url, telling), "issue_key")
+    ranked = staged(ranked)
+    found = issues.join(ranked.select("issue_key").distinct(), "issue_key", "left_semi")
+    reported = ranked.join(issue_report(found, base_url, telling), "issue_key")
     ids = keyed.select("id", "query")
     return salted_join(ids, reported, ["query"], F.xxhash64("id")).drop("query")
 

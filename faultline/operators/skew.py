@@ -20,18 +20,20 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], salt: Column,
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 
-def left_lookup(many: DataFrame, few: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Left join on a key that is often missing.
+def left_lookup(many: DataFrame, few: DataFrame, key: str | list[str], spread: Column) -> DataFrame:
+    """Left join on a key, of one column or several, that is often missing.
 
     All missing keys would hash to one task; here they are spread by ``spread``. Frequent
     values are left to the skew handling of adaptive execution, which may split them, as
     nothing after the join needs its partitioning.
     """
-    left = many.withColumn(
-        "_spread", F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0))
-    )
+    keys = [key] if isinstance(key, str) else key
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    left = many.withColumn("_spread", F.when(missing, F.xxhash64(spread)).otherwise(F.lit(0)))
     right = few.withColumn("_spread", F.lit(0).cast("bigint"))
-    return left.join(right, [key, "_spread"], "left").drop("_spread")
+    return left.join(right, [*keys, "_spread"], "left").drop("_spread")
 
 
 def number_rows(df: DataFrame, key: str, order: list[str], slice_col: str, out: str) -> DataFrame:
@@ -49,8 +51,10 @@ def number_rows(df: DataFrame, key: str, order: list[str], slice_col: str, out:
         key, slice_col, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
     )
     inside = Window.partitionBy(key, slice_col).orderBy(*order)
+    shifts = shifts.select(F.col(key).alias("_k"), F.col(slice_col).alias("_s"), "_shift")
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(slice_col).eqNullSafe(F.col("_s"))
     return (
-        df.join(shifts, [key, slice_col])
+        df.join(shifts, same).drop("_k", "_s")
         .withColumn(out, (F.row_number().over(inside) + F.col("_shift")).cast("int"))
         .drop("_shift")
     )

@@ -231,17 +231,25 @@ test_details.__test__ = False  # not a pytest case
 def with_log_path(wh: Warehouse, tests: DataFrame) -> DataFrame:
     """Tests with log_file: the log of the newest command of their failed job.
 
-    The newest command decides even if its path is missing. Commands of jobs that no
-    given test refers to are dropped before they are grouped.
+    A job's id counts within its run. The newest command decides even if its path is
+    missing. Commands of jobs that no given test refers to are dropped before they are
+    ranked, and those of other runs are not read where the table is laid out by run.
     """
-    wanted = tests.select("failed_job_run_ref").where(F.col("failed_job_run_ref").isNotNull())
+    run = "regression_run_id" if "regression_run_id" in tests.columns else "regression_run_ref"
+    key = [run, "failed_job_run_ref"]
+    wanted = tests.select(*key).where(F.col("failed_job_run_ref").isNotNull())
     cmds = wh.job_cmd.select(
-        F.col("job_run_ref").alias("failed_job_run_ref"), "job_cmd_id", "log_file"
-    ).join(wanted, "failed_job_run_ref", "left_semi")
-    newest = cmds.groupBy("failed_job_run_ref").agg(
-        F.max_by(F.nullif(F.col("log_file"), F.lit("")), F.col("job_cmd_id")).alias("log_file")
-    )
-    return left_lookup(tests, newest, "failed_job_run_ref", F.col("test_object_run_id"))
+        F.col("regression_run_ref").alias(run), F.col("job_run_ref").alias("failed_job_run_ref"),
+        "job_cmd_id", "log_file",
+    ).join(wanted, key, "left_semi")
+    newest = _newest_command(cmds, key).select(
+        *key, F.nullif(F.col("log_file"), F.lit("")).alias("log_file"))
+    return left_lookup(tests, newest, key, F.col("test_object_run_id"))
+
+
+def _newest_command(cmds: DataFrame, job: list[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*job).orderBy(F.desc("job_cmd_id")))
+    return cmds.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
 def log_paths(wh: Warehouse, tests: DataFrame | None = None) -> DataFrame:
@@ -353,9 +361,17 @@ def latest_run_with_test(wh: Warehouse, runs: int = 100) -> DataFrame:
     )
 
 
-def job_details(wh: Warehouse, job_run_id: int | None = None) -> DataFrame:
-    """Jobs with their newest command as a nested record, null if there is none."""
+def job_details(
+    wh: Warehouse, regression_run_id: int | None = None, job_run_id: int | None = None
+) -> DataFrame:
+    """Jobs with their newest command as a nested record, null if there is none.
+
+    A job is known by its run and its id.
+    """
     jobs, cmds = wh.job_run, wh.job_cmd
+    if regression_run_id is not None:
+        jobs = jobs.where(F.col("regression_run_id") == regression_run_id)
+        cmds = cmds.where(F.col("regression_run_ref") == regression_run_id)
     if job_run_id is not None:
         jobs = jobs.where(F.col("job_run_id") == job_run_id)
         cmds = cmds.where(F.col("job_run_ref") == job_run_id)
@@ -363,5 +379,7 @@ def job_details(wh: Warehouse, job_run_id: int | None = None) -> DataFrame:
         F.col("job_cmd_id").alias("cmd_id"), "cmd", "log_file", "exit_code",
         "start_time", "end_time", "host",
     )
-    newest = cmds.groupBy("job_run_ref").agg(F.max_by(fields, "job_cmd_id").alias("command"))
-    return jobs.join(newest, jobs.job_run_id == newest.job_run_ref, "left").drop("job_run_ref")
+    key = ["regression_run_ref", "job_run_ref"]
+    newest = _newest_command(cmds, key).select(*key, fields.alias("command"))
+    same = (jobs.regression_run_id == newest.regression_run_ref) & (jobs.job_run_id == newest.job_run_ref)
+    return jobs.join(newest, same, "left").drop(*key)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.skew import number_rows
 from ..operators.warehouse import Warehouse
+from ..sources.logs import lines_of_text
 
 TRACKER = "https://tracker.example.org/"
 
@@ -118,10 +119,15 @@ class Inputs:
             )
         )
 
+    def _jobs(self) -> DataFrame:
+        """Orders with the id of their job, which counts within the run."""
+        order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+        return self.table("orders").withColumn("job", F.row_number().over(order).cast("bigint"))
+
     def _facts(self) -> DataFrame:
         parts = self._rows("part")
         part = self.table("part").select("p_partkey", "p_type", "p_size")
-        o = self.table("orders").withColumn("p_partkey", F.col("o_orderkey") % parts)
+        o = self._jobs().withColumn("p_partkey", F.col("o_orderkey") % parts)
         key = F.col("o_orderkey")
         failed = F.col("o_orderstatus") == "F"
         return o.join(part, "p_partkey").select(
@@ -140,15 +146,15 @@ class Inputs:
             (key % 5).cast("int").alias("num_warning"),
             F.concat(F.lit("host"), (key % 64).cast("string")).alias("host"),
             (key * 7919 % 100003).alias("random_seed"),
-            F.when(failed & (key % 13 != 0), key).alias("failed_job_run_ref"),
+            F.when(failed & (key % 13 != 0), F.col("job")).alias("failed_job_run_ref"),
             (F.col("o_totalprice") / 100).alias("mem_usage"),
             (key % 4 * 1024).cast("int").alias("lsf_req_mb"),
         )
 
     def _job_run(self) -> DataFrame:
         key = F.col("o_orderkey")
-        return self.table("orders").select(
-            key.alias("job_run_id"), F.col("o_custkey").alias("regression_run_id"),
+        return self._jobs().select(
+            F.col("job").alias("job_run_id"), F.col("o_custkey").alias("regression_run_id"),
             F.concat(F.lit("job_"), key.cast("string")).alias("job_run_name"),
             F.col("o_orderstatus").alias("status"),
             F.concat(F.lit("host"), (key % 64).cast("string")).alias("host"),
@@ -159,17 +165,17 @@ class Inputs:
         )
 
     def _job_cmd(self) -> DataFrame:
-        from pyspark.sql import Window
-
-        users = self.table("events").agg(F.max("user_id")).first()[0] + 1
+        users = self._users
         order = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
             "l_discount", "l_tax", "l_shipdate",
         )
         key = F.col("l_orderkey")
-        return self.table("lineitem").select(
+        jobs = self._jobs().select("o_orderkey", "o_custkey", "job")
+        lines = self.table("lineitem")
+        return lines.join(jobs, lines.l_orderkey == jobs.o_orderkey).select(
             F.row_number().over(order).cast("bigint").alias("job_cmd_id"),
-            key.alias("job_run_ref"),
+            F.col("o_custkey").alias("regression_run_ref"), F.col("job").alias("job_run_ref"),
             F.concat(F.lit("run "), F.col("l_partkey").cast("string")).alias("cmd"),
             F.when(F.col("l_partkey") % 19 != 0,
                    F.concat(F.lit("log/"), (key % users).cast("string"))).alias("log_file"),
@@ -180,39 +186,43 @@ class Inputs:
 
     # --------------------------------------------------------------------- logs
 
+    @cached_property
+    def _users(self) -> int:
+        return self.table("events").agg(F.max("user_id")).first()[0] + 1
+
+    @cached_property
+    def text_lines(self) -> DataFrame:
+        """Every line of every document, as a log of its own."""
+        name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+        return lines_of_text(self.table("documents").select(
+            "doc_id", name.alias("log_file"), F.col("text").alias("content")))
+
     @cached_property
     def log_lines(self) -> DataFrame:
-        docs = self._rows("documents")
-        head = self.table("documents").select("doc_id", headline().alias("head"))
-        numbered = number_rows(
-            self.table("events")
-            .select("event_id", "ts", "user_id", "event_type")
-            .withColumn("day", F.date_trunc("day", "ts")),
-            "user_id", ["ts", "event_id"], "day", "line_no",
-        )
-        e = numbered.withColumn("doc_id", F.col("event_id") % docs)
-        kind, num = F.col("event_type"), F.col("event_id")
-        text, nr = F.col("head"), num.cast("string")
-        error = kind == "error"
+        """Whole documents, one after the other, make the logs; some lines get a marker."""
+        pieces = lines_of_text(self.table("documents"), "doc_id", "text").select(
+            F.col("log_file").alias("doc_id"), F.col("line_no").alias("place"), F.col("line").alias("text"))
+        named = pieces.withColumn(
+            "log_file", F.concat(F.lit("log/"), (F.col("doc_id") % self._users).cast("string")))
+        e = number_rows(named, "log_file", ["place"], "doc_id", "line_no")
+        num, text = F.col("doc_id") * 7 + F.col("place"), F.col("text")
+        nr, kind = num.cast("string"), num % 16
         line = (
-            F.when(error & (num % 8 == 0), F.concat(F.lit("UVM_ERROR @ "), nr, F.lit(": "), text))
-            .when(error & (num % 8 == 1), F.lit("UVM_ERROR : 0"))
-            .when(error & (num % 8 == 2), F.concat(F.lit("ASSERTION FAILED "), text))
-            .when(error & (num % 8 == 3), F.lit("x error_count 7"))
-            .when(error, F.concat(F.lit("ERROR: "), text))
-            .when((kind == "click") & (num % 40 == 0),
-                  F.concat(F.lit("dv: ... running tool tool"), (num % 7).cast("string")))
-            .when((kind == "signup") & (num % 50 == 1),
-                  F.lit("cc1plus: warnings being treated as errors"))
-            .when((kind == "purchase") & (num % 60 == 2),
+            F.when(kind == 0, F.concat(F.lit("UVM_ERROR @ "), nr, F.lit(": "), text))
+            .when(kind == 1, F.lit("UVM_ERROR : 0"))
+            .when(kind == 2, F.concat(F.lit("ASSERTION FAILED "), text))
+            .when(kind == 3, F.lit("x error_count 7"))
+            .when(kind == 4, F.concat(F.lit("ERROR: "), text))
+            .when(kind == 5, F.concat(F.lit("dv: ... running tool tool"), (num % 7).cast("string")))
+            .when((kind == 6) & (num % 5 == 1), F.lit("cc1plus: warnings being treated as errors"))
+            .when((kind == 7) & (num % 6 == 1),
                   F.concat(F.lit("# action: gc(a)::suite"), (num % 3).cast("string"),
                            F.lit("/case"), (num % 11).cast("string"), F.lit(".tool9")))
-            .when((kind == "view") & (num % 3 == 0), F.concat(F.lit("warning: "), text))
-            .otherwise(F.concat(F.lit("info "), kind))
+            .when(kind < 8, F.concat(F.lit("warning: "), text))
+            .otherwise(F.concat(F.lit("info "), text))
         )
-        return e.join(head, "doc_id").select(
-            F.concat(F.lit("log/"), F.col("user_id").cast("string")).alias("log_file"),
-            "line_no",
+        return e.select(
+            "log_file", "line_no",
             # a generator output, so that tests on the line are not rewritten into
             # hundreds of copies of the expression that builds it
             F.explode(F.array(line)).alias("line"),
@@ -256,9 +266,13 @@ class Inputs:
         num = F.col("doc_id")
         key = lambda n: F.concat(F.lit("DOC-"), n.cast("string"))
         return self.table("documents").where(num % 5 != 0).select(
-            key(num).alias("src_key"), key(num - num % 5).alias("dst_key"),
+            key(num).alias("src_key"),
+            # some targets are outside the table
+            F.when(num % 11 == 0, F.concat(F.lit("GONE-"), num.cast("string")))
+            .otherwise(key(num - num % 5)).alias("dst_key"),
             F.when(num % 2 == 0, "outward").otherwise("inward").alias("direction"),
-            F.when(num % 3 != 0, F.lit("duplicates")).alias("relation"),
+            F.when(num % 3 != 0, F.lit("duplicates")).alias("outward"),
+            F.when(num % 3 != 0, F.lit("is duplicated by")).alias("inward"),
         )
 
     @cached_property

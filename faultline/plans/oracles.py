@@ -55,13 +55,14 @@ SELECT o.o_orderkey AS test_object_run_id, o.o_custkey AS regression_run_id,
        o.o_totalprice AS cpu_time, o.o_totalprice / 1000 AS sim_time,
        CAST(o.o_orderkey % 7 AS INTEGER) AS num_error, CAST(o.o_orderkey % 5 AS INTEGER) AS num_warning,
        concat('host', o.o_orderkey % 64) AS host, o.o_orderkey * 7919 % 100003 AS random_seed,
-       CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 13 <> 0 THEN o.o_orderkey END AS failed_job_run_ref,
+       CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 13 <> 0 THEN
+         row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) END AS failed_job_run_ref,
        o.o_totalprice / 100 AS mem_usage, CAST(o.o_orderkey % 4 * 1024 AS INTEGER) AS lsf_req_mb
 FROM orders o CROSS JOIN (SELECT count(*) AS n FROM part) k
 JOIN part p ON p.p_partkey = o.o_orderkey % k.n"""
 
 CTE["job_run"] = """
-SELECT o_orderkey AS job_run_id, o_custkey AS regression_run_id, concat('job_', o_orderkey) AS job_run_name,
+SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS job_run_id, o_custkey AS regression_run_id, concat('job_', o_orderkey) AS job_run_name,
        o_orderstatus AS status, concat('host', o_orderkey % 64) AS host, o_orderdate AS start_time,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END AS end_time,
        o_totalprice AS cpu_time, CAST(o_orderkey % 5 AS INTEGER) AS num_warning,
@@ -71,34 +72,37 @@ FROM orders"""
 CTE["job_cmd"] = """
 SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
          l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS job_cmd_id,
-       l_orderkey AS job_run_ref, concat('run ', l_partkey) AS cmd,
+       o.o_custkey AS regression_run_ref, o.job AS job_run_ref, concat('run ', l_partkey) AS cmd,
        CASE WHEN l_partkey % 19 = 0 THEN NULL
             ELSE concat('log/', l_orderkey % k.n) END AS log_file,
        CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS exit_code, l_shipdate AS start_time,
        l_shipdate AS end_time, concat('host', l_orderkey % 64) AS host
-FROM lineitem CROSS JOIN (SELECT max(user_id) + 1 AS n FROM events) k"""
+FROM lineitem CROSS JOIN (SELECT max(user_id) + 1 AS n FROM events) k
+JOIN (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS job
+      FROM orders) o ON o.o_orderkey = l_orderkey"""
 
-CTE["log_lines"] = f"""
-SELECT concat('log/', e.user_id) AS log_file,
-       CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS INTEGER) AS line_no,
+CTE["doc_lines"] = """
+SELECT doc_id, unnest(l) AS txt, generate_subscripts(l, 1) AS p
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+
+CTE["log_lines"] = """
+SELECT log_file, line_no,
        CASE
-         WHEN e.event_type = 'error' AND e.event_id % 8 = 0
-           THEN concat('UVM_ERROR @ ', e.event_id, ': ', d.head)
-         WHEN e.event_type = 'error' AND e.event_id % 8 = 1 THEN 'UVM_ERROR : 0'
-         WHEN e.event_type = 'error' AND e.event_id % 8 = 2 THEN concat('ASSERTION FAILED ', d.head)
-         WHEN e.event_type = 'error' AND e.event_id % 8 = 3 THEN 'x error_count 7'
-         WHEN e.event_type = 'error' THEN concat('ERROR: ', d.head)
-         WHEN e.event_type = 'click' AND e.event_id % 40 = 0
-           THEN concat('dv: ... running tool tool', e.event_id % 7)
-         WHEN e.event_type = 'signup' AND e.event_id % 50 = 1
-           THEN 'cc1plus: warnings being treated as errors'
-         WHEN e.event_type = 'purchase' AND e.event_id % 60 = 2
-           THEN concat('# action: gc(a)::suite', e.event_id % 3, '/case', e.event_id % 11, '.tool9')
-         WHEN e.event_type = 'view' AND e.event_id % 3 = 0 THEN concat('warning: ', d.head)
-         ELSE concat('info ', e.event_type)
+         WHEN num % 16 = 0 THEN concat('UVM_ERROR @ ', num, ': ', txt)
+         WHEN num % 16 = 1 THEN 'UVM_ERROR : 0'
+         WHEN num % 16 = 2 THEN concat('ASSERTION FAILED ', txt)
+         WHEN num % 16 = 3 THEN 'x error_count 7'
+         WHEN num % 16 = 4 THEN concat('ERROR: ', txt)
+         WHEN num % 16 = 5 THEN concat('dv: ... running tool tool', num % 7)
+         WHEN num % 16 = 6 AND num % 5 = 1 THEN 'cc1plus: warnings being treated as errors'
+         WHEN num % 16 = 7 AND num % 6 = 1
+           THEN concat('# action: gc(a)::suite', num % 3, '/case', num % 11, '.tool9')
+         WHEN num % 16 < 8 THEN concat('warning: ', txt)
+         ELSE concat('info ', txt)
        END AS line
-FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) k
-JOIN (SELECT doc_id, {_HEAD.format('text')} AS head FROM documents) d ON d.doc_id = e.event_id % k.n"""
+FROM (SELECT concat('log/', d.doc_id % k.n) AS log_file, d.txt, d.doc_id * 7 + d.p AS num,
+             CAST(row_number() OVER (PARTITION BY d.doc_id % k.n ORDER BY d.doc_id, d.p) AS INTEGER) AS line_no
+      FROM doc_lines d CROSS JOIN (SELECT max(user_id) + 1 AS n FROM events) k)"""
 
 CTE["issues"] = f"""
 SELECT concat('DOC-', d.doc_id) AS issue_key, d.source AS project, {_HEAD.format('d.text')} AS summary,
@@ -121,8 +125,9 @@ SELECT issue_key, list(body ORDER BY seq) AS bodies, count(*) AS n_comments
 FROM comments GROUP BY issue_key"""
 
 CTE["links"] = """
-SELECT concat('DOC-', doc_id) AS src_key, concat('DOC-', doc_id - doc_id % 5) AS dst_key,
-       CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'duplicates' END AS relation
+SELECT concat('DOC-', doc_id) AS src_key,
+       CASE WHEN doc_id % 11 = 0 THEN concat('GONE-', doc_id) ELSE concat('DOC-', doc_id - doc_id % 5) END AS dst_key,
+       CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'duplicates' ELSE 'is duplicated by' END AS relation
 FROM documents WHERE doc_id % 5 <> 0"""
 
 # ------------------------------------------------------------------------ log analysis
@@ -403,8 +408,9 @@ FROM analysis a LEFT JOIN words_analysis w ON w.id = a.log_file"""
 
 CTE["paths"] = """
 SELECT t.test_object_run_id, nullif(c.log_file, '') AS log_file
-FROM tor t LEFT JOIN (SELECT job_run_ref, arg_max_null(log_file, job_cmd_id) AS log_file
-                      FROM job_cmd GROUP BY job_run_ref) c ON c.job_run_ref = t.failed_job_run_ref"""
+FROM tor t LEFT JOIN (SELECT regression_run_ref, job_run_ref, arg_max_null(log_file, job_cmd_id) AS log_file
+                      FROM job_cmd GROUP BY ALL) c
+  ON c.job_run_ref = t.failed_job_run_ref AND c.regression_run_ref = t.regression_run_id"""
 
 CTE["details"] = """
 SELECT * FROM tor QUALIFY row_number() OVER (PARTITION BY regression_run_id, test_name
@@ -487,13 +493,14 @@ def _record(analysis: str, words: str) -> str:
             f"FROM {analysis} a LEFT JOIN {words} w ON w.id = a.log_file")
 
 
-def _pair_words(column: str, n: int) -> dict[str, str]:
+def _pair_words(column: str, n: int | None) -> dict[str, str]:
     return {"pair_words": _words(f"SELECT issue_key AS id, {column} AS txt FROM issues", n)}
 
 
 _PAIR = """(SELECT l.src_key, l.dst_key, coalesce(s.words, CAST([] AS VARCHAR[])) AS a,
   coalesce(d.words, CAST([] AS VARCHAR[])) AS b
-  FROM links l LEFT JOIN pair_words s ON s.id = l.src_key LEFT JOIN pair_words d ON d.id = l.dst_key)"""
+  FROM links l JOIN issues t ON t.issue_key = l.dst_key
+  LEFT JOIN pair_words s ON s.id = l.src_key LEFT JOIN pair_words d ON d.id = l.dst_key)"""
 
 
 def _duration(x: str) -> str:
@@ -658,7 +665,8 @@ SELECT j.*, c.job_cmd_id AS command_cmd_id, c.cmd AS command_cmd, c.log_file AS
        c.exit_code AS command_exit_code, c.start_time AS command_start_time, c.end_time AS command_end_time,
        c.host AS command_host
 FROM job_run j LEFT JOIN (SELECT * FROM job_cmd QUALIFY row_number() OVER (
-  PARTITION BY job_run_ref ORDER BY job_cmd_id DESC) = 1) c ON c.job_run_ref = j.job_run_id""")
+  PARTITION BY regression_run_ref, job_run_ref ORDER BY job_cmd_id DESC) = 1) c
+  ON c.job_run_ref = j.job_run_id AND c.regression_run_ref = j.regression_run_id""")
     add("runs_by_regression", f"SELECT regression_ref, {_RUN} FROM runs")
     add("list_runs", f"SELECT {_RUN} FROM runs")
     add("latest_runs", """
@@ -681,6 +689,7 @@ FROM ({_analysed('details')})""")
 
     # logs
     add("log_lines", "SELECT * FROM log_lines")
+    add("lines_of_text", "SELECT concat('doc/', doc_id) AS log_file, CAST(p AS INTEGER) AS line_no, txt AS line FROM doc_lines")
     add("ignored_lines", "SELECT log_file, line_no, line FROM classified WHERE ign")
     add("classified_lines", "SELECT log_file, line_no, line, level, pos FROM classified WHERE level IS NOT NULL")
     add("custom_rules", "SELECT log_file, line_no, line, level, pos FROM custom WHERE level IS NOT NULL")
@@ -743,7 +752,7 @@ SELECT test_object_run_id, {_duration('cpu_time')} AS cpu, {_duration('sim_time'
 SELECT src_key, dst_key, {_jaccard('a', 'b')} AS score,
        array_to_string(CASE WHEN len(a) = 0 OR len(b) = 0 THEN {_EMPTY} ELSE list_sort(list_intersect(a, b)) END, ' ') AS matching,
        CAST(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(a) + len(b) - len(list_intersect(a, b)) END AS INTEGER) AS total
-FROM {_PAIR}""", _pair_words("description", Q.PAIR_WORDS))
+FROM {_PAIR}""", _pair_words("description", None))
     add("simple_similarity", f"SELECT src_key, dst_key, {_jaccard('a', 'b')} AS score FROM {_PAIR}",
         _pair_words("description", 20))
     add("compare_errors", f"""
@@ -802,14 +811,17 @@ SELECT regression_run_id, count(*) AS total_failed_tests, count(*) FILTER (has_s
        count(*) FILTER (NOT has_solution) AS tests_without_solutions
 FROM batch WHERE coalesce(rank, 1) = 1 GROUP BY regression_run_id""", batch)
     add("frequent_issues", """
-SELECT issue_key, count(DISTINCT test_object_run_id) AS n_tests FROM batch WHERE issue_key IS NOT NULL
-GROUP BY issue_key ORDER BY n_tests DESC, issue_key LIMIT 10""", batch)
+SELECT m.issue_key, count(DISTINCT e.test_object_run_id) AS n_tests FROM errors e JOIN matches m ON m.query = e.query
+GROUP BY m.issue_key""", _solutions("failed", 2**31))
 
     # issues
     add("search_issues", f"SELECT {_BRIEF} FROM issues WHERE status = 'Resolved' AND list_contains(labels, 'en') {_TOP.format(50)}")
     add("search_text", f"""
 SELECT {_BRIEF} FROM issues i JOIN full_words f ON f.id = i.issue_key
 WHERE list_has_all(f.words, [{_list(Q.SEARCH_TEXT.split())}]) AND {_SETTLED.format('status')} {_TOP.format(20)}""")
+    add("search_text_short", f"""
+SELECT {_BRIEF} FROM issues WHERE list_has_all(regexp_extract_all(
+  lower(concat_ws(' ', summary, description, array_to_string(labels, ' '))), '[\\p{{L}}\\p{{N}}_]+'), ['to', 'is'])""")
     add("issue_comments", """
 SELECT issue_key, seq, author, body, CAST(row_number() OVER (PARTITION BY issue_key ORDER BY seq) AS INTEGER) AS position
 FROM comments""")
@@ -819,9 +831,10 @@ SELECT {_BRIEF}, description, array_to_string(labels, ' ') AS labels,
     add("labels_any", f"SELECT {_BRIEF} FROM issues WHERE list_has_any(labels, [{_list(Q.LABELS)}]) {_TOP.format(20)}")
     add("labels_all", f"SELECT {_BRIEF} FROM issues WHERE list_has_all(labels, [{_list(Q.LABELS)}]) {_TOP.format(20)}")
     add("related_issues", f"""
-SELECT l.src_key AS issue_key, l.dst_key AS key, i.summary, i.status, coalesce(l.relation, 'relates to') AS relation,
+SELECT l.src_key AS issue_key, l.dst_key AS key, coalesce(i.summary, '') AS summary,
+       coalesce(i.status, 'Unknown') AS status, coalesce(l.relation, 'relates to') AS relation,
        concat({_q(TRACKER.rstrip('/'))}, '/browse/', l.dst_key) AS link
-FROM links l JOIN issues i ON i.issue_key = l.dst_key""")
+FROM links l LEFT JOIN issues i ON i.issue_key = l.dst_key""")
     add("project_info", f"""
 SELECT n.n_name AS key, concat(upper(n.n_name[1]), lower(n.n_name[2:])) AS name, r.r_name AS description, s.lead,
        concat({_q(TRACKER.rstrip('/'))}, '/browse/', n.n_name) AS url
@@ -839,7 +852,7 @@ SELECT signature, CAST(rank AS INTEGER) AS rank, earlier_signature, score, n_fai
 WHERE rank <= 5""", _similar_failures())
     words = "|".join(S.ISSUE_SOLUTION_WORDS)
     add("solution_sentences_all", f"""
-SELECT issue_key, seq, CAST(p - 1 AS INTEGER) AS pos, left(trim(s, {_WS}), 200) AS sentence FROM (
+SELECT issue_key, seq, CAST(p - 1 AS INTEGER) AS pos, trim(s, {_WS}) AS sentence FROM (
   SELECT issue_key, seq, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (
     SELECT issue_key, -1 AS seq, string_split(description, '.') AS l FROM issues
     UNION ALL SELECT issue_key, seq, string_split(body, '.') FROM comments))

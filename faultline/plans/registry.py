@@ -29,9 +29,9 @@ LINE_LIMIT = 30
 END_BYTES = 2000
 SEARCH_WORDS = ("workaround", "restart", "scum")
 SEARCH_TEXT = "workaround restart"
+SEARCH_SHORT = "to IS"
 LABELS = ("fr", "src1")
 GROUP_THRESHOLD = 0.25
-PAIR_WORDS = 10
 CUSTOM_RULES = (
     Rule(r"tool[0-4]$", 6, "custom:tool"),
     Rule(r"^info purchase", 2, "custom:purchase"),
@@ -165,6 +165,10 @@ def log_lines(x):
     return x.log_lines
 
 
+def lines_of_text(x):
+    return x.text_lines
+
+
 def ignored_lines(x):
     return L.ignored_lines(x.log_lines)
 
@@ -281,7 +285,7 @@ def issue_link(x):
 
 def keyword_jaccard(x):
     p = _linked(x).withColumn("j", S.keyword_jaccard(
-        T.keywords("src_description", PAIR_WORDS), T.keywords("dst_description", PAIR_WORDS)))
+        T.keyword_set("src_description"), T.keyword_set("dst_description")))
     return p.select("src_key", "dst_key", "j.score", "j.matching", "j.total")
 
 
@@ -392,6 +396,10 @@ def search_text(x):
         x.issues, SEARCH_TEXT, status="resolved", updated="updated_s").select(*_BRIEF)
 
 
+def search_text_short(x):
+    return I.search_text(x.issues, SEARCH_SHORT, max_results=None, updated="updated_s").select(*_BRIEF)
+
+
 def issue_comments(x):
     return I.issue_comments(x.comments).drop("created")
 
@@ -432,7 +440,7 @@ def issue_stats(x):
 
 
 def frequent_issues(x):
-    return P.frequent_issues(_batch(x))
+    return P.frequent_issues(x.warehouse, x.log_lines, x.issues)
 
 
 def resolution_time(x):
@@ -444,7 +452,7 @@ QUERIES = (
     regression_summary, search_tests_run, search_tests_recent, job_details,
     runs_by_regression, list_runs, latest_runs, latest_run_with_test,
     failed_tests_with_errors, test_details_with_errors,
-    log_lines, ignored_lines, classified_lines, warnings_as_errors, log_fileentity,
+    log_lines, lines_of_text, ignored_lines, classified_lines, warnings_as_errors, log_fileentity,
     tool_events, first_error, analyze_failure, analyze_failure_capped, head_tail_lines,
     all_errors, log_tail, error_context, has_error, test_log_report, custom_rules,
     keywords, test_name_keywords, clean_text, truncate_text, format_duration,
@@ -453,7 +461,7 @@ QUERIES = (
     match_scores, match_issues, resolved_matches, match_groups, compare_errors,
     suggest_keywords, candidate_issues, solution_sentence_match, solution_sentence_issue,
     find_solutions, batch_solutions, batch_summary,
-    search_issues, search_text, issue_comments, issue_details, labels_any, labels_all,
+    search_issues, search_text, search_text_short, issue_comments, issue_details, labels_any, labels_all,
     related_issues, project_info,
     similar_failures, solution_sentences_all, issue_stats, frequent_issues, resolution_time,
 )

@@ -28,12 +28,11 @@ def with_analysis(
     Suite and test are known here (block and test name), so logs are analysed without
     looking for them, once per log however many tests share it.
     """
-    found = L.analyze_logs(lines, rules, detect=False).drop("suite", "test")
+    tests = staged(W.with_log_path(wh, tests))  # the star is evaluated once
+    found = L.analyze_logs(wanted_lines(lines, tests), rules, detect=False).drop("suite", "test")
     found = found.select("log_file", F.struct(*[c for c in found.columns if c != "log_file"])
                          .alias("a"))
-    rows = left_lookup(
-        W.with_log_path(wh, tests), found, "log_file", F.col("test_object_run_id")
-    )
+    rows = left_lookup(tests, found, "log_file", F.col("test_object_run_id"))
     words = F.col("a.error_keywords")
     return rows.withColumn(
         "analysis",
@@ -47,6 +46,12 @@ def with_analysis(
     ).drop("a")
 
 
+def wanted_lines(lines: DataFrame, tests: DataFrame) -> DataFrame:
+    """Lines of the logs that some test refers to; nothing else of the logs is analysed."""
+    logs = tests.select("log_file").where(F.col("log_file").isNotNull()).distinct()
+    return lines.join(logs, "log_file", "left_semi")
+
+
 def failed_tests_with_errors(wh: W.Warehouse, lines: DataFrame, **which) -> DataFrame:
     """Failed tests with signature, keywords, level, tool and path of their log."""
     rows = with_analysis(wh, W.failed_rows(wh, **which), lines)
@@ -69,7 +74,7 @@ def test_details_with_errors(wh: W.Warehouse, lines: DataFrame, **which) -> Data
 def test_log_report(wh: W.Warehouse, lines: DataFrame, **which) -> DataFrame:
     """Analysis and log tail of each test, or the reason why there is none."""
     rows = with_analysis(wh, W.test_details(wh, **which), lines)
-    tails = L.log_tail_text(lines, REPORT_TAIL)
+    tails = L.log_tail_text(wanted_lines(lines, rows), REPORT_TAIL)
     rows = left_lookup(rows, tails, "log_file", F.col("test_object_run_id"))
     no_path, no_log = F.col("log_file").isNull(), F.col("analysis").isNull()
     return rows.select(
@@ -120,10 +125,11 @@ def find_solutions(
     errors = staged(M.error_queries(test_errors(wh, tests, lines)))
     ranked = M.rank_matches(errors, issues, min_score, max_results, search=True)
     per_query = Window.partitionBy("query")
-    ranked = ranked.withColumn(
+    ranked = staged(ranked.withColumn(
         "relevant_matches", F.count(F.lit(1)).over(per_query)
-    ).withColumn("top_match_score", F.max("similarity_score").over(per_query))
-    matches = ranked.join(M.issue_report(issues, base_url), "issue_key")
+    ).withColumn("top_match_score", F.max("similarity_score").over(per_query)))
+    found = issues.join(ranked.select("issue_key").distinct(), "issue_key", "left_semi")
+    matches = ranked.join(M.issue_report(found, base_url), "issue_key")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     # an error may be that of a third of all tests; its matches are few
     rows = salted_join(
@@ -141,14 +147,14 @@ def find_solutions(
 
 def batch_solutions(
     wh: W.Warehouse, lines: DataFrame, issues: DataFrame, base_url: str = "",
-    limit: int | None = None, **which,
+    limit: int | None = None, results: int = BATCH_RESULTS, shown: int = BATCH_SHOWN, **which,
 ) -> DataFrame:
-    """The first three matches of every failed test."""
+    """The first ``shown`` of the ``results`` best matches of every failed test."""
     tests = W.failed_rows(wh, limit=limit, **which)
-    found = find_solutions(wh, lines, issues, base_url, tests=tests, max_results=BATCH_RESULTS)
+    found = find_solutions(wh, lines, issues, base_url, tests=tests, max_results=results)
     return (
         found.withColumn("has_solution", F.col("issue_key").isNotNull())
-        .where(F.coalesce("rank", F.lit(1)) <= BATCH_SHOWN)
+        .where(F.coalesce("rank", F.lit(1)) <= shown)
         .select("regression_run_id", "test_object_run_id", "test_name", "has_solution",
                 "error_keywords", "rank", "issue_key", "similarity_score",
                 "matching_keywords", "relevance_reason", "solution_summary")
@@ -165,14 +171,20 @@ def batch_summary(batch: DataFrame) -> DataFrame:
     )
 
 
-def frequent_issues(batch: DataFrame, k: int = 10) -> DataFrame:
-    """Issues matched by the most tests."""
-    return (
-        batch.where(F.col("issue_key").isNotNull())
-        .groupBy("issue_key")
-        .agg(F.count_distinct("test_object_run_id").alias("n_tests"))
-        .orderBy(F.desc("n_tests"), F.asc("issue_key")).limit(k)
-    )
+def frequent_issues(
+    wh: W.Warehouse, lines: DataFrame, issues: DataFrame, k: int | None = None,
+    min_score: float = 0.3, **which,
+) -> DataFrame:
+    """Issues by the number of failed tests that they match, over all matches of a test.
+
+    Distinct errors are counted with the tests that have them, then summed by issue, so no
+    match is joined back to single tests. ``k`` keeps the most frequent ones only.
+    """
+    errors = staged(M.error_queries(test_errors(wh, W.failed_rows(wh, **which), lines)))
+    ranked = M.rank_matches(errors, issues, min_score, None, search=True)
+    tests = errors.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    counted = ranked.join(tests, "query").groupBy("issue_key").agg(F.sum("n").alias("n_tests"))
+    return counted if k is None else counted.orderBy(F.desc("n_tests"), F.asc("issue_key")).limit(k)
 
 
 def similar_failures(errors: DataFrame, min_score: float = 0.3, k: int = 5) -> DataFrame:

@@ -20,7 +20,8 @@ JOB_RUN = (
     " num_warning INT, num_error INT"
 )
 JOB_CMD = (
-    "job_cmd_id BIGINT, job_run_ref BIGINT, cmd STRING, log_file STRING, exit_code INT,"
+    "job_cmd_id BIGINT, regression_run_ref BIGINT, job_run_ref BIGINT, cmd STRING,"
+    " log_file STRING, exit_code INT,"
     " start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ, host STRING"
 )
 LOG_LINES = "log_file STRING, line_no INT, line STRING"
@@ -33,4 +34,6 @@ ISSUE = (
 COMMENT = (
     "issue_key STRING, seq BIGINT, author STRING, body STRING, created STRING, updated STRING"
 )
-ISSUE_LINK = "src_key STRING, dst_key STRING, direction STRING, relation STRING"
+ISSUE_LINK = (
+    "src_key STRING, dst_key STRING, direction STRING, outward STRING, inward STRING"
+)
