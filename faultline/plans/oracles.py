@@ -585,7 +585,7 @@ SELECT id, rank, CASE WHEN leader = rank THEN list_append(leaders, rank) ELSE le
 
 
 def _tfidf() -> dict[str, str]:
-    stop = _list(w for w in T.NOISE_WORDS if len(w) > 1)
+    stop = _list(w for w in T.ENGLISH_STOP_WORDS if len(w) > 1)
     return {
         "toks": f"""
 SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY p) AS p FROM (
@@ -764,7 +764,7 @@ SELECT p.src_key, p.dst_key, coalesce(edit.ratio, 0.0::DOUBLE) AS ratio
 FROM {_LINKED} p LEFT JOIN edit ON {_ratio('p.src_summary', 'p.dst_summary')}""", edit_pairs)
     add("tfidf_cosine", """
 SELECT l.src_key AS left_id, l.dst_key AS right_id,
-       round(least(1.0, greatest(0.0, coalesce(any_value(x.dot) / (any_value(a.norm) * any_value(b.norm)), 0.0))), 6) AS cosine
+       round(least(1.0, greatest(0.0, coalesce(any_value(x.dot) / (any_value(a.norm) * any_value(b.norm)), 0.0))), 9) AS cosine
 FROM links l LEFT JOIN (
   SELECT l.src_key, l.dst_key, sum(p.w * q.w) AS dot FROM links l JOIN weighted p ON p.id = l.src_key
   JOIN weighted q ON q.id = l.dst_key AND q.term = p.term GROUP BY 1, 2) x

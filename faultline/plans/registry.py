@@ -302,7 +302,7 @@ def edit_similarity(x):
 def tfidf_pairs(x):
     docs = x.issues.select(F.col("issue_key").alias("id"), F.col("description").alias("text"))
     pairs = x.issue_links.select(F.col("src_key").alias("left_id"), F.col("dst_key").alias("right_id"))
-    return tfidf_cosine(docs, pairs).withColumn("cosine", F.round("cosine", 6))
+    return tfidf_cosine(docs, pairs).withColumn("cosine", F.round("cosine", 9))
 
 
 def issue_text(x):
