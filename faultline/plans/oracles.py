@@ -608,12 +608,11 @@ CROSS JOIN (SELECT count(*) AS n FROM issues) k WHERE d.df <= 0.9 * k.n""",
 def _similar_failures() -> dict[str, str]:
     return {
         "errors": _test_errors("failed"),
-        "sig_words": _words("SELECT DISTINCT sig AS id, sig AS txt FROM errors", 10),
-        "families": "SELECT id, list_sort(list_filter(words, lambda w: NOT regexp_matches(w, '[0-9]'))) AS words "
-                    "FROM sig_words",
+        "sig_words": _words("SELECT DISTINCT sig AS id, sig AS txt FROM errors", None),
+        "families": "SELECT id, list_sort(words) AS words FROM sig_words",
         "seen": "SELECT f.words, min(e.sig) AS sig, count(*) AS n_failures, min(e.end_time) AS first_seen, "
-                "max(e.end_time) AS last_seen FROM errors e JOIN families f ON f.id = e.sig "
-                "WHERE e.end_time IS NOT NULL AND len(f.words) > 0 GROUP BY f.words",
+                "max(e.end_time) AS last_seen, bool_or(e.end_time IS NULL) AS open "
+                "FROM errors e JOIN families f ON f.id = e.sig WHERE len(f.words) > 0 GROUP BY f.words",
     }
 
 
@@ -848,7 +847,7 @@ SELECT signature, CAST(rank AS INTEGER) AS rank, earlier_signature, score, n_fai
   SELECT *, row_number() OVER (PARTITION BY words ORDER BY score DESC, first_seen DESC, earlier_signature) AS rank
   FROM (SELECT a.words, a.sig AS signature, b.sig AS earlier_signature, {score} AS score, b.n_failures, b.first_seen,
                b.last_seen
-        FROM seen a JOIN seen b ON b.first_seen < a.first_seen) WHERE score >= 0.3)
+        FROM seen a JOIN seen b ON b.first_seen < a.last_seen OR (a.open AND b.first_seen IS NOT NULL)) WHERE score >= 0.3)
 WHERE rank <= 5""", _similar_failures())
     words = "|".join(S.ISSUE_SOLUTION_WORDS)
     add("solution_sentences_all", f"""

@@ -26,6 +26,7 @@ from .fixtures import TRACKER, Inputs
 NAME_KEYWORD = "ring"
 SEARCH_LIMIT = 10
 LINE_LIMIT = 30
+SIMILAR_LIMIT = 5
 END_BYTES = 2000
 SEARCH_WORDS = ("workaround", "restart", "scum")
 SEARCH_TEXT = "workaround restart"
@@ -428,7 +429,7 @@ def project_info(x):
 
 def similar_failures(x):
     tests = W.failed_rows(x.warehouse)
-    return P.similar_failures(P.test_errors(x.warehouse, tests, x.log_lines))
+    return P.similar_failures(P.test_errors(x.warehouse, tests, x.log_lines), k=SIMILAR_LIMIT)
 
 
 def solution_sentences_all(x):

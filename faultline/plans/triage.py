@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import similarity as S
 from ..functions.rules import ERROR_RULES
-from ..functions.text import keywords, test_name_keywords
+from ..functions.text import keyword_set, test_name_keywords
 from ..operators import logscan as L
 from ..operators import matching as M
 from ..operators import warehouse as W
@@ -187,26 +187,27 @@ def frequent_issues(
     return counted if k is None else counted.orderBy(F.desc("n_tests"), F.asc("issue_key")).limit(k)
 
 
-def similar_failures(errors: DataFrame, min_score: float = 0.3, k: int = 5) -> DataFrame:
-    """For each family of errors, the ``k`` most similar families that failed earlier.
+def similar_failures(errors: DataFrame, min_score: float = 0.3, k: int | None = None) -> DataFrame:
+    """For each family of failures, similar families that failed before its last failure.
 
-    ``errors`` has signature, end_time. Signatures that differ only in keywords with
-    digits (addresses, counters, times) form one family, so a fault that makes up most
-    failures is compared once, however often its numbers change.
+    ``errors`` has signature, end_time. Failures with the same set of keywords form one
+    family, with their number and times. A family counts among its own earlier ones if it
+    failed more than once; a failure without an end time is later than all others, and
+    a family that has no other has no time to be found by. ``k`` keeps the best of each.
     """
-    words = F.filter(keywords("signature", 10), lambda w: ~w.rlike("[0-9]"))
     seen = staged(
-        errors.where(F.col("end_time").isNotNull())
-        .withColumn("words", F.array_sort(words))
+        errors.withColumn("words", F.array_sort(keyword_set("signature")))
         .where(F.size("words") > 0)
         .groupBy("words")
         .agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("n_failures"),
-             F.min("end_time").alias("first_seen"), F.max("end_time").alias("last_seen"))
+             F.min("end_time").alias("first_seen"), F.max("end_time").alias("last_seen"),
+             F.bool_or(F.col("end_time").isNull()).alias("open"))
         .withColumn("id", F.md5(F.array_join("words", " ")))
     )
-    sets = seen.select("id", "words")
-    pairs = similar_sets(sets, sets, min_score / S.COMPARE_KEYWORD_WEIGHT)
-    new = seen.select(F.col("id").alias("left_id"), "signature", F.col("first_seen").alias("at"))
+    later = seen.select("id", "words")
+    earlier = seen.where(F.col("first_seen").isNotNull()).select("id", "words")
+    pairs = similar_sets(later, earlier, min_score / S.COMPARE_KEYWORD_WEIGHT)
+    new = seen.select(F.col("id").alias("left_id"), "signature", F.col("last_seen").alias("at"), "open")
     old = seen.select(
         F.col("id").alias("right_id"), F.col("signature").alias("earlier_signature"),
         "n_failures", "first_seen", "last_seen",
@@ -216,12 +217,13 @@ def similar_failures(errors: DataFrame, min_score: float = 0.3, k: int = 5) -> D
         Window.partitionBy("left_id").orderBy(
             F.desc("score"), F.desc("first_seen"), F.asc("earlier_signature"))
     )
-    return (
-        pairs.where(F.col("left_id") != F.col("right_id"))
-        .join(new, "left_id").join(old, "right_id")
-        .where(F.col("first_seen") < F.col("at"))
+    ranked = (
+        pairs.join(new, "left_id").join(old, "right_id")
+        .where(F.col("open") | (F.col("first_seen") < F.col("at")))
         .withColumn("score", score).where(F.col("score") >= min_score)
-        .withColumn("rank", rank).where(F.col("rank") <= k)
-        .select("signature", "rank", "earlier_signature", "score", "n_failures",
-                "first_seen", "last_seen")
+        .withColumn("rank", rank)
     )
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
+    return ranked.select("signature", "rank", "earlier_signature", "score", "n_failures",
+                         "first_seen", "last_seen")
