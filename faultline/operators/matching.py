@@ -15,8 +15,8 @@ from .simjoin import similar_sets
 from .skew import salted_join
 from .stage import staged
 
-# Keywords read from an issue, keywords that select candidates, and the
-# length of a description in a result.
+# Fixed values, all defaults of arguments: keywords read from an issue, keywords that
+# select candidates, and the length of a description in a result.
 ISSUE_KEYWORDS = 20
 SEARCH_KEYWORDS = 5
 DESCRIPTION_CHARS = 500
@@ -39,15 +39,30 @@ def error_queries(errors: DataFrame) -> DataFrame:
     )
 
 
-def issue_profiles(issues: DataFrame, comments: str | None = None) -> DataFrame:
+# Letters that are counted one by one to bound the edit measure; others count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 _"
+
+
+def letter_counts(text: str) -> Column:
+    """How often each of LETTERS, and anything else, stands in what the edit measure reads."""
+    head = F.lower(F.substring(text, 1, S.EDIT_CHARS))
+    of = [F.length(head) - F.length(F.replace(head, F.lit(c), F.lit(""))) for c in LETTERS]
+    rest = F.length(F.translate(head, LETTERS, ""))
+    return F.array(*of, rest)
+
+
+def issue_profiles(
+    issues: DataFrame, comments: str | None = None, issue_keywords: int | None = ISSUE_KEYWORDS
+) -> DataFrame:
     """What scoring reads of each issue: words, settled, head, and the profile they form.
 
-    ``comments`` names an array column with the first comments, if they count.
+    ``comments`` names an array column with the first comments, if they count. Without a
+    number of ``issue_keywords`` all count.
     """
     text = S.issue_text(labels="labels", comments=comments)
     rows = issues.select(
         "issue_key",
-        keywords(text, ISSUE_KEYWORDS).alias("words"),
+        (keyword_set(text) if issue_keywords is None else keywords(text, issue_keywords)).alias("words"),
         S.settled("status").alias("settled"),
         F.coalesce(F.substring("summary", 1, S.EDIT_CHARS), F.lit("")).alias("head"),
     )
@@ -62,7 +77,7 @@ def _profile_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("profile").agg(
         F.any_value("words").alias("words"), F.any_value("settled").alias("settled"),
         F.any_value("head").alias("head"),
-    )
+    ).withColumn("head_letters", letter_counts("head"))
 
 
 def _first_keys(rows: DataFrame, by: list[str], keep: int | None) -> DataFrame:
@@ -84,17 +99,18 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 
 def _within_reach(min_score: float) -> Column:
-    """Upper bound of the score: the edit part is limited by the two lengths."""
-    a = F.least(F.length("signature"), F.lit(S.EDIT_CHARS))
-    b = F.length("head")
-    best_edit = F.when((a > 0) & (b > 0), F.least(a, b) * 2.0 / (a + b)).otherwise(F.lit(0.0))
+    """Upper bound of the score: no common subsequence has a letter more often than both texts."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    a, b = total("letters"), total("head_letters")
+    shared = total(F.zip_with("letters", "head_letters", lambda x, y: F.least(x, y)))
+    best_edit = F.when((a > 0) & (b > 0), shared * 2.0 / (a + b)).otherwise(F.lit(0.0))
     best = F.col("n_both") / F.col("n_all") * S.KEYWORD_WEIGHT + best_edit * S.EDIT_WEIGHT
     best = F.when(F.col("settled"), best * S.SETTLED_BONUS).otherwise(best)
     return best >= min_score - 1e-9
 
 
 def _found_by_search(
-    pairs: DataFrame, rows: DataFrame, issues: DataFrame, keep: int | None
+    pairs: DataFrame, rows: DataFrame, issues: DataFrame, keep: int | None, search_keywords: int
 ) -> DataFrame:
     """Pairs whose issue holds one of the first keywords of the error, with issue keys.
 
@@ -102,7 +118,7 @@ def _found_by_search(
     profile will do. For the rest the full text of the profile's issues is searched, and
     each (profile, word) keeps its first ``keep`` issues.
     """
-    first = F.slice("error_keywords", 1, SEARCH_KEYWORDS)
+    first = F.slice("error_keywords", 1, search_keywords)
     direct = F.arrays_overlap(first, F.col("words"))
     keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], keep)
     sure = salted_join(pairs.where(direct), keys, ["profile"], F.xxhash64("query")) if keep else (
@@ -134,6 +150,8 @@ def rank_matches(
     max_results: int | None = 10,
     comments: str | None = None,
     search: bool = False,
+    issue_keywords: int | None = ISSUE_KEYWORDS,
+    search_keywords: int = SEARCH_KEYWORDS,
 ) -> DataFrame:
     """query, rank, issue_key and score parts for distinct errors; all matches without a limit.
 
@@ -149,13 +167,14 @@ def rank_matches(
         )
     if search:
         issues = issues.where(S.settled("status"))
-    rows = staged(issue_profiles(issues, comments))
+    rows = staged(issue_profiles(issues, comments, issue_keywords))
     profiles = staged(_profile_table(rows))
     queries = staged(
         errors.where(F.size("error_keywords") > 0)
         .groupBy("query")
         .agg(F.any_value("signature").alias("signature"),
              F.any_value("error_keywords").alias("error_keywords"))
+        .withColumn("letters", letter_counts("signature"))
     )
     pairs = similar_sets(
         queries.select(F.col("query").alias("id"), F.array_distinct("error_keywords").alias("words")),
@@ -166,12 +185,12 @@ def rank_matches(
         pairs.join(queries, pairs.left_id == queries.query)
         .join(profiles, pairs.right_id == profiles.profile)
         .where(_within_reach(min_score))
-        .drop("left_id", "right_id")
+        .drop("left_id", "right_id", "letters", "head_letters")
     )
     # Written down before the filter: each pair is scored once, whoever reads it.
     scored = staged(_scored(pairs)).where(F.col("score") >= min_score)
     if search:
-        scored = _found_by_search(scored, rows, issues, max_results)
+        scored = _found_by_search(scored, rows, issues, max_results, search_keywords)
     else:
         keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], max_results)
         scored = scored.join(keys, "profile")
@@ -190,11 +209,14 @@ def rank_matches(
     )
 
 
-def issue_report(issues: DataFrame, base_url: str, comments: str | None = None) -> DataFrame:
+def issue_report(
+    issues: DataFrame, base_url: str, comments: str | None = None,
+    description_chars: int = DESCRIPTION_CHARS,
+) -> DataFrame:
     """What a match shows of an issue, short enough to shuffle."""
     return issues.withColumn("solution_summary", S.solution_for_match(comments=comments)).select(
         "issue_key", "summary",
-        F.substring("description", 1, DESCRIPTION_CHARS).alias("description"),
+        F.substring("description", 1, description_chars).alias("description"),
         "status", "resolution", "solution_summary",
         issue_link(base_url, "issue_key").alias("link"),
     )

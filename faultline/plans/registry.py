@@ -379,7 +379,7 @@ def batch_solutions(x):
 
 
 def batch_summary(x):
-    return P.batch_summary(_batch(x))
+    return P.batch_summary(x.warehouse, x.log_lines, x.issues)
 
 
 # --------------------------------------------------------------------------- issues

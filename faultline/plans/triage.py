@@ -161,13 +161,23 @@ def batch_solutions(
     )
 
 
-def batch_summary(batch: DataFrame) -> DataFrame:
-    """Totals of a batch per run. Counts each test once, by its first row."""
-    first = batch.where(F.coalesce("rank", F.lit(1)) == 1)
-    return first.groupBy("regression_run_id").agg(
-        F.count(F.lit(1)).alias("total_failed_tests"),
-        F.count_if("has_solution").alias("tests_with_solutions"),
-        F.count_if(~F.col("has_solution")).alias("tests_without_solutions"),
+def batch_summary(
+    wh: W.Warehouse, lines: DataFrame, issues: DataFrame, min_score: float = 0.3, **which
+) -> DataFrame:
+    """Failed tests of each run, and how many of them have a match.
+
+    Whether an error has one is known from the ranked pairs; no report is made.
+    """
+    errors = staged(M.error_queries(test_errors(wh, W.failed_rows(wh, **which), lines)))
+    ranked = M.rank_matches(errors, issues, min_score, 1, search=True)
+    solved = ranked.select("query", F.lit(True).alias("solved"))
+    # Equal errors of a run meet before the join.
+    per_error = errors.groupBy("regression_run_id", "query").agg(F.count(F.lit(1)).alias("n"))
+    found = F.coalesce("solved", F.lit(False))
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return per_error.join(solved, "query", "left").groupBy("regression_run_id").agg(
+        F.sum("n").alias("total_failed_tests"),
+        of(found).alias("tests_with_solutions"), of(~found).alias("tests_without_solutions"),
     )
 
 
