@@ -1,8 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
-BENCH_SF_DIR names the folder of tables, BENCH_CPUS the local cores. Each query runs once
-to warm up the JVM and then RUNS times; the median counts. Every result is computed in
-full and discarded.
+BENCH_SF_DIR names the folder of tables, BENCH_CPUS the local cores. Each query runs RUNS
+times; the median counts, which leaves out a cold first run. Every result is computed in
+full and discarded, and what the query staged is removed.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ def main() -> None:
 
     times = {}
     for name in HEADLINE:
-        run(name)
         times[name] = round(statistics.median(run(name) for _ in range(RUNS)), 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3),
