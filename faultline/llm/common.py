@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 import types
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.stage import staged
@@ -71,16 +70,18 @@ class HashFilter:
     one row of ``slots`` bits, so its broadcast never grows with the data.
     """
 
-    def __init__(self, hashes: DataFrame, slots: int = 1 << 24):
-        """``hashes`` has one column of hashes; at most slots / 64 words reach the driver."""
+    def __init__(self, hashes: DataFrame, slots: int = 1 << 23):
+        """``hashes`` has one column of hashes."""
         self.slots = slots
         slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots))
         one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
-        words = hashes.select(F.floor(slot / 64).alias("at"), one.alias("bit")).groupBy("at").agg(
-            F.bit_or("bit").alias("word")).toArrow()
-        bits = np.zeros(slots // 64, np.int64)
-        bits[words["at"].to_numpy()] = words["word"].to_numpy()
-        self.table = staged(hashes.sparkSession.createDataFrame([(bits.tolist(),)], "_bits array<bigint>"))
+        words = hashes.select(F.floor(slot / 64).alias("id"), one.alias("bit")).groupBy("id").agg(
+            F.bit_or("bit").alias("word"))
+        # At most slots / 64 words make up the one row.
+        all_words = hashes.sparkSession.range(slots // 64).join(words, "id", "left").select(
+            F.struct("id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word")).alias("w"))
+        self.table = staged(all_words.agg(F.transform(
+            F.sort_array(F.collect_list("w")), lambda w: w["word"]).alias("_bits")))
 
     def _join(self, df: DataFrame, value: Column, how: str) -> DataFrame:
         slot = F.pmod(value, F.lit(self.slots))
