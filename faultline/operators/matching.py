@@ -121,8 +121,7 @@ def _found_by_search(
     first = F.slice("error_keywords", 1, search_keywords)
     direct = F.arrays_overlap(first, F.col("words"))
     keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], keep)
-    sure = salted_join(pairs.where(direct), keys, ["profile"], F.xxhash64("query")) if keep else (
-        pairs.where(direct).join(keys, "profile"))
+    sure = pairs.where(direct).join(keys, "profile")
     open_pairs = pairs.where(~direct).withColumn("word", F.explode(F.array_distinct(first)))
     asked = open_pairs.select("profile", "word").distinct()
     members = rows.select("issue_key", "profile").join(

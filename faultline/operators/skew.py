@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
+from .stage import staged
+
+#: Rows of one key that a task may join; more are spread.
+TASK_ROWS = 200_000
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], salt: Column,
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows to per-key facts with each key spread over ``salts`` tasks.
+                how: str = "inner", salts: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Join rows to per-key facts with frequent keys spread over several tasks.
 
     ``few`` holds a bounded number of rows per key and is repeated once per salt; ``salt``
-    is any integer expression on ``many`` that varies within a key.
+    is any integer expression on ``many`` that varies within a key. A key gets one salt per
+    ``task_rows`` rows that ``many`` holds of it, which is counted first, so pass a staged
+    or cheap table; a number of ``salts`` spares the count and gives every key so many.
     """
-    left = many.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = few.withColumn("_salt", copies)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if salts is not None:
+        left = many.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+        return left.join(few.withColumn("_salt", every(F.lit(salts))), on + ["_salt"], how).drop("_salt")
+    hot = staged(
+        many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > task_rows)
+        .select(*on, F.ceil(F.col("_n") / task_rows).cast("int").alias("_copies"))
+    )  # short: at most one row per task_rows rows
+    copies = F.coalesce("_copies", F.lit(1))
+    missing = F.lit(False)
+    for k in on:
+        missing = missing | F.col(k).isNull()
+    # Rows without a key match nothing and may lie anywhere.
+    spread = F.when(missing, F.pmod(salt, F.lit(1024))).otherwise(F.pmod(salt, copies)).cast("int")
+    left = many.join(hot, on, "left").withColumn("_salt", spread).drop("_copies")
+    right = few.join(hot, on, "left").withColumn("_salt", every(copies)).drop("_copies")
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 

@@ -146,3 +146,15 @@ def test_nothing_stays_behind(spark, tmp_path):
     assert set(os.listdir(folder)) == before
     staged(spark.range(3))
     assert release(spark) >= 1
+
+
+def test_frequent_keys_are_spread_by_measure(spark):
+    from faultline.operators.skew import salted_join
+
+    many = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 50), (None, 51), ("none", 52)], "k string, i long")
+    few = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c")], "k string, v string")
+    with staging(spark):
+        for args in ({}, {"task_rows": 7}, {"salts": 3}):
+            rows = salted_join(many, few, ["k"], F.xxhash64("i"), how="left", **args).collect()
+            got = sorted((r.i, r.v or "") for r in rows)
+            assert got == sorted([(i, v) for i in range(50) for v in "ab"] + [(50, "c"), (51, ""), (52, "")])
