@@ -20,7 +20,7 @@ CLASS = 4_000
 #: Starts of a long text that are hashed at once.
 SEGMENT = 1 << 20
 #: Suffixes sorted at once.
-SORTED = 60_000
+SORTED = 20_000
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 LOW = np.uint64((1 << 24) - 1)
@@ -32,16 +32,17 @@ U = np.uint64
 class PrefixHashes:
     """Hashes of all substrings of some bytes, modulo 2**64."""
 
-    _powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    #: Powers of a base and of its inverse, as far as they were needed.
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: bytes, base: int = BASES[0]):
         n = len(data)
-        size = 1 << max(12, n.bit_length())
-        if (base, size) not in self._powers:
+        if base not in self._powers or len(self._powers[base][0]) <= n:
+            size = 1 << max(12, n.bit_length())
             up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
             up[0] = down[0] = 1
-            self._powers[base, size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        up, self.down = self._powers[base, size]
+            self._powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        up, self.down = self._powers[base]
         self.sums = np.zeros(n + 1, U)
         np.cumsum((np.frombuffer(data, np.uint8).astype(U) + U(1)) * up[:n], out=self.sums[1:])
 
