@@ -53,7 +53,8 @@ def dropped_lines(docs: DataFrame, min_documents: int = 10, depth: int = 3,
     sizes = forms.groupBy("_leaf").agg(F.sum("n").alias("all_n"))
     fixed = votes.join(sizes, "_leaf").where(F.col("n") * 2 > F.col("all_n")).select("_leaf", "at", "token")
     # Tokens of a line that agree with the template's fixed tokens.
-    template = fixed.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("_fixed"))
+    template = staged(fixed.groupBy("_leaf").agg(  # on its own, so that a join can split a hot leaf
+        F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("_fixed")))
     agree = F.aggregate(
         F.transform(F.split("_line", " "), lambda t, i: (F.col("_fixed")[i] == t).cast("int")),
         F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
