@@ -25,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op4_line_dedup": templates.SQL}
+    return {
+        "op3_mix_sources": mixing.SQL,
+        "op4_line_dedup": templates.SQL,
+        "op10_jaccard_join": jaccard.SQL,
+    }
