@@ -8,8 +8,6 @@ orders from the orders above them.
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +24,7 @@ EDGE = " "
 #: Distinct words counted in a task before they are handed on.
 HELD_WORDS = 200_000
 #: Word scores a Python worker remembers, by language.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 #: N-grams of a model that is sent to the executors (16 bytes each). A larger model stays a
 #: table, and words are scored by a join.
 SHIPPED_NGRAMS = 6_000_000
@@ -100,19 +98,44 @@ def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def grams_of(frames):
-    """For mapInPandas: (lang, word, n) to partial counts of n-grams (lang, gram, n)."""
-    import pandas as pd
-
-    for f in frames:
-        held: dict[str, Counter] = {}
-        for lang, word, n in zip(f["lang"], f["word"], f["n"]):
-            c = held.setdefault(lang, Counter())
-            padded = EDGE * (ORDER - 1) + word + EDGE
-            for i in range(len(word) + 1):
-                c[padded[i:i + ORDER]] += n
-        rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
-        yield pd.DataFrame(rows, columns=["lang", "gram", "n"])
+def padded_codes(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """Words between edges as one text, its code points, and where each word's n-grams start."""
+    text = "".join([EDGE * (ORDER - 1) + w + EDGE for w in words])
+    size = np.array([len(w) + ORDER for w in words], np.int64)
+    return text, np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), np.cumsum(size) - size
+
+
+def counted_grams(langs: dict[str, tuple[list[str], list[int]]]) -> pa.RecordBatch:
+    """Counts of n-grams (lang, gram, n) of words by language."""
+    names, grams, counts = [], [], [np.zeros(0, np.int64)]
+    for lang, (words, numbers) in langs.items():
+        text, codes, start = padded_codes(words)
+        n = np.diff(np.append(start, len(codes))) - ORDER + 1
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        _, first, which = np.unique(HashArrays.hashes(codes)[at], return_index=True, return_inverse=True)
+        # whole numbers stay exact in doubles up to 2**53
+        counts.append(np.bincount(which, weights=np.repeat(numbers, n)).astype(np.int64))
+        grams += [text[i:i + ORDER] for i in at[first].tolist()]
+        names += [lang] * len(first)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()), pa.array(grams, pa.string()), pa.array(np.concatenate(counts), pa.int64())],
+        names=["lang", "gram", "n"])
+
+
+def grams_of(batches):
+    """For mapInArrow: (lang, word, n) to partial counts of n-grams (lang, gram, n)."""
+    held: dict[str, tuple[list[str], list[int]]] = {}
+    size = 0
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words, numbers = held.setdefault(lang, ([], []))
+            words.append(word)
+            numbers.append(n)
+        size += batch.num_rows
+        if size > HELD_WORDS:
+            yield counted_grams(held)
+            held, size = {}, 0
+    yield counted_grams(held)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -147,7 +170,7 @@ def _smoothed(counts: DataFrame, order: int) -> DataFrame:
 
 def model(vocab: DataFrame) -> DataFrame:
     """All n-grams of the corpus with their interpolated probability: (lang, gram, p)."""
-    top = staged(vocab.mapInPandas(grams_of, "lang string, gram string, n bigint")
+    top = staged(vocab.mapInArrow(grams_of, "lang string, gram string, n bigint")
                  .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     counts = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):  # how many n-grams of the order above end in it
@@ -208,12 +231,11 @@ class HashArrays:
         if lang not in self.langs:
             return np.zeros(len(words))
         known, logp = self.langs[lang]
-        text = "".join(EDGE * (ORDER - 1) + w + EDGE for w in words)
-        h = self.hashes(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64))
+        _, codes, start = padded_codes(words)
+        h = self.hashes(codes)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         values = np.where(known[at] == h, logp[at], logp.min())
-        size = np.array([len(w) + ORDER for w in words])
-        start = np.cumsum(size) - size
+        size = np.diff(np.append(start, len(codes)))
         sums = np.concatenate([[0.0], np.cumsum(values)])
         return sums[np.minimum(start + size - ORDER + 1, len(values))] - sums[start]
 
@@ -224,16 +246,25 @@ class WordScores:
     def __init__(self, arrays: HashArrays):
         self.arrays, self.known = arrays, {}
 
-    def total(self, lang: str, words: list[bytes]) -> float:
-        known = self.known.setdefault(lang, {})
-        found = list(map(known.get, words))
-        if None in found:
-            new = list({w for w, f in zip(words, found) if f is None})
-            more = dict(zip(new, self.arrays.score(lang, [w.decode() for w in new]).tolist()))
-            if sum(map(len, self.known.values())) + len(more) <= KNOWN_WORDS:
-                known.update(more)
-            found = [more[w] if f is None else f for w, f in zip(words, found)]
-        return math.fsum(found)
+    def totals(self, langs: list[str], texts: list[list[bytes]]) -> list[float]:
+        """Log probability of each text, given its words; new words are scored together."""
+        wanted: dict[str, set[bytes]] = {}
+        for lang, words in zip(langs, texts):
+            wanted.setdefault(lang, set()).update(words)
+        more: dict[str, dict[bytes, float]] = {}
+        for lang, words in wanted.items():
+            known = self.known.setdefault(lang, {})
+            new = list(words - known.keys())
+            more[lang] = dict(zip(new, self.arrays.score(lang, [w.decode() for w in new]).tolist())) if new else {}
+            if sum(map(len, self.known.values())) + len(new) <= KNOWN_WORDS:
+                known.update(more[lang])
+        out = []
+        for lang, words in zip(langs, texts):
+            found = list(map(self.known[lang].get, words))
+            if None in found:
+                found = [more[lang][w] if f is None else f for w, f in zip(words, found)]
+            out.append(sum(found))
+        return out
 
 
 def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame:
@@ -254,7 +285,7 @@ def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame
             if job not in state:
                 state.clear()  # of an earlier model
                 state[job] = WordScores(HashArrays(shipped.value))
-            yield from _measure(batches, state[job].total)
+            yield from _measure(batches, state[job].totals)
 
         return staged(rows.mapInArrow(scored, schema))
 
@@ -269,14 +300,14 @@ def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame
     return staged(base.join(sums, "_key", "left").withColumn("logp", F.coalesce("_logp", F.lit(0.0))).drop("_logp"))
 
 
-def _measure(batches, total):
+def _measure(batches, totals):
     for batch in batches:
-        rows = []
-        for doc_id, lang, raw, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            raw = raw or b""
-            words = raw.split()
-            logp = total(lang, words) if total and words else 0.0
-            rows.append((doc_id, lang, *text_counts(raw.decode(), words), logp, key))
+        doc_ids, langs, raws, keys = (batch.column(k).to_pylist() for k in range(4))
+        raws = [r or b"" for r in raws]
+        words = [r.split() for r in raws]
+        logp = totals(langs, words) if totals else [0.0] * len(raws)
+        rows = [(d, lang, *text_counts(r.decode(), w), float(p), k)
+                for d, lang, r, w, p, k in zip(doc_ids, langs, raws, words, logp, keys)]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
         names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  "logp", "_key"]
