@@ -235,7 +235,7 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
 
     Equal sets are one class. Classes meet in buckets keyed by four minimum hashes, as many
     as leave a link at the threshold out with a chance of 1e-9 at most. First each class is
-    compared with the smallest class it shares a bucket with, which gives most components.
+    compared with the most central class it shares a bucket with, which gives most components.
     Then signature trees over each bucket that still holds several components find the
     pairs between them whose overlap bound reaches the threshold. All pairs are verified on
     whole sets. Pairs inside a component change nothing and are not compared.
@@ -249,16 +249,14 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
         classes, (rows["cid"] == classes["cid"]) & rows["doc_id"].eqNullSafe(classes["first"])
     ).drop(classes["cid"])
     keyed = staged(keyed.select("cid", "n", F.explode("keys").alias("bucket")).distinct())
-    shared = staged(keyed.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.max("cid").alias("_most"))
-                    .where("pivot <> _most").select("bucket", "pivot"))
-    members = staged(keyed.join(shared, "bucket"))
+    sizes = staged(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = staged(keyed.join(sizes, "bucket").select("bucket", "cid", "size"))
 
     first = HashFilter(members.select("cid").distinct().join(classes, "cid").select(F.xxhash64("first")))
     sets = staged(first.keep(texts, F.xxhash64("doc_id")).select("text")
                   .mapInArrow(whole_sets(width), "cid bigint, items binary"))
 
-    stars = members.where("cid <> pivot").groupBy("cid").agg(F.min("pivot").alias("v"))
-    links = verified(staged(stars.select(F.col("cid").alias("u"), "v")), sets, num, den)
+    links = verified(staged(stars(members)), sets, num, den)
     comps = components(links)
     more = verified(staged(between(members, comps, rows, num, den)), sets, num, den)
     comps = components(links.union(more))
@@ -290,6 +288,22 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     return repeated.rest(left, row_key()).union(single.select(left.columns))
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each class with the most central class that it shares a bucket with.
+
+    Copies of one text are nearer to it than to each other, so the class that meets most
+    others is tried first.
+    """
+    central = members.groupBy("cid").agg(F.sum("size").alias("met"))
+    ranked = staged(members.join(central, "cid").select("bucket", "cid", F.struct("met", "cid").alias("rank")))
+    pivots = staged(ranked.groupBy("bucket").agg(F.max("rank").alias("pivot")))
+    return (
+        ranked.join(pivots, "bucket").where(F.col("cid") != F.col("pivot.cid"))
+        .groupBy("cid").agg(F.max("pivot").alias("best"))
+        .select(F.col("cid").alias("u"), F.col("best.cid").alias("v"))
+    )
+
+
 def between(members: DataFrame, comps: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs (u, v) between components, from buckets that hold several.
 
