@@ -19,7 +19,7 @@ MISS = 1e-9
 #: Minimum hashes in a bucket's key.
 ROWS = 4
 #: Bits of a set's bitmap.
-BITS = 512
+BITS = 2048
 #: Sets that one cell of a large bucket holds on either side.
 CELL = 2_000
 #: Children of a tree node, and sets of a leaf.
