@@ -1,19 +1,28 @@
 """Quality rules: text counts and language-specific perplexity bands.
 
-The language model is a modified Kneser-Ney model of character n-grams inside words, one
-per language, and gives every word a probability; perplexity is per word. Spark counts it
-over all documents: the words of every text, the n-grams of every distinct word, the lower
-orders from the orders above them.
+The language model has two parts, each modified Kneser-Ney and one per language. Character
+n-grams inside words give a word its probability by itself. Over them stands a class
+trigram over the running text, across blanks and line breaks: a frequent word is a class of
+its own, any other word belongs to the class of its shape, and a word that repeats the last
+word or the one before it is of the class of such repeats. So
+
+    P(word | text before) = P(class | two classes before) * P(word) / P(shape or frequent word)
+
+and, for a repeat, the first factor alone. Perplexity is per word. Spark counts both parts
+over all documents: the words of every text, the n-grams of every distinct word, the class
+trigrams of every text, the lower orders from the orders above them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import compress
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.stage import staged
 from .common import documents, row_key, small_batches, without, worker_state
@@ -28,6 +37,16 @@ KNOWN_WORDS = 600_000
 #: N-grams of a model that is sent to the executors (16 bytes each). A larger model stays a
 #: table, and words are scored by a join.
 SHIPPED_NGRAMS = 6_000_000
+#: Words of a language that are a class of their own. There are fewer than CLASSES classes,
+#: so that a language has at most CLASSES ** CONTEXT class trigrams, however long the texts.
+FREQUENT = 100
+CLASSES = 128
+CONTEXT = 3
+#: Classes: before the text, the word before again, the word before that again; then 18
+#: shapes, then frequent words.
+START, AGAIN, LATER, SHAPES, NAMED = 0, 1, 2, 3, 21
+#: Classes of running text counted in a task before they are handed on.
+HELD_CLASSES = 2_000_000
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
@@ -170,16 +189,21 @@ def _smoothed(counts: DataFrame, order: int) -> DataFrame:
 
 def model(vocab: DataFrame) -> DataFrame:
     """All n-grams of the corpus with their interpolated probability: (lang, gram, p)."""
-    top = staged(vocab.mapInArrow(grams_of, "lang string, gram string, n bigint")
-                 .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    counts = {ORDER: top}
-    for k in range(ORDER - 1, 0, -1):  # how many n-grams of the order above end in it
+    return interpolated(staged(
+        vocab.mapInArrow(grams_of, "lang string, gram string, n bigint")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))), ORDER)
+
+
+def interpolated(top: DataFrame, order: int) -> DataFrame:
+    """Probabilities of n-grams (lang, gram, p) from their counts (lang, gram, n)."""
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):  # how many n-grams of the order above end in it
         tail = F.col("gram").substr(F.lit(2), F.lit(k))
         counts[k] = staged(counts[k + 1].groupBy("lang", tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     kinds = counts[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("kinds"))
     lower = _smoothed(counts[1], 1).join(staged(kinds), "lang").select(
         "lang", "gram", (F.col("p") + F.col("back") / F.col("kinds")).alias("p"))
-    for k in range(2, ORDER + 1):
+    for k in range(2, order + 1):
         base = lower.select("lang", F.col("gram").alias("_tail"), F.col("p").alias("_p"))
         rows = _smoothed(counts[k], k).withColumn("_tail", F.col("gram").substr(F.lit(2), F.lit(k - 1)))
         lower = staged(rows.join(base, ["lang", "_tail"]).select(
@@ -267,14 +291,154 @@ class WordScores:
         return out
 
 
+# ---- the context ----------------------------------------------------------------------
+
+def shape(word: str) -> int:
+    """The class of a word that is not frequent: its kind of letters and how it ends."""
+    end = 2 if word[-1] in ".!?" else 1 if word[-1] in ",;:" else 0
+    core = word.strip(".,;:!?()\"'")
+    if not any(map(str.isalnum, word)):
+        kind = 0
+    elif core.isalpha():
+        kind = 1 if core.islower() else 2 if core.isupper() and len(core) > 1 else 3
+    else:
+        kind = 4 if any(map(str.isdigit, word)) else 5
+    return SHAPES + 3 * kind + end
+
+
+def repeats(words: list[bytes]) -> np.ndarray:
+    """For each word AGAIN if it is the word before, LATER if the one before that, or else 0."""
+    out = np.zeros(len(words), np.int64)
+    for back, name in ((2, LATER), (1, AGAIN)):
+        if len(words) > back:
+            out[back:][np.fromiter(map(eq, words[back:], words), bool, len(words) - back)] = name
+    return out
+
+
+class Forms:
+    """The shape or frequent word that each word is, remembered by a Python worker."""
+
+    def __init__(self, frequent: dict[str, dict[bytes, int]]):
+        self.frequent, self.known = frequent, {}
+
+    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+        if lang not in self.known:
+            self.known[lang] = dict(self.frequent.get(lang, {}))
+        known = self.known[lang]
+        found = list(map(known.get, words))
+        if None in found:
+            room = KNOWN_WORDS - sum(map(len, self.known.values()))
+            for i, f in enumerate(found):
+                if f is None:
+                    found[i] = shape(words[i].decode())
+                    if room > 0:
+                        known[words[i]] = found[i]
+                        room -= 1
+        return np.array(found, np.int64)
+
+
+def trigram_codes(classes: np.ndarray) -> np.ndarray:
+    """One number per place of a text: its class and the two before."""
+    padded = np.concatenate([np.full(CONTEXT - 1, START), classes])
+    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
+
+
+def frequent_words(vocab: DataFrame) -> dict[str, dict[bytes, int]]:
+    """The classes of the FREQUENT most frequent words by language."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    rows = vocab.withColumn("place", place).where(F.col("place") <= FREQUENT).collect()
+    out: dict[str, dict[bytes, int]] = {}
+    for r in rows:
+        out.setdefault(r.lang, {})[r.word.encode()] = NAMED + r.place - 1
+    return out
+
+
+class Contexts:
+    """Log probabilities of class trigrams and of forms by language, and the frequent words.
+
+    At most CLASSES ** CONTEXT trigrams a language, of 12 bytes each.
+    """
+
+    def __init__(self, frequent, trigrams: dict[str, tuple[np.ndarray, np.ndarray]], forms: dict[str, np.ndarray]):
+        self.frequent, self.trigrams, self.forms = frequent, trigrams, forms
+
+    @classmethod
+    def of(cls, docs: DataFrame, vocab: DataFrame) -> "Contexts":
+        """Counted by the executors over all texts of (lang, text as binary)."""
+        frequent = frequent_words(vocab)
+        shipped = docs.sparkSession.sparkContext.broadcast(frequent)
+
+        def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+            def flush() -> pa.RecordBatch:
+                names, codes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for lang, (seen, forms) in held.items():
+                    code, n = np.unique(np.concatenate(seen), return_counts=True)
+                    there = np.flatnonzero(forms)
+                    codes += [code, -1 - there]
+                    counts += [n, forms[there]]
+                    names += [lang] * (len(code) + len(there))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(np.concatenate(codes), pa.int64()),
+                     pa.array(np.concatenate(counts), pa.int64())], names=["lang", "code", "n"])
+
+            state = Forms(shipped.value)
+            held, size = {}, 0
+            for batch in batches:
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = (text or b"").split()
+                    if not words:
+                        continue
+                    forms, again = state.of(lang, words), repeats(words)
+                    seen, numbers = held.setdefault(lang, ([], np.zeros(CLASSES, np.int64)))
+                    seen.append(trigram_codes(np.where(again > 0, again, forms)))
+                    numbers += np.bincount(forms, minlength=CLASSES)
+                    size += len(words)
+                if size > HELD_CLASSES:
+                    yield flush()
+                    held, size = {}, 0
+            yield flush()
+
+        # Trigrams by their code; forms below zero.
+        counts = staged(docs.mapInArrow(counted, "lang string, code bigint, n bigint")
+                        .groupBy("lang", "code").agg(F.sum("n").alias("n")))
+        places = [CLASSES ** k for k in range(CONTEXT - 1, -1, -1)]
+        gram = F.concat(*[F.char(F.floor(F.col("code") / k) % CLASSES) for k in places])
+        rows = interpolated(counts.where("code >= 0").select("lang", gram.alias("gram"), "n"), CONTEXT)
+        code = sum((F.ascii(F.substring("gram", i + 1, 1)) * k for i, k in enumerate(places)), F.lit(0))
+        table = rows.select("lang", code.cast("int").alias("code"), F.log("p").alias("logp")).toArrow()  # bounded
+        trigrams, forms = {}, {}
+        lang = table["lang"].combine_chunks().dictionary_encode()
+        which, codes, logp = lang.indices.to_numpy(), table["code"].to_numpy(), table["logp"].to_numpy()
+        for i, name in enumerate(lang.dictionary.to_pylist()):
+            at = np.flatnonzero(which == i)
+            at = at[np.argsort(codes[at])]
+            trigrams[name] = (codes[at], logp[at])
+        for r in counts.where("code < 0").collect():  # fewer than CLASSES a language
+            forms.setdefault(r.lang, np.zeros(CLASSES))[-1 - r.code] = r.n
+        with np.errstate(divide="ignore"):
+            forms = {name: np.log(n / n.sum()) for name, n in forms.items()}
+        return cls(frequent, trigrams, forms)
+
+    def gain(self, lang: str, forms: np.ndarray, again: np.ndarray) -> float:
+        """What the context adds to a text's log probability, repeated words aside: these also lose their own."""
+        if not len(forms):
+            return 0.0
+        codes, logp = self.trigrams[lang]
+        at = np.searchsorted(codes, trigram_codes(np.where(again > 0, again, forms)))  # all were counted
+        return float(logp[at].sum() - self.forms[lang][forms[again == 0]].sum())
+
+
 def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame:
-    """Each document's counts, language, log probability and row key."""
+    """Each document's counts, language, log probability of its words by themselves, what
+    their context adds to it, and row key."""
     vocab = vocabulary(docs)
     grams = model(vocab)
     rows = docs.select(
         "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.col("text").cast("binary").alias("text"), row_key().alias("_key"))
-    schema = f"doc_id bigint, lang string, {BASE}, logp double, _key bigint"
+    schema = f"doc_id bigint, lang string, {BASE}, logp double, context double, _key bigint"
+    contexts = docs.sparkSession.sparkContext.broadcast(Contexts.of(rows.select("lang", "text"), vocab).__dict__)
     if grams.count() <= shipped_ngrams:
         arrays = HashArrays.of(grams)
         shipped = docs.sparkSession.sparkContext.broadcast(arrays.langs)
@@ -285,45 +449,54 @@ def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame
             if job not in state:
                 state.clear()  # of an earlier model
                 state[job] = WordScores(HashArrays(shipped.value))
-            yield from _measure(batches, state[job].totals)
+            yield from _measure(batches, state[job].totals, Contexts(**contexts.value))
 
         return staged(rows.mapInArrow(scored, schema))
 
     # A larger model scores words by a join, and documents by a join with their words.
-    base = staged(rows.mapInArrow(lambda b: _measure(b, None), schema))
+    base = staged(rows.mapInArrow(lambda b: _measure(b, None, Contexts(**contexts.value)), schema))
     words = rows.dropDuplicates(["_key"]).select("_key", "lang", "text").mapInArrow(
-        _words_by_row, "_key bigint, lang string, word string, n bigint")
+        _words_by_row, "_key bigint, lang string, word string, n bigint, again bigint")
     parts = vocab.mapInPandas(_positions, "lang string, word string, gram string").join(grams, ["lang", "gram"])
     scores = staged(parts.groupBy("lang", "word").agg(F.sum(F.log("p")).alias("logp")))
     sums = words.join(scores, ["lang", "word"]).groupBy("_key").agg(
-        F.sum(F.col("logp") * F.col("n")).alias("_logp"))
-    return staged(base.join(sums, "_key", "left").withColumn("logp", F.coalesce("_logp", F.lit(0.0))).drop("_logp"))
+        F.sum(F.col("logp") * F.col("n")).alias("_logp"), F.sum(F.col("logp") * F.col("again")).alias("_again"))
+    return staged(base.join(sums, "_key", "left").withColumns(
+        {"logp": F.coalesce("_logp", F.lit(0.0)), "context": F.col("context") - F.coalesce("_again", F.lit(0.0))})
+        .drop("_logp", "_again"))
 
 
-def _measure(batches, totals):
+def _measure(batches, totals, contexts):
+    forms = Forms(contexts.frequent)
     for batch in batches:
         doc_ids, langs, raws, keys = (batch.column(k).to_pylist() for k in range(4))
         raws = [r or b"" for r in raws]
         words = [r.split() for r in raws]
-        logp = totals(langs, words) if totals else [0.0] * len(raws)
-        rows = [(d, lang, *text_counts(r.decode(), w), float(p), k)
-                for d, lang, r, w, p, k in zip(doc_ids, langs, raws, words, logp, keys)]
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
+        again = list(map(repeats, words))
+        gains = [contexts.gain(lang, forms.of(lang, w), a) for lang, w, a in zip(langs, words, again)]
+        logp = lost = [0.0] * len(raws)
+        if totals:
+            logp, lost = totals(langs, words), totals(langs, [list(compress(w, a)) for w, a in zip(words, again)])
+        rows = [(d, lang, *text_counts(r.decode(), w), float(p), float(g - x), k)
+                for d, lang, r, w, p, g, x, k in zip(doc_ids, langs, raws, words, logp, gains, lost, keys)]
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.float64(), pa.int64()]
         names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                 "logp", "_key"]
+                 "logp", "context", "_key"]
         cols = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
 def _words_by_row(batches):
     for batch in batches:
-        rows = [(key, lang, w.decode(), n)
-                for key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)))
-                for w, n in Counter((text or b"").split()).items()]
-        cols = list(zip(*rows)) or [()] * 4
+        rows = []
+        for key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words = (text or b"").split()
+            again = Counter(compress(words, repeats(words)))
+            rows += [(key, lang, w.decode(), n, again[w]) for w, n in Counter(words).items()]
+        cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
-            names=["_key", "lang", "word", "n"])
+            [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
+            names=["_key", "lang", "word", "n", "again"])
 
 
 def _positions(frames):
@@ -342,27 +515,35 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Per language, the median log perplexity and a robust standard deviation of it.
+    """Per language, the median and a robust standard deviation of word_ppl and of context.
 
     Both are taken over the documents that pass the base rules.
     """
     sound = rows.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    middle = staged(sound.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("middle")))
-    off = F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")), 0.5, 10000)
-    return staged(sound.join(middle, "lang").groupBy("lang", "middle").agg((off * 1.4826).alias("spread")))
+    columns = ("word_ppl", "context")
+    middle = staged(sound.groupBy("lang").agg(
+        *[F.percentile_approx(c, 0.5, 10000).alias(f"{c}_middle") for c in columns]))
+    off = lambda c: F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_middle")), 0.5, 10000)
+    return staged(sound.join(middle, "lang").groupBy("lang", *[f"{c}_middle" for c in columns]).agg(
+        *[(off(c) * 1.4826).alias(f"{c}_spread") for c in columns]))
 
 
 def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short: float = 30.0,
-                  shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame:
-    """Counts of every document, the base rules and the perplexity band of its language.
+                  shipped_ngrams: int = SHIPPED_NGRAMS, context_width: float = 12.0) -> DataFrame:
+    """Counts of every document, the base rules and the perplexity bands of its language.
 
     Returns doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, log_ppl (natural logarithm of the perplexity per word; null without
-    words), low, high, kept (whether the base rules hold and log_ppl lies in the band) and
-    _key (the document's ``row_key``).
-    The band's bounds lie ``width`` robust standard deviations of the language from its
-    median on either side, at least ``floor``, and sqrt(1 + short / n_words) times that,
-    as the mean over few words varies more.
+    words), its two parts word_ppl (of the words by themselves) and context (what the words
+    before save per word, so that log_ppl is word_ppl - context), low and high of word_ppl,
+    context_low and context_high, kept (whether the base rules hold and both parts lie in
+    their bands) and _key (the document's ``row_key``).
+    A band's bounds lie ``width`` (``context_width``) robust standard deviations of the
+    language from its median on either side, at least ``floor``, and
+    sqrt(1 + short / n_words) times that, as the mean over few words varies more. The parts
+    are held apart because they can cancel out: strange words in a monotonous order have an
+    ordinary perplexity. Menus and repeated words stand above the band of context, a word
+    order that the language does not have below it.
 
     Words are runs of anything but ASCII white space. A missing or empty text has no words
     and fails. A missing language is a language of its own. A language without any
@@ -370,16 +551,23 @@ def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short
     doc_id are judged each. An empty table gives an empty table; other columns take no part.
     """
     small_batches(docs.sparkSession)
-    rows = measured(docs, shipped_ngrams).withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("logp") / F.col("n_words")))
-    half = F.greatest(F.lit(width) * F.col("spread"), F.lit(floor)) * F.sqrt(
+    per_word = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words"))
+    rows = measured(docs, shipped_ngrams).withColumns(
+        {"word_ppl": per_word(-F.col("logp")), "context": per_word(F.col("context"))})
+    half = lambda w, c: F.greatest(F.lit(w) * F.col(f"{c}_spread"), F.lit(floor)) * F.sqrt(
         1 + F.lit(short) / F.greatest(F.col("n_words"), F.lit(1)))
-    rows = rows.join(bands(rows), "lang", "left").withColumns(
-        {"low": F.col("middle") - half, "high": F.col("middle") + half})
+    words, order = half(width, "word_ppl"), half(context_width, "context")
+    rows = rows.join(bands(rows), "lang", "left").withColumns({
+        "log_ppl": F.col("word_ppl") - F.col("context"),
+        "low": F.col("word_ppl_middle") - words, "high": F.col("word_ppl_middle") + words,
+        "context_low": F.col("context_middle") - order, "context_high": F.col("context_middle") + order})
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
+    inside = F.coalesce(F.col("word_ppl").between(F.col("low"), F.col("high"))
+                        & F.col("context").between(F.col("context_low"), F.col("context_high")), F.lit(False))
     return rows.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "log_ppl", "low", "high", (~failed & inside).alias("kept"), "_key")
+        failed.alias("base_failed"), "log_ppl", "word_ppl", "context", "low", "high", "context_low",
+        "context_high", (~failed & inside).alias("kept"), "_key")
 
 
 def filter_documents(docs: DataFrame, **bands_) -> DataFrame:

@@ -105,6 +105,74 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert sum(not r.kept for r in judged if labels[r.doc_id] == 0) >= 10
 
 
+def test_words_in_context(make):
+    """Class trigrams against plain loops; order and repeats move the perplexity."""
+    texts = ["the cat and the dog and the bird sat on the mat by the door , not far"] * 5
+    texts = [t + f" from w{i}" for i, t in enumerate(texts)] + ["a | a | b | a", "so so so Well, well", ""]
+    docs = make([(i, t) for i, t in enumerate(texts)])
+    vocab = Counter(w for t in texts for w in t.split())
+    named = {w: perplexity.NAMED + i for i, (w, _) in enumerate(
+        sorted(vocab.items(), key=lambda x: (-x[1], x[0]))[:perplexity.FREQUENT])}
+    counts, lines = Counter(), []
+    for t in texts:
+        w, c = t.split(), [0, 0]
+        for i, x in enumerate(w):
+            c.append(1 if i and w[i - 1] == x else 2 if i > 1 and w[i - 2] == x else named[x])
+        lines.append((w, c))
+        counts.update(zip(c, c[1:], c[2:]))
+
+    levels = {3: counts}
+    for k in (2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    p = {}
+    for k in (1, 2, 3):
+        t = Counter(min(n, 5) for n in levels[k].values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
+        d = {}
+        for j in (1, 2, 3):
+            v = j - (j + 1) * y * t[j + 1] / t[j] if y is not None and t[j] else None
+            d[j] = v if v is not None and 0 < v < j else 0.5 * j
+        total, left = defaultdict(float), defaultdict(float)
+        for g, n in levels[k].items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3)]
+        p = {g: (max(n - d[min(n, 3)], 0) + left[g[:-1]] * (p[g[1:]] if k > 1 else 1 / (len(levels[1]) + 1)))
+             / total[g[:-1]] for g, n in levels[k].items()}
+    words = brute_model(vocab)
+    alone = {w: sum(math.log(words[("    " + w + " ")[i:i + 5]]) for i in range(len(w) + 1)) for w in vocab}
+
+    for shipped in (0, perplexity.SHIPPED_NGRAMS):
+        got = {r.doc_id: r.context for r in perplexity.measured(docs, shipped).collect()}
+        for i, (w, c) in enumerate(lines):
+            want = sum(math.log(p[g]) for g in zip(c, c[1:], c[2:])) - sum(
+                alone[x] if k < 3 else math.log(vocab[x] / sum(vocab.values())) for x, k in zip(w, c[2:]))
+            assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_word_order_moves_perplexity(make):
+    import random
+
+    rng = random.Random(1)
+    nouns = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "l", "rt", "sk")]
+    plain = [" ".join(f"the {rng.choice(nouns)} of a {rng.choice(nouns)} is in {rng.choice(nouns)} ."
+                      for _ in range(15)) for _ in range(60)]
+    salad = plain[0].split()
+    rng.shuffle(salad)
+    got = {r.doc_id: r.log_ppl for r in perplexity.quality_rules(
+        make([*enumerate(plain), (100, " ".join(salad))])).collect()}
+    assert got[100] > max(got[i] for i in range(60)) + 0.5
+
+
+def test_share_of_junk_that_goes(spark):
+    """Of labelled junk that passes the base rules; the documents are those of sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    rows = perplexity.quality_rules(docs).join(labels, "doc_id").where("not base_failed").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) >= 300 and np.mean(junk) < 0.05
+    assert np.mean(clean) > 0.995
+
+
 def test_rules_on_odd_documents(odd, empty):
     rows = perplexity.quality_rules(odd).collect()
     assert len(rows) == odd.count()
