@@ -48,6 +48,70 @@ def dropped_lines(docs: DataFrame, min_documents: int = 10, depth: int = 3,
 
     # Equal lines meet once, before their tokens are counted by position.
     forms = staged(found.groupBy("_leaf", "_line").agg(F.count(F.lit(1)).alias("n")))
+    drops, used = recurring_lines(found, alike_lines(forms, similarity), min_documents)
+    rest = forms.join(used, ["_leaf", "_line"], "left_anti")
+    rest = staged(supported(rest, min_documents, similarity))
+
+    # What the majority hides: first lines that recur as they are, each a leaf of its own.
+    own = rest.where(F.col("n") >= min_documents).select(
+        "_leaf", "_line", F.xxhash64("_leaf", "_line").alias("_next"))
+    more, used = recurring_lines(renamed(found, own), own.select(F.col("_next").alias("_leaf"), "_line"), min_documents)
+    drops = drops.union(more)
+    rest = rest.withColumn("_own", F.xxhash64("_leaf", "_line")).join(
+        used.select(F.col("_leaf").alias("_own")), "_own", "left_anti").drop("_own")
+
+    # Then the templates of ever smaller leaves. A leaf's lines share one more token each
+    # round, so this ends; it goes on only with lines that may still have a template.
+    while True:
+        rest = staged(supported(rest, min_documents, similarity))
+        if not rest.limit(1).count():
+            return drops
+        parts = staged(split(rest))
+        found = staged(renamed(found, parts))
+        rest = staged(parts.select(F.col("_next").alias("_leaf"), "_line", "n"))
+        more, used = recurring_lines(found, alike_lines(rest, similarity), min_documents)
+        drops = drops.union(more)
+        rest = rest.join(used, ["_leaf", "_line"], "left_anti")
+
+
+def renamed(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """The lines of ``parts`` (_leaf, _line, _next), with _next as their leaf."""
+    return found.join(parts.select("_leaf", "_line", "_next"), ["_leaf", "_line"]).drop("_leaf").withColumnRenamed(
+        "_next", "_leaf").select(found.columns)
+
+
+def supported(forms: DataFrame, min_documents: int, similarity: float) -> DataFrame:
+    """The lines that a template of some part of their leaf may hold.
+
+    Such a template has ``min_documents`` lines at least, and a token is fixed if more than
+    half of them have it; a line needs its share of tokens that stand so often in the leaf.
+    """
+    spread = forms.select("_leaf", "_line", "n", F.posexplode(F.split("_line", " ")).alias("at", "token"))
+    often = staged(spread.groupBy("_leaf", "at", "token").agg(F.sum("n").alias("votes"))
+                   .where(F.col("votes") * 2 > min_documents))
+    enough = spread.join(often, ["_leaf", "at", "token"]).groupBy("_leaf", "_line").agg(
+        F.count(F.lit(1)).alias("held")).where(F.col("held") >= F.lit(similarity) * F.size(F.split("_line", " ")))
+    able = staged(forms.join(enough.select("_leaf", "_line"), ["_leaf", "_line"], "left_semi"))
+    large = able.groupBy("_leaf").agg(F.sum("n").alias("all_n")).where(F.col("all_n") >= min_documents)
+    return able.join(large.select("_leaf"), "_leaf", "left_semi")
+
+
+def split(forms: DataFrame) -> DataFrame:
+    """Each line with the leaf of its most frequent token that not all lines of its leaf have.
+
+    Lines without such a token are alone in their leaf and left out. (_leaf, _line, n, _next)
+    """
+    spread = forms.select("_leaf", "_line", "n", F.posexplode(F.split("_line", " ")).alias("at", "token"))
+    votes = spread.groupBy("_leaf", "at", "token").agg(F.sum("n").alias("votes"))
+    sizes = forms.groupBy("_leaf").agg(F.sum("n").alias("all_n"))
+    votes = staged(votes.join(sizes, "_leaf").where("votes < all_n").select("_leaf", "at", "token", "votes"))
+    best = spread.join(votes, ["_leaf", "at", "token"]).groupBy("_leaf", "_line").agg(
+        F.first("n").alias("n"), F.max(F.struct("votes", F.negative("at").alias("at"), "token")).alias("best"))
+    return best.select("_leaf", "_line", "n", F.xxhash64("_leaf", "best.at", "best.token").alias("_next"))
+
+
+def alike_lines(forms: DataFrame, similarity: float) -> DataFrame:
+    """The lines (_leaf, _line) that belong to the majority template of their leaf."""
     spread = forms.select("_leaf", "n", F.posexplode(F.split("_line", " ")).alias("at", "token"))
     votes = spread.groupBy("_leaf", "at", "token").agg(F.sum("n").alias("n"))
     sizes = forms.groupBy("_leaf").agg(F.sum("n").alias("all_n"))
@@ -59,7 +123,14 @@ def dropped_lines(docs: DataFrame, min_documents: int = 10, depth: int = 3,
         F.transform(F.split("_line", " "), lambda t, i: (F.col("_fixed")[i] == t).cast("int")),
         F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
     size = F.size(F.split("_line", " "))
-    alike = staged(forms.join(template, "_leaf").where(agree >= F.lit(similarity) * size).select("_leaf", "_line"))
+    return staged(forms.join(template, "_leaf").where(agree >= F.lit(similarity) * size).select("_leaf", "_line"))
+
+
+def recurring_lines(found: DataFrame, alike: DataFrame, min_documents: int) -> tuple[DataFrame, DataFrame]:
+    """Lines to drop (doc_id, _doc, line_no), and the (_leaf, _line) whose template recurs.
+
+    One template a leaf, that of the lines ``alike``.
+    """
     members = found.join(alike, ["_leaf", "_line"], "left_semi").select("_leaf", "doc_id", "_doc", "line_no")
     members = staged(members)
     recurring = (
@@ -67,8 +138,10 @@ def dropped_lines(docs: DataFrame, min_documents: int = 10, depth: int = 3,
         .join(members.groupBy("_leaf").agg(F.min("doc_id").alias("_first")), "_leaf")
         .where(F.col("texts") >= min_documents).select("_leaf", "_first")
     )
+    recurring = staged(recurring)
     kept = F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(False))
-    return members.join(staged(recurring), "_leaf").where(~kept).select("doc_id", "_doc", "line_no")
+    return (members.join(recurring, "_leaf").where(~kept).select("doc_id", "_doc", "line_no"),
+            staged(alike.join(recurring, "_leaf", "left_semi").select("_leaf", "_line")))
 
 
 def drop_recurring_lines(docs: DataFrame, min_documents: int = 10, depth: int = 3,
@@ -83,6 +156,11 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = 10, depth: int =
     lines stand in ``min_documents`` or more different texts, they are dropped, save in the
     document of the smallest doc_id that has one, so that one copy stays.
 
+    A leaf may hold further templates. Of the lines left, each that stands by itself in
+    ``min_documents`` texts is a template; the others part by their most frequent token
+    that not all lines of the leaf have, and the rule above holds in these smaller leaves,
+    until no lines are left that could make up a template.
+
     Adds ``n_lines`` and ``n_dropped``; the kept lines are joined as before. Documents stay,
     even with nothing left. A missing text stays missing with 0 lines, an empty text has
     one line. Lines without a token are kept. Copies of one text count once towards a

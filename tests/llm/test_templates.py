@@ -39,6 +39,18 @@ def test_fields_beyond_the_lead_vary(make):
     assert sum(r.n_dropped for r in got) == 14
 
 
+def test_a_leaf_holds_several_templates(make):
+    lines = ["See the terms of use before posting here"] * 20 + ["See the terms for members of this forum"] * 30
+    got = templates.drop_recurring_lines(make([(i, f"{x}\nown{'x' * i}") for i, x in enumerate(lines)])).collect()
+    assert {r.doc_id for r in got if not r.n_dropped} == {0, 20}
+    # Neither has a majority; the second varies where it is not fixed; prose dilutes both.
+    rows = [f"See the terms of use before posting here a{'b' * i}" for i in range(12)]
+    rows += [f"See the terms for members z{'y' * i} this forum now" for i in range(12)]
+    rows += [f"See the terms p{'q' * i} r{'s' * i} t{'u' * i} v{'w' * i} k{'l' * i} m{'n' * i}" for i in range(40)]
+    got = templates.drop_recurring_lines(make([(i, f"{x}\nown{'x' * i}") for i, x in enumerate(rows)])).collect()
+    assert sorted(r.doc_id for r in got if r.n_dropped) == [*range(1, 12), *range(13, 24)]
+
+
 def test_no_python_on_the_way(spark):
     plan = templates.query(spark, SF)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
