@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, jaccard, mixing, packing, perplexity, quality, sharding, suffix, templates, toxicity
+from . import (
+    collocations, forest, jaccard, mixing, packing, perplexity, quality, sharding, suffix, templates, toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": perplexity.query,
         "op9_toxicity": toxicity.query,
         "op10_jaccard_join": jaccard.query,
+        "op11_collocations": collocations.query,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mix_sources": mixing.SQL,
         "op4_line_dedup": templates.SQL,
         "op10_jaccard_join": jaccard.SQL,
+        "op11_collocations": collocations.SQL,
     }
