@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    collocations, forest, jaccard, mixing, packing, perplexity, quality, sharding, suffix, templates, toxicity,
+    collocations, forest, jaccard, merkle, mixing, packing, perplexity, quality, sharding, suffix, templates, toxicity,
 )
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.query,
         "op10_jaccard_join": jaccard.query,
         "op11_collocations": collocations.query,
+        "op12_merkle": merkle.query,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": templates.SQL,
         "op10_jaccard_join": jaccard.SQL,
         "op11_collocations": collocations.SQL,
+        "op12_merkle": merkle.SQL,
     }
