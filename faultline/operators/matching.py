@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as S
 from ..functions.text import issue_link, keyword_set, keywords
+from .editjoin import near_texts
 from .simjoin import similar_sets
 from .skew import salted_join
 from .stage import staged
@@ -21,6 +22,13 @@ ISSUE_KEYWORDS = 20
 SEARCH_KEYWORDS = 5
 DESCRIPTION_CHARS = 500
 
+#: Scores at which a search for the best stops early, best first.
+ROUNDS = (0.45, 0.3)
+#: Queries times profiles from which it is worth while to search in rounds.
+ROUND_PAIRS = 1_000_000_000
+#: Keyword similarity below that of any two sets that share a word.
+ANY_SHARED = 1e-6
+
 
 def jaccard_bound(min_score: float, any_settled: bool = True) -> float:
     """Smallest keyword similarity with which min_score can still be reached."""
@@ -142,6 +150,38 @@ def _found_by_search(
     return sure.unionByName(late)
 
 
+def _candidates(queries: DataFrame, profiles: DataFrame, level: float, before: float | None) -> DataFrame:
+    """Scored pairs that may reach ``level``, less those that could reach ``before``.
+
+    Where the level needs shared keywords, the keyword join finds all pairs. Below, a pair
+    shares a keyword, or its texts alone must reach the level: then the edit join finds it.
+    """
+    bound = jaccard_bound(level)
+    joined = lambda pairs: (
+        pairs.join(queries, pairs.left_id == queries.query).join(profiles, pairs.right_id == profiles.profile))
+    pairs = joined(similar_sets(
+        queries.select(F.col("query").alias("id"), F.array_distinct("error_keywords").alias("words")),
+        profiles.select(F.col("profile").alias("id"), "words"),
+        max(bound, ANY_SHARED),
+    )).where(_within_reach(level))
+    if before is not None:
+        seen = (F.col("n_both") / F.col("n_all") >= jaccard_bound(before) - 1e-9) & _within_reach(before)
+        pairs = pairs.where(~seen)
+    used = ["left_id", "right_id", "letters", "head_letters"]
+    scored = _scored(pairs.drop(*used))
+    if bound <= 0:
+        ratio = level / (S.EDIT_WEIGHT * S.SETTLED_BONUS)
+        near = near_texts(queries.select(F.col("query").alias("id"), F.col("signature").alias("text")),
+                          profiles.select(F.col("profile").alias("id"), F.col("head").alias("text")), ratio)
+        alone = joined(near).where(~F.arrays_overlap("error_keywords", "words")).drop(*used)
+        alone = (
+            alone.withColumn("n_both", F.lit(0)).withColumn("n_all", F.size(F.array_union("error_keywords", "words")))
+            .withColumn("keyword_score", F.lit(0.0)).withColumn("edit_score", F.col("ratio"))
+            .withColumn("score", S.match_score("keyword_score", "edit_score", "settled")))
+        scored = scored.union(alone.select(scored.columns))
+    return scored
+
+
 def rank_matches(
     errors: DataFrame,
     issues: DataFrame,
@@ -151,54 +191,65 @@ def rank_matches(
     search: bool = False,
     issue_keywords: int | None = ISSUE_KEYWORDS,
     search_keywords: int = SEARCH_KEYWORDS,
+    rounds: tuple[float, ...] | None = None,
 ) -> DataFrame:
     """query, rank, issue_key and score parts for distinct errors; all matches without a limit.
 
     ``errors`` has query, signature, error_keywords and is read several times, so pass a
     staged table. ``search`` applies the candidate rule of the one-call report: settled
     issues that hold one of the first keywords.
+
+    With a limit, the best are looked for in rounds of falling score. A round finds every
+    match of its score, so a query that has enough of them is done and takes no part in the
+    next, where far more pairs qualify; what a round has scored is not scored again. Small
+    tables take one round. ``rounds`` names the scores (none: one round); results are the
+    same.
     """
-    bound = jaccard_bound(min_score)
-    if bound <= 0:
-        raise ValueError(
-            f"min_score {min_score} admits issues that share no keyword; "
-            f"use at least {S.EDIT_WEIGHT * S.SETTLED_BONUS + 0.01:.2f}"
-        )
+    if not min_score > 0:
+        raise ValueError("min_score must be above 0; at 0 all pairs match")
     if search:
         issues = issues.where(S.settled("status"))
     rows = staged(issue_profiles(issues, comments, issue_keywords))
     profiles = staged(_profile_table(rows))
+    # Without keywords an error can match by its text alone, if that is ever enough.
+    some = F.size("error_keywords") > 0 if search or jaccard_bound(min_score) > 0 else F.lit(True)
     queries = staged(
-        errors.where(F.size("error_keywords") > 0)
+        errors.where(some)
         .groupBy("query")
         .agg(F.any_value("signature").alias("signature"),
              F.any_value("error_keywords").alias("error_keywords"))
         .withColumn("letters", letter_counts("signature"))
     )
-    pairs = similar_sets(
-        queries.select(F.col("query").alias("id"), F.array_distinct("error_keywords").alias("words")),
-        profiles.select(F.col("profile").alias("id"), "words"),
-        bound,
-    )
-    pairs = (
-        pairs.join(queries, pairs.left_id == queries.query)
-        .join(profiles, pairs.right_id == profiles.profile)
-        .where(_within_reach(min_score))
-        .drop("left_id", "right_id", "letters", "head_letters")
-    )
-    # Written down before the filter: each pair is scored once, whoever reads it.
-    scored = staged(_scored(pairs)).where(F.col("score") >= min_score)
-    if search:
-        scored = _found_by_search(scored, rows, issues, max_results, search_keywords)
-    else:
-        keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], max_results)
-        scored = scored.join(keys, "profile")
+    if max_results is None:
+        rounds = ()
+    elif rounds is None:
+        rounds = ROUNDS if queries.count() * profiles.count() >= ROUND_PAIRS else ()
+    levels = [s for s in sorted(rounds, reverse=True) if s > min_score and jaccard_bound(s) > 0] + [min_score]
     rank = F.row_number().over(
         Window.partitionBy("query").orderBy(F.desc("score"), F.asc("issue_key"))
     )
-    best = scored.withColumn("rank", rank)
-    if max_results is not None:
-        best = best.where(F.col("rank") <= max_results)
+    before, earlier, best = None, None, None
+    for level in levels:
+        # Written down before the filter: each pair is scored once, whoever reads it.
+        scored = staged(_candidates(queries, profiles, level, before))
+        if earlier is not None:
+            scored = scored.union(earlier.join(queries.select("query"), "query", "left_semi").select(scored.columns))
+        hits = scored.where(F.col("score") >= level)
+        if search:
+            hits = _found_by_search(hits, rows, issues, max_results, search_keywords)
+        else:
+            keys = _first_keys(rows.select("issue_key", "profile"), ["profile"], max_results)
+            hits = hits.join(keys, "profile")
+        found = hits.withColumn("rank", rank)
+        if max_results is not None:
+            found = found.where(F.col("rank") <= max_results)
+        if level != min_score:
+            found = staged(found)
+            done = found.where(F.col("rank") == max_results).select("query")
+            found = found.join(done, "query", "left_semi")
+            queries = staged(queries.join(done, "query", "left_anti"))
+        best = found if best is None else best.unionByName(found)
+        before, earlier = level, scored
     matching = F.array_sort(F.array_intersect(F.array_distinct("error_keywords"), "words"))
     return best.select(
         "query", "rank", "issue_key", F.col("score").alias("similarity_score"),
@@ -232,8 +283,8 @@ def match_issues(
 ) -> DataFrame:
     """Matches of every error ``(id, signature, error_keywords)``, best first by rank.
 
-    A ``min_score`` that issues without a shared keyword could reach (0.22 or less) is
-    refused, as it would ask for all pairs.
+    A ``min_score`` that issues without a shared keyword can reach (0.22 or less) adds an
+    edit-similarity join; it must be above 0.
 
     With comments, ``issues`` carries the columns ``issues.with_comments`` adds.
     """

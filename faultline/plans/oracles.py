@@ -363,8 +363,15 @@ CTE["full_words"] = _words(
 )
 
 
-def _match(errors: str, words: str, solution: str, k: int, search: bool) -> dict[str, str]:
+def _match(errors: str, words: str, solution: str, k: int, search: bool,
+           min_score: float = 0.3) -> dict[str, str]:
     """CTEs that end in matches(query, ...) for distinct errors(query, signature, words)."""
+    # A cheap bound leaves out pairs that can't score enough; at a low score there is none.
+    low = min_score <= S.EDIT_WEIGHT * S.SETTLED_BONUS
+    some = "" if low else "WHERE len(words) > 0"
+    reach = "" if low else """
+WHERE len(list_intersect(e.words, w.words))::DOUBLE >= 0.14
+      * (len(e.words) + len(w.words) - len(list_intersect(e.words, w.words)))"""
     only = "AND " + _SETTLED.format("i.status") if search else ""
     held = (
         f"AND (list_has_any(p.words[1:{M.SEARCH_KEYWORDS}], p.iwords) OR "
@@ -376,15 +383,13 @@ SELECT e.query, e.signature, e.words, i.issue_key, i.summary, i.description, i.s
        i.{solution} AS solution_summary, w.words AS iwords,
        len(list_intersect(e.words, w.words)) AS n_both,
        len(e.words) + len(w.words) - len(list_intersect(e.words, w.words)) AS n_all
-FROM (SELECT query, signature, list_distinct(words) AS wset, words FROM {errors} WHERE len(words) > 0) e
+FROM (SELECT query, signature, list_distinct(words) AS wset, words FROM {errors} {some}) e
 JOIN issues_solved i ON true {only}
-JOIN {words} w ON w.id = i.issue_key
-WHERE len(list_intersect(e.words, w.words))::DOUBLE >= 0.14
-      * (len(e.words) + len(w.words) - len(list_intersect(e.words, w.words)))"""
+JOIN {words} w ON w.id = i.issue_key{reach}"""
     scored = f"""
 SELECT p.*, kw, coalesce(ratio, 0.0::DOUBLE) AS ed,
        {_score('kw', 'coalesce(ratio, 0.0::DOUBLE)', 'p.status')} AS similarity_score
-FROM (SELECT *, n_both::DOUBLE / n_all AS kw FROM cand) p
+FROM (SELECT *, n_both::DOUBLE / greatest(n_all, 1) AS kw FROM cand) p
 LEFT JOIN edit ON {_ratio('p.signature', 'p.summary')}"""
     matches = f"""
 SELECT query, rank, issue_key, summary, left(description, {M.DESCRIPTION_CHARS}) AS description, status,
@@ -393,7 +398,7 @@ SELECT query, rank, issue_key, summary, left(description, {M.DESCRIPTION_CHARS})
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity_score DESC, issue_key) AS INTEGER) AS rank,
         array_to_string(list_sort(list_intersect(words, iwords)), ' ') AS matching_keywords,
         {_reason('kw', 'n_both', 'n_all', 'ed', 'status')} AS relevance_reason
-      FROM scored p WHERE similarity_score >= 0.3 {held})
+      FROM scored p WHERE similarity_score >= {min_score} {held})
 WHERE rank <= {k}"""
     return {
         "issues_solved": "SELECT * FROM solved", "cand": cand,
@@ -605,6 +610,61 @@ CROSS JOIN (SELECT count(*) AS n FROM issues) k WHERE d.df <= 0.9 * k.n""",
     }
 
 
+def _nearest() -> dict[str, str]:
+    """Cosines of all pairs, the weights fitted on the issues."""
+    stop = _list(w for w in T.ENGLISH_STOP_WORDS if len(w) > 1)
+
+    def tf(name: str, rows: str) -> dict[str, str]:
+        return {
+            f"{name}_toks": f"""
+SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY p) AS p FROM (
+  SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS p FROM (
+    SELECT id, string_split(trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')), ' ') AS l FROM ({rows})))
+WHERE length(w) > 1 AND w NOT IN ({stop})""",
+            f"{name}_tf": f"""
+SELECT id, term, count(*) AS tf FROM (
+  SELECT id, w AS term FROM {name}_toks UNION ALL
+  SELECT a.id, concat(a.w, ' ', b.w) FROM {name}_toks a JOIN {name}_toks b ON b.id = a.id AND b.p = a.p + 1)
+GROUP BY id, term""",
+            f"{name}_w": f"""
+SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM (
+  SELECT t.id, t.term, t.tf * i.idf AS w FROM {name}_tf t JOIN idf i ON i.term = t.term)""",
+        }
+
+    return {
+        **tf("issue", "SELECT issue_key AS id, concat_ws(' ', summary, description) AS txt FROM issues"),
+        **tf("asked", "SELECT log_file AS id, signature AS txt FROM analysis"),
+        "idf": """
+SELECT term, ln((1.0::DOUBLE + k.n) / (df + 1)) + 1 AS idf
+FROM (SELECT term, count(*) AS df FROM issue_tf GROUP BY term)
+CROSS JOIN (SELECT count(*) AS n FROM issues) k WHERE df <= 0.9 * k.n""",
+        "cosines": """
+SELECT q.id AS log_file, d.id AS issue_key, round(least(1.0::DOUBLE, sum(q.u * d.u)), 9) AS cosine
+FROM asked_w q JOIN issue_w d ON d.term = q.term GROUP BY 1, 2""",
+    }
+
+
+def _alike(rows: str) -> dict[str, str]:
+    """Links of all pairs of rows(id, txt), and the smallest id that each row can reach."""
+    return {
+        "alike_rows": rows,
+        "alike_words": _words("SELECT DISTINCT txt AS id, txt FROM alike_rows WHERE txt IS NOT NULL", 10),
+        "classes": "SELECT list_sort(w.words) AS words, min(r.id) AS id, count(*) AS n FROM alike_rows r "
+                   "JOIN alike_words w ON w.id = r.txt WHERE len(w.words) > 0 GROUP BY 1",
+        "linked": f"""
+SELECT a.id AS u, b.id AS v, b.n FROM classes a JOIN classes b ON a.id <> b.id
+AND ({_jaccard('a.words', 'b.words')}) * {S.COMPARE_KEYWORD_WEIGHT}::DOUBLE >= {Q.GROUP_THRESHOLD} - 1e-9""",
+        "reach": "SELECT id, id AS r FROM classes UNION SELECT p.id, l.v FROM reach p JOIN linked l ON l.u = p.r",
+        "class_groups": """
+SELECT c.words, g.group_id, c.n - 1 + coalesce(m.more, 0) AS n_links
+FROM classes c JOIN (SELECT id, min(r) AS group_id FROM reach GROUP BY id) g ON g.id = c.id
+LEFT JOIN (SELECT u, sum(n) AS more FROM linked GROUP BY u) m ON m.u = c.id""",
+        "alike_groups": """
+SELECT r.id, r.txt, coalesce(g.group_id, r.id) AS group_id, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links
+FROM alike_rows r LEFT JOIN alike_words w ON w.id = r.txt LEFT JOIN class_groups g ON g.words = list_sort(w.words)""",
+    }
+
+
 def _similar_failures() -> dict[str, str]:
     return {
         "errors": _test_errors("failed"),
@@ -786,6 +846,20 @@ FROM (SELECT p.src_key, p.dst_key, p.dst_status, coalesce(s.words, {_EMPTY}) AS
     add("resolved_matches", f"""
 SELECT query AS id, rank, issue_key, status, resolution FROM matches
 WHERE {_SETTLED.format('status')} OR coalesce(resolution, '') <> ''""", log_matches)
+    low_matches = _match("log_errors", "issue_words", "match_solution", 10, search=False, min_score=Q.LOW_SCORE)
+    add("match_issues_low", "SELECT query AS id, * EXCLUDE (query, description, solution_summary) FROM matches",
+        low_matches)
+    add("nearest_issues", f"""
+SELECT log_file, CAST(row_number() OVER (PARTITION BY log_file ORDER BY cosine DESC, issue_key) AS INTEGER) AS rank,
+       issue_key, cosine FROM cosines WHERE cosine > 0 QUALIFY rank <= {Q.COSINE_RESULTS}""", _nearest())
+    failed_texts = {"errors": _test_errors("failed"),
+                    **_alike("SELECT test_object_run_id AS id, sig AS txt FROM errors")}
+    add("error_groups", "SELECT id, group_id, n_links FROM alike_groups", failed_texts)
+    add("error_group_report", """
+SELECT group_id, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_texts, arg_min(txt, (-n, txt)) AS text, max(n) AS n_text
+FROM (SELECT group_id, txt, count(*) AS n FROM alike_groups GROUP BY 1, 2) GROUP BY 1""", failed_texts)
+    add("issue_groups", "SELECT id, group_id, n_links FROM alike_groups",
+        _alike("SELECT issue_key AS id, summary AS txt FROM issues"))
     add("match_groups", """
 SELECT l.id, l.rank, i.issue_key, l.leader AS leader_rank FROM led l JOIN items i ON i.id = l.id AND i.rank = l.rank""",
         _groups())

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.rules import ERROR_RULES, Rule
+from ..operators import groups as G
 from ..operators import issues as I
 from ..operators import logscan as L
 from ..operators import matching as M
 from ..operators import warehouse as W
-from ..operators.tfidf import tfidf_cosine
+from ..operators.tfidf import tfidf_cosine, tfidf_search
+from ..operators.stage import staged
 from ..sources.logs import existing_logs
 from . import triage as P
 from .fixtures import TRACKER, Inputs
@@ -33,6 +35,8 @@ SEARCH_TEXT = "workaround restart"
 SEARCH_SHORT = "to IS"
 LABELS = ("fr", "src1")
 GROUP_THRESHOLD = 0.25
+LOW_SCORE = 0.17
+COSINE_RESULTS = 5
 CUSTOM_RULES = (
     Rule(r"tool[0-4]$", 6, "custom:tool"),
     Rule(r"^info purchase", 2, "custom:purchase"),
@@ -341,6 +345,39 @@ def match_groups(x):
     return M.match_groups(_matches(x), GROUP_THRESHOLD)
 
 
+def match_issues_low(x):
+    return M.match_issues(
+        _errors_of_logs(x), I.with_comments(x.issues, x.comments), TRACKER, LOW_SCORE, with_comments=True
+    ).drop("description", "solution_summary")
+
+
+def nearest_issues(x):
+    queries = _errors_of_logs(x).select("id", F.col("signature").alias("text"))
+    docs = x.issues.select(F.col("issue_key").alias("id"), F.concat_ws(" ", "summary", "description").alias("text"))
+    return tfidf_search(queries, docs, COSINE_RESULTS).select(
+        F.col("query_id").alias("log_file"), "rank", F.col("id").alias("issue_key"), "cosine")
+
+
+def _failed_errors(x):
+    tests = W.failed_rows(x.warehouse)
+    errors = P.test_errors(x.warehouse, tests, x.log_lines)
+    return staged(errors.select("id", F.col("signature").alias("text")))
+
+
+def error_groups(x):
+    return G.text_groups(_failed_errors(x), "text", GROUP_THRESHOLD, lambda c: T.keywords(c, 10))
+
+
+def error_group_report(x):
+    errors = _failed_errors(x)
+    return G.group_report(errors, G.text_groups(errors, "text", GROUP_THRESHOLD, lambda c: T.keywords(c, 10)))
+
+
+def issue_groups(x):
+    rows = x.issues.select(F.col("issue_key").alias("id"), "summary")
+    return G.text_groups(rows, "summary", GROUP_THRESHOLD, lambda c: T.keywords(c, 10))
+
+
 def compare_errors(x):
     return _linked(x).select("src_key", "dst_key", S.compare_errors(
         "src_summary", "dst_summary").alias("score"))
@@ -460,6 +497,7 @@ QUERIES = (
     token_estimate, highlight_keywords, issue_link,
     keyword_jaccard, simple_similarity, edit_similarity, tfidf_pairs, issue_text,
     match_scores, match_issues, resolved_matches, match_groups, compare_errors,
+    match_issues_low, nearest_issues, error_groups, error_group_report, issue_groups,
     suggest_keywords, candidate_issues, solution_sentence_match, solution_sentence_issue,
     find_solutions, batch_solutions, batch_summary,
     search_issues, search_text, search_text_short, issue_comments, issue_details, labels_any, labels_all,

@@ -50,7 +50,7 @@ def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         similar_sets(some, some, 0)
     with pytest.raises(ValueError):
-        M.rank_matches(None, None, min_score=0.2)
+        M.rank_matches(None, None, min_score=0)
 
 
 WORDS = [f"word{i}" for i in range(14)] + ["error", "memory", "timeout"]
@@ -79,7 +79,7 @@ def corpus(seed):
     return errors, issues
 
 
-def plain_matches(errors, issues, k, search):
+def plain_matches(errors, issues, k, search, min_score=0.3):
     out = set()
     for eid, text, words in errors:
         found = []
@@ -91,31 +91,67 @@ def plain_matches(errors, issues, k, search):
                 every = plain_keywords(" ".join([summary, body, " ".join(labels)]), 10**6)
                 if not settled or not set(words[:5]) & set(every):
                     continue
-            if not words or not mine:
-                continue
             both = set(words) & mine
-            score = len(both) / len(set(words) | mine) * 0.5 + plain_ratio(text, summary) * 0.2
+            score = len(both) / max(1, len(set(words) | mine)) * 0.5 + plain_ratio(text, summary) * 0.2
             score = min(1.0, score * 1.1 if settled else score)
-            if score >= 0.3:
+            if score >= min_score:
                 found.append((-score, key))
         for rank, (score, key) in enumerate(sorted(found)[:k], 1):
             out.add((eid, rank, key, round(-score, 9)))
     return out
 
 
-@pytest.mark.parametrize("search, k, seed", [(False, 10, 1), (True, 4, 2), (True, 50, 3), (False, 2, 4)])
-def test_match_issues(spark, search, k, seed):
-    errors, issues = corpus(seed)
+def frames(spark, errors, issues):
     e = spark.createDataFrame(errors, "id STRING, signature STRING, error_keywords ARRAY<STRING>")
     i = spark.createDataFrame(
         issues, "issue_key STRING, summary STRING, description STRING, status STRING,"
                 " resolution STRING, labels ARRAY<STRING>, priority STRING")
+    return e, i
+
+
+@pytest.mark.parametrize("search, k, seed", [(False, 10, 1), (True, 4, 2), (True, 50, 3), (False, 2, 4)])
+def test_match_issues(spark, search, k, seed):
+    errors, issues = corpus(seed)
+    e, i = frames(spark, errors, issues)
     got = M.match_issues(e, i, "http://x/", max_results=k, search=search).collect()
     want = plain_matches(errors, issues, k, search)
     assert {(r.id, r["rank"], r.issue_key, round(r.similarity_score, 9)) for r in got} == want
     assert want
 
 
+@pytest.mark.parametrize("min_score, search, k", [
+    (0.22, False, 5), (0.19, False, 100), (0.1, False, 7), (0.1, True, 100), (0.04, False, 100)])
+def test_any_min_score(spark, min_score, search, k):
+    """Below 0.22 issues match by their text alone, and errors without keywords match too."""
+    errors, issues = corpus(5)
+    errors.append(("nokeys", "word1 word2", []))
+    e, i = frames(spark, errors, issues)
+    got = M.match_issues(e, i, min_score=min_score, max_results=k, search=search).collect()
+    want = plain_matches(errors, issues, k, search, min_score)
+    assert {(r.id, r["rank"], r.issue_key, round(r.similarity_score, 9)) for r in got} == want
+    if not search:
+        assert any(not r.matching_keywords for r in got) and any(r.id == "nokeys" for r in got)
+
+
+@pytest.mark.parametrize("rounds", [(0.6, 0.45, 0.35), (0.31,)])
+@pytest.mark.parametrize("search, k, min_score", [(False, 3, 0.3), (True, 2, 0.3), (False, 4, 0.15), (True, 1, 0.05)])
+def test_rounds_find_the_same(spark, monkeypatch, search, k, min_score, rounds):
+    errors, issues = corpus(6)
+    e, i = frames(spark, errors, issues)
+    keyed = M.error_queries(e)
+    asked = []
+    candidates = M._candidates
+    monkeypatch.setattr(M, "_candidates", lambda q, p, level, before: (
+        asked.append((level, q.count())), candidates(q, p, level, before))[1])
+    rows = lambda r: sorted(tuple(x) for x in M.rank_matches(
+        keyed, i, min_score, k, search=search, rounds=r).collect())
+    assert rows(rounds) == rows(())
+    *levels, (last, alone) = asked
+    assert (last, [x for x, _ in levels]) == (min_score, [*rounds, min_score])
+    # Queries with enough matches take no part in later rounds.
+    assert levels[-1][1] < alone == levels[0][1]
+
+
 def test_groups_follow_rank_order(spark):
     rows = [("t", 1, "A", "alpha beta gamma"), ("t", 2, "B", "delta epsilon"),
             ("t", 3, "C", "alpha beta delta"), ("t", 4, "D", "delta epsilon zeta"),
