@@ -119,36 +119,40 @@ def _bits_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def count_batches(wanted: tuple[int, ...], bits):
-    """For mapInArrow: (lang, text as binary) to partial counts of phrases of the ``wanted``
-    lengths whose parts, one word shorter than the first of them, ``bits`` lets through.
-    Length 1 also gives each language's words under a missing phrase."""
+def count_batches(hashed: range, named: range, bits):
+    """For mapInArrow: (lang, text as binary) to partial counts of phrases. Those of the
+    ``hashed`` lengths are known by hash alone; of the ``named`` ones those that ``bits`` lets
+    through are spelt out. Lengths up to the last named one go on only through ``bits``.
+    Without named lengths, each language's words are counted as well, under no hash."""
     kinds, lower = kinds_of_bytes(), lower_bytes()
 
     def rows_of(texts: list[bytes], langs: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
         grams = Grams(WordBatch(texts, kinds, lower), langs, names)
-        table = None if bits is None else np.frombuffer(bits.value, np.uint64)
+        table = np.frombuffer(bits.value, np.uint64) if named else None
 
-        def out(keys: list, lang: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def out(lang, gram, hashes, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()).take(pa.array(lang)), pa.array(keys, pa.binary()),
-                 pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "hash", "f"])
+                [lang, gram, pa.array(hashes, pa.int64()), pa.array(n, pa.int64())],
+                names=["lang", "gram", "hash", "f"])
 
-        if wanted[0] == 1:
+        if not named:
             words = np.bincount(langs[grams.batch.text], minlength=len(names))
-            yield out([None] * len(names), np.arange(len(names)), np.zeros(len(names), np.uint64), words)
-        for n in range(1, wanted[-1] + 1):
+            yield out(pa.array(names, pa.string()), pa.nulls(len(names), pa.binary()), [None] * len(names), words)
+        for n in range(1, (hashed or named)[-1] + 1):
             if n > 1:
                 grams.longer()
-            everything = np.arange(len(grams.hash))
-            if n in wanted:
-                for at in range(0, len(everything), 100_000):
-                    some = everything[at:at + 100_000]
-                    yield out(grams.texts(some), grams.lang[some], grams.hash[some], grams.n[some])
-            # One filter holds the phrases of one word less than the first wanted length.
-            held = np.ones(len(everything), bool)
-            if n == wanted[0] - 1:
+            count = len(grams.hash)
+            if n in hashed:
+                yield out(pa.nulls(count, pa.string()), pa.nulls(count, pa.binary()), grams.hash.view(np.int64), grams.n)
+            held = np.ones(count, bool)
+            if named and n <= named[-1]:
                 held = _bits_hold(table, grams.hash)
+            if n in named:
+                found = np.flatnonzero(held)
+                for at in range(0, len(found), 100_000):
+                    some = found[at:at + 100_000]
+                    yield out(pa.array(names, pa.string()).take(pa.array(grams.lang[some])),
+                              pa.array(grams.texts(some), pa.binary()), [None] * len(some), grams.n[some])
             grams.keep(held)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +171,14 @@ def count_batches(wanted: tuple[int, ...], bits):
     return count
 
 
-def filter_bits(grams: DataFrame) -> bytes:
-    """A table of 2**FILTER_BITS bits with one for the hash of each phrase; its size is fixed."""
+def with_bits(bits: bytes | None, hashes: DataFrame) -> bytes:
+    """A table of 2**FILTER_BITS bits, given or empty, with one for each hash; its size is fixed."""
     slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = grams.select(F.shiftright(slot, 6).alias("at"), one.alias("bit")).groupBy("at").agg(
+    words = hashes.select(F.shiftright(slot, 6).alias("at"), one.alias("bit")).groupBy("at").agg(
         F.bit_or("bit").alias("word")).toArrow()  # at most 2**(FILTER_BITS - 6) rows
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[words["at"].to_numpy()] = words["word"].to_numpy()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64) if bits is None else np.frombuffer(bits, np.int64).copy()
+    table[words["at"].to_numpy()] |= words["word"].to_numpy()
     return table.tobytes()
 
 
@@ -182,23 +186,31 @@ def frequent_grams(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
                    ) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, f) of all phrases counted ``min_count`` times, and (lang, n) of all words.
 
-    A phrase can be that frequent only if its parts are, so texts are read once per step and
-    each step counts only phrases whose parts the step before has let through. The filter
-    lets some others through as well; the count decides.
+    A phrase can be that frequent only if its parts are, so each step reads the texts and
+    counts phrases whose parts the steps before have let through, one word longer; the last
+    step takes two lengths. What is rare, the bulk, is counted and shuffled as a hash of
+    eight bytes; the next step spells out phrases with a frequent hash and counts them
+    exactly, so a hash that two phrases share, or a bit of the filter, costs a row at most.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    sparkc, found, totals, bits = docs.sparkSession.sparkContext, None, None, None
-    steps = [(n,) for n in range(1, min(max_words, 3) + 1)] + ([tuple(range(4, max_words + 1))] if max_words > 3 else [])
-    for step in steps:
-        counts = texts.mapInArrow(count_batches(step, bits), COUNTS).groupBy("lang", "gram", "hash").agg(
+    context = docs.sparkSession.sparkContext
+    steps = [range(n, n + 1) for n in range(1, min(max_words, 3) + 1)] + [range(4, max_words + 1)]
+    found = totals = bits = None
+    named = range(0)
+    for hashed in [s for s in steps if s] + [range(0)]:
+        shipped = context.broadcast(bits) if named else None
+        counts = texts.mapInArrow(count_batches(hashed, named, shipped), COUNTS).groupBy("lang", "gram", "hash").agg(
             F.sum("f").alias("f"))
-        counts = staged(counts.where((F.col("f") >= min_count) | F.col("gram").isNull()))
-        if step == (1,):
-            totals = counts.where(F.col("gram").isNull()).select("lang", F.col("f").alias("n"))
-        counts = counts.where(F.col("gram").isNotNull())
-        bits = sparkc.broadcast(filter_bits(counts)) if step != steps[-1] else None
-        counts = counts.select("lang", "gram", "f")
-        found = counts if found is None else found.union(counts)
+        counts = staged(counts.where((F.col("f") >= min_count) | F.col("hash").isNull()))
+        hashes = counts.where(F.col("hash").isNotNull())
+        spelt = counts.where(F.col("gram").isNotNull() & (F.col("f") >= min_count)).select("lang", "gram", "f")
+        if named:
+            found = spelt if found is None else found.union(spelt)
+        else:
+            totals = counts.where(F.col("hash").isNull()).select("lang", F.col("f").alias("n"))
+        if hashed:
+            bits = with_bits(bits, hashes)
+        named = hashed
     return found, totals
 
 
