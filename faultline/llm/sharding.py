@@ -7,29 +7,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.stage import staged
 from .common import plain, rank_in_group, with_row_id
 
-#: Bits of the group key that one look at the groups resolves.
-LEVEL_BITS = 10
+#: Bits of the group key that one look resolves in a run.
+LEVEL_BITS = 9
 
 
 class Runs:
     """The ordered groups seen at the detail needed so far.
 
     A run is a range of keys with its total size, number of groups and largest group. A
-    run of one group is atomic. One look replaces runs by at most 2**LEVEL_BITS parts each.
+    run of one group is atomic. One look replaces some runs, of which there are never more
+    than two a cut, by at most 2**LEVEL_BITS parts each.
     """
 
     def __init__(self, groups: DataFrame):
         self.groups = groups
         self.runs = self._look([(None, None)], 64 - LEVEL_BITS)
 
-    def _look(self, ranges, shift: int) -> list[tuple]:
-        g = self.groups
+    def _look(self, ranges: list[tuple], shift: int) -> list[tuple]:
+        key, g, number = F.col("key"), self.groups, F.lit(0)
         if ranges[0][0] is not None:
-            wanted = F.lit(False)
-            for lo, hi in ranges:
-                wanted = wanted | F.col("key").between(lo, hi)
+            wanted = key.between(*ranges[0])
+            for lo, hi in ranges[1:]:  # at most two a cut
+                wanted = wanted | key.between(lo, hi)
+                number = number + (key >= lo).cast("int")
             g = g.where(wanted)
-        rows = g.groupBy(F.shiftright("key", shift).alias("part")).agg(
+        rows = g.groupBy(number.alias("range"), F.shiftright(key, shift).alias("part")).agg(
             F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("size").alias("size"),
             F.count(F.lit(1)).alias("n"), F.max("size").alias("most"),
         ).collect()  # at most 2**LEVEL_BITS rows a range
@@ -65,11 +67,12 @@ def ends(runs: list[tuple], shards: int, cap: int, divisible: bool) -> list[int]
     return out
 
 
-def smallest(runs: list[tuple], shards: int, divisible: bool) -> int:
-    """Binary search for the smallest capacity that the greedy check accepts."""
+def smallest(runs: list[tuple], shards: int, divisible: bool, low: int = 0, high: int | None = None) -> int:
+    """Binary search for the smallest capacity that the greedy check accepts, from ``low`` on;
+    ``high`` is known to be accepted."""
     total = sum(r[2] for r in runs)
-    low = max(-(-total // shards), max(r[4] for r in runs))
-    high = total
+    low = max(low, -(-total // shards), max(r[4] for r in runs))
+    high = total if high is None else high
     while low < high:
         mid = (low + high) // 2
         if ends(runs, shards, mid, divisible) is None:
@@ -84,22 +87,21 @@ def plan(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 
     ``groups`` holds one row (key bigint, size bigint) per atomic group; shards are
     contiguous in key order. The binary search runs on the driver over runs of groups, a
-    bounded summary; the groups inside a run are looked at only where a cut may fall.
+    bounded summary. What it knows bounds the capacity from both sides; the one halfway is
+    decided next, for which only the runs that its cuts fall in are looked into: at most two
+    a cut, whatever the groups.
     """
     runs = Runs(groups)
     if not runs.runs:
         return 0, []
+    low, high = 0, None
     while True:
-        low, high = (smallest(runs.runs, shards, d) for d in (True, False))
+        low = smallest(runs.runs, shards, True, low, high)
+        high = smallest(runs.runs, shards, False, low, high)
         if low == high:  # filling whole runs reaches the bound, so no finer cut can beat it
             return low, [runs.runs[i - 1][1] for i in ends(runs.runs, shards, low, False)]
-        early, late = _cuts(runs.runs, shards, low, False), _cuts(runs.runs, shards, high, True)
-        wanted = set()
-        for k in range(shards - 1):
-            a = early[k] if k < len(early) else len(runs.runs) - 1
-            b = late[k] if k < len(late) else len(runs.runs) - 1
-            wanted |= {i for i in range(min(a, b), max(a, b) + 1) if runs.runs[i][3] > 1}
-        runs.refine(wanted)
+        middle = (low + high) // 2
+        runs.refine({i for d in (True, False) for i in _cuts(runs.runs, shards, middle, d) if runs.runs[i][3] > 1})
 
 
 def _cuts(runs: list[tuple], shards: int, cap: int, divisible: bool) -> list[int]:
@@ -148,7 +150,9 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text") -> DataFrame:
 
 def place(rows: DataFrame, shards: int) -> DataFrame:
     """Shard and slot for rows with ``_key``, ``size`` and ``_rid``."""
-    groups = staged(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")))
+    groups = rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size"))
+    # In key order, so that a look at some ranges reads little else.
+    groups = staged(groups.repartitionByRange("key").sortWithinPartitions("key"))
     _, cuts = plan(groups, shards)
     put = rows.withColumn("shard", shard_of(F.col("_key"), cuts))
     return rank_in_group(put, ["shard"], "slot").drop("_key", "_rid")

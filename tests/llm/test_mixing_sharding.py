@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -119,6 +120,27 @@ def test_shards_hold_groups_and_slots(make):
     assert max(sizes.values()) == smallest_capacity([groups[t] for t in sorted(groups, key=keys.get)], 8)
 
 
+@pytest.mark.parametrize("n,share", [(60_000, 0.35), (200_000, 0.2)])
+def test_a_large_group_among_many(spark, monkeypatch, n, share):
+    """Looks stay few and small, whatever one group holds, and the capacity stays minimal."""
+    hot = int(n * share)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") < hot, F.lit("the same text " * 3)).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    looked = []
+    look = sharding.Runs._look
+    monkeypatch.setattr(sharding.Runs, "_look", lambda self, ranges, shift: looked.append(
+        (len(ranges), found := look(self, ranges, shift))) or found)
+    rows = sharding.shard(docs, 8).select(F.xxhash64("text").alias("key"), "size", "shard").groupBy(
+        "key", "shard").agg(F.sum("size").alias("size")).collect()
+    totals = Counter()
+    for r in rows:
+        totals[r.shard] += r["size"]
+    ordered = [r["size"] for r in sorted(rows, key=lambda r: r.key)]
+    assert len({r.key for r in rows}) == len(rows) and max(totals.values()) == smallest_capacity(ordered, 8)
+    assert max(k for k, _ in looked) <= 14 and max(len(f) for _, f in looked) <= 14 * 2**sharding.LEVEL_BITS
+    assert len(looked) < 40 and sum(len(f) for _, f in looked) < 40_000
+
+
 def test_odd_documents_shard(odd, empty):
     rows = sharding.shard(odd, 3).collect()
     assert len(rows) == odd.count() and min(r.size for r in rows) == 1
