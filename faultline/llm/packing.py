@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, rank_in_group, small_batches, with_row_id, worker_state
+from .common import documents, rank_in_group, with_row_id, worker_state
+from .words import WordBatch, byte_batches, byte_kinds, lower_bytes, spans
 
 CAPACITY = 2048
 #: Id that ends every document.
@@ -21,19 +22,22 @@ KNOWN_WORDS = 800_000
 #: Bytes of a long text that are split into words at once.
 CHUNK = 1 << 20
 
+#: ASCII white space parts words; letters A-Z are lower-cased.
+KINDS, LOWER = byte_kinds(b" \t\n\r\x0b\x0c"), lower_bytes()
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 # ---- tokens -------------------------------------------------------------------------
 
-def text_parts(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, a bounded part of it at a time."""
+def text_parts(text: bytes) -> Iterator[bytes]:
+    """A text in bounded parts, cut at white space."""
     at = 0
     while at < len(text):
         end = at + CHUNK
         while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        yield text[at:end].lower().split()
+        yield text[at:end]
         at = end
 
 
@@ -90,24 +94,45 @@ class WordIds:
             self.known.update(new)
         return new
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+    def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids."""
-        for text in texts:
+        parts, of, out = [], [], [[] for _ in texts]
+        for i, text in enumerate(texts):
             if b"<|" in text:  # may hold the name of a special token, in any case
-                yield self.encode([text.decode()])[0]
+                out[i] = self.encode([text.decode()])
                 continue
-            out = []
-            for words in text_parts(text):
-                found = list(map(self.known.get, words))
-                if None in found:
-                    new = self.learn({w for w, f in zip(words, found) if f is None})
-                    found = [f if f is not None else new[w] for w, f in zip(words, found)]
-                out.append(b"".join(found))
-            yield b"".join(out)
-
-
-def cut_documents(path: str, capacity: int = CAPACITY):
-    """A function for mapInArrow: batches of (doc_id, text as binary) to pieces."""
+            for part in text_parts(text):
+                parts.append(part)
+                of.append(i)
+        for a, b in spans(parts):
+            data, ends = self._flat(WordBatch(parts[a:b], KINDS, LOWER), b - a)
+            for i, x, y in zip(of[a:b], [0, *ends], ends):
+                out[i].append(data[x:y])
+        return [b"".join(x) for x in out]
+
+    def _flat(self, batch: WordBatch, n: int) -> tuple[bytes, list[int]]:
+        """The ids of n texts in turn, and where each text's bytes end. A distinct word is
+        looked up once; its ids are gathered for all its places together."""
+        found = list(map(self.known.get, batch.words))
+        if None in found:
+            new = self.learn({w for w, f in zip(batch.words, found) if f is None})
+            found = [f if f is not None else new[w] for w, f in zip(batch.words, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = sizes[batch.code]
+        ends = np.cumsum(size)
+        shift = (np.cumsum(sizes) - sizes)[batch.code] - (ends - size)
+        ids = pool[np.repeat(shift, size) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.searchsorted(batch.text, np.arange(n), side="right")
+        return ids.tobytes(), (4 * np.append(0, ends)[last]).tolist()
+
+
+def cut_documents(path: str, capacity: int = CAPACITY, end: int = END, ids: bool = False):
+    """A function for mapInArrow: batches of (doc_id, text as binary) to pieces; with
+    ``ids`` also the tokens of each document and the ids of pieces shorter than capacity."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["doc_tokens", "ids"] * ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.int64(), pa.binary()] * ids
+    width, last = 4 * capacity, end.to_bytes(4, "little")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("word_ids")
@@ -115,16 +140,14 @@ def cut_documents(path: str, capacity: int = CAPACITY):
         for batch in batches:
             rows = []
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(texts)):
-                ids += END.to_bytes(4, "little")
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), words.ids(texts)):
+                tokens += last
+                for piece, at in enumerate(range(0, len(tokens), width)):
+                    part = tokens[at:at + width]
+                    row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
+                    rows.append((*row, len(tokens) // 4, part if len(part) < width else None) if ids else row)
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return cut
 
@@ -304,7 +327,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     id 0. Rows that repeat a doc_id are packed each; a missing doc_id stays missing. Other
     columns take no part. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return placed(with_row_id(texts.mapInArrow(cut_documents(tokenizer, capacity), PIECES)), capacity)
 
