@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    collocations, forest, jaccard, merkle, mixing, packing, perplexity, quality, sharding, suffix, templates, toxicity,
+    collocations, forest, jaccard, merkle, mixing, packing, perplexity, quality, sharding, suffix, templates, tiers,
+    toxicity,
 )
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard.query,
         "op11_collocations": collocations.query,
         "op12_merkle": merkle.query,
+        "op13_pack_tiers": tiers.query,
     }
 
 
