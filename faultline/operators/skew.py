@@ -76,3 +76,26 @@ def number_rows(df: DataFrame, key: str, order: list[str], slice_col: str, out:
         .withColumn(out, (F.row_number().over(inside) + F.col("_shift")).cast("int"))
         .drop("_shift")
     )
+
+
+def grid_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
+              cell_rows: int, left_n: DataFrame | None = None, right_n: DataFrame | None = None) -> DataFrame:
+    """Inner join on a key that may be frequent on both sides.
+
+    A key with more than ``cell_rows`` rows on a side is laid out as a grid: each side is cut
+    into parts by a hash of its id and repeated once per part of the other, so every pair
+    meets in just one cell and no task takes more than a cell. Counts per key are measured;
+    tables ``(key, n)`` that are there already spare that.
+    """
+    counted = lambda df, known, name: (
+        df.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if known is None else known
+    ).select(key, F.ceil(F.col("n") / cell_rows).cast("int").alias(name))
+    hot = staged(
+        counted(left, left_n, "_rows").join(counted(right, right_n, "_cols"), key)
+        .where((F.col("_rows") > 1) | (F.col("_cols") > 1)))  # short: only frequent keys
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    pick = lambda i, c: F.pmod(F.xxhash64(i), one(c)).cast("int")
+    a = left.join(hot, key, "left").withColumn("_r", pick(left_id, "_rows")).withColumn("_c", every("_cols"))
+    b = right.join(hot, key, "left").withColumn("_c", pick(right_id, "_cols")).withColumn("_r", every("_rows"))
+    return a.drop("_rows", "_cols").join(b.drop("_rows", "_cols"), [key, "_r", "_c"]).drop("_r", "_c")

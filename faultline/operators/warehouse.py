@@ -7,10 +7,11 @@ sort newest first with missing times on top, ties by id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .index import Index, tests_named
 from .skew import left_lookup
 
 TEST_COLUMNS = (
@@ -297,68 +298,80 @@ def regression_summary(wh: Warehouse, regression_run_id: int | None = None) -> D
     )
 
 
-def _matching(wh: Warehouse, keyword: str, status: str | None) -> DataFrame:
-    tests = _named_tests(wh).where(F.col("test_name").ilike(f"%{keyword}%"))
+def _matching(wh: Warehouse, keyword: str, status: str | None, names: Index | None) -> DataFrame:
+    if names is None:
+        tests = _named_tests(wh).where(F.col("test_name").ilike(f"%{keyword}%"))
+    else:  # only the names found are joined to the facts
+        tests = _named_tests(replace(wh, test=tests_named(names, wh.test, keyword)))
     if status is not None:
         tests = tests.where(F.col("status") == status)
     return tests.select(*SEARCH_COLUMNS)
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def search_tests(
     wh: Warehouse,
     keyword: str,
     regression_run_id: int | None = None,
     status: str | None = None,
-    limit: int = 10,
+    limit: int | None = 10,
+    names: Index | None = None,
 ) -> DataFrame:
-    """Tests whose name holds the keyword (% and _ are wildcards), newest first per run."""
-    tests = _matching(wh, keyword, status)
+    """Tests whose name holds the keyword (% and _ are wildcards), newest first per run.
+
+    ``limit`` None gives all. ``names`` is an index of test names (``index.name_tokens``);
+    with it only names that hold all three-letter parts of the keyword are read.
+    """
+    tests = _matching(wh, keyword, status, names)
     if regression_run_id is not None:
-        return (
-            tests.where(F.col("regression_run_id") == regression_run_id)
-            .orderBy(*_newest("end_time", "test_object_run_id")).limit(limit)
-        )
+        mine = tests.where(F.col("regression_run_id") == regression_run_id)
+        return _first(mine.orderBy(*_newest("end_time", "test_object_run_id")), limit)
     rank = F.row_number().over(
         Window.partitionBy("regression_run_id").orderBy(*_newest("end_time", "test_object_run_id"))
     )
-    return tests.withColumn("rank", rank).where(F.col("rank") <= limit)
+    ranked = tests.withColumn("rank", rank)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def search_tests_recent(
-    wh: Warehouse, keyword: str, status: str | None = None, limit: int = 10, runs: int = 5
-) -> DataFrame:
-    """The same over the newest runs together; one filter and one top-k."""
-    recent = list_runs(wh, limit=runs).select("regression_run_id")
-    return (
-        _matching(wh, keyword, status)
-        .join(recent, "regression_run_id", "left_semi")
-        .orderBy(*_newest("end_time", "test_object_run_id"))
-        .limit(limit)
-    )
+def _newest_runs(wh: Warehouse, runs: int | None) -> DataFrame:
+    known = run_dims(wh).select("regression_run_id").join(
+        wh.regression_run.select("regression_run_id", "start_time"), "regression_run_id")
+    return known if runs is None else known.orderBy(*_newest("start_time", "regression_run_id")).limit(runs)
 
 
-def latest_run_with_test(wh: Warehouse, runs: int = 100) -> DataFrame:
-    """For every test name, the newest of the newest ``runs`` runs that holds it."""
-    recent = (
-        run_dims(wh).select("regression_run_id")
-        .join(wh.regression_run.select("regression_run_id", "start_time"), "regression_run_id")
-        .orderBy(*_newest("start_time", "regression_run_id"))
-        .limit(runs)
-    )
+def search_tests_recent(
+    wh: Warehouse, keyword: str, status: str | None = None, limit: int | None = 10, runs: int | None = 5,
+    names: Index | None = None,
+) -> DataFrame:
+    """The same over the newest runs together; one filter and one top-k. None: all of them."""
+    tests = _matching(wh, keyword, status, names)
+    if runs is not None:
+        recent = list_runs(wh, limit=runs).select("regression_run_id")
+        tests = tests.join(recent, "regression_run_id", "left_semi")
+    return _first(tests.orderBy(*_newest("end_time", "test_object_run_id")), limit)
+
+
+def latest_run_with_test(wh: Warehouse, runs: int | None = 100) -> DataFrame:
+    """For every test name, the newest of the newest ``runs`` runs that holds it; None: of all
+    runs. The newest is found by a grouped maximum, so a frequent test is no single task."""
+    recent = _newest_runs(wh, runs)
     f, o, t = wh.test_object_run, wh.test_object, wh.test
     seen = (
         f.select(F.col("regression_run_ref").alias("regression_run_id"), "test_object_ref")
+        .distinct()
         .join(recent, "regression_run_id")
         .join(o, F.col("test_object_ref") == o.test_object_id)
         .join(t, o.test_ref == t.test_id)
         .select("test_name", "regression_run_id", "start_time")
     )
-    rank = F.row_number().over(
-        Window.partitionBy("test_name").orderBy(*_newest("start_time", "regression_run_id"))
-    )
-    return seen.withColumn("rank", rank).where(F.col("rank") == 1).select(
-        "test_name", "regression_run_id"
-    )
+    # Missing times are newest; of equal times the smaller id counts.
+    newest = F.max(F.struct(
+        F.col("start_time").isNull().alias("open"), "start_time", (-F.col("regression_run_id")).alias("cost")))
+    return seen.groupBy("test_name").agg(newest.alias("r")).select(
+        "test_name", (-F.col("r.cost")).alias("regression_run_id"))
 
 
 def job_details(

@@ -719,6 +719,12 @@ FROM tor WHERE test_name ILIKE '%{Q.NAME_KEYWORD}%' QUALIFY rank <= {Q.SEARCH_LI
 SELECT {brief} FROM tor WHERE test_name ILIKE '%{Q.NAME_KEYWORD}%' AND regression_run_id IN (
   SELECT regression_run_id FROM runs ORDER BY start_time DESC NULLS FIRST, regression_run_id LIMIT 5)
 {_NEWEST} LIMIT {Q.SEARCH_LIMIT}""")
+    add("search_tests_all", f"""
+SELECT {brief}, CAST(row_number() OVER (PARTITION BY regression_run_id {_NEWEST}) AS INTEGER) AS rank
+FROM tor WHERE test_name ILIKE '%{Q.NAME_KEYWORD}%'""")
+    add("latest_run_with_test_all", """
+SELECT t.test_name, t.regression_run_id FROM tor t JOIN runs r ON r.regression_run_id = t.regression_run_id
+QUALIFY row_number() OVER (PARTITION BY t.test_name ORDER BY r.start_time DESC NULLS FIRST, t.regression_run_id) = 1""")
     add("job_details", """
 SELECT j.*, c.job_cmd_id AS command_cmd_id, c.cmd AS command_cmd, c.log_file AS command_log_file,
        c.exit_code AS command_exit_code, c.start_time AS command_start_time, c.end_time AS command_end_time,
@@ -860,6 +866,18 @@ SELECT group_id, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_texts, arg_min(
 FROM (SELECT group_id, txt, count(*) AS n FROM alike_groups GROUP BY 1, 2) GROUP BY 1""", failed_texts)
     add("issue_groups", "SELECT id, group_id, n_links FROM alike_groups",
         _alike("SELECT issue_key AS id, summary AS txt FROM issues"))
+    issue_words = {"every_word": """
+SELECT DISTINCT issue_key, unnest(regexp_extract_all(lower(concat_ws(' ', summary, description,
+       array_to_string(labels, ' '))), '[\\p{L}\\p{N}_]+')) AS w FROM issues"""}
+    add("candidates_by_error", f"""
+SELECT query AS log_file, id AS issue_key,
+       CAST(len(list_intersect(list_distinct(e.words[1:{M.SEARCH_KEYWORDS}]), f.words)) AS INTEGER) AS n_words
+FROM log_errors e JOIN full_words f ON list_has_any(e.words[1:{M.SEARCH_KEYWORDS}], f.words)""")
+    add("issues_with_all_keywords", """
+SELECT a.id AS query, i.issue_key, CAST(count(*) AS INTEGER) AS n_words
+FROM (SELECT id, unnest(words) AS w, len(words) AS n FROM sum_words) a JOIN every_word i ON i.w = a.w
+GROUP BY a.id, i.issue_key HAVING count(*) = any_value(a.n)""", {
+        **issue_words, "sum_words": _words("SELECT issue_key AS id, summary AS txt FROM issues", Q.ALL_KEYWORDS)})
     add("match_groups", """
 SELECT l.id, l.rank, i.issue_key, l.leader AS leader_rank FROM led l JOIN items i ON i.id = l.id AND i.rank = l.rank""",
         _groups())
@@ -916,6 +934,23 @@ LEFT JOIN (SELECT s_nationkey, min(s_name) AS lead FROM supplier GROUP BY 1) s O
 
     # analytics
     score = f"({_jaccard('a.words', 'b.words')}) * {S.COMPARE_KEYWORD_WEIGHT}::DOUBLE"
+    add("earlier_failures", f"""
+SELECT a.test_object_run_id AS id, b.test_object_run_id AS earlier_id, b.end_time AS earlier_time, l.score,
+       CAST(row_number() OVER (PARTITION BY a.test_object_run_id
+            ORDER BY b.end_time DESC, b.test_object_run_id DESC) AS INTEGER) AS rank
+FROM failure_rows a JOIN likes l ON l.a = a.words JOIN failure_rows b ON b.words = l.b
+WHERE b.end_time IS NOT NULL AND b.test_object_run_id <> a.test_object_run_id AND (a.end_time IS NULL
+  OR b.end_time < a.end_time OR (b.end_time = a.end_time AND b.test_object_run_id < a.test_object_run_id))
+QUALIFY rank <= {Q.HISTORY}""", {
+        **_similar_failures(),
+        "failure_rows": "SELECT e.test_object_run_id, e.end_time, f.words FROM errors e "
+                        "JOIN families f ON f.id = e.sig WHERE len(f.words) > 0",
+        "likes": f"""
+SELECT a, b, score FROM (
+  SELECT x.words AS a, y.words AS b,
+         least(1.0::DOUBLE, ({_jaccard('x.words', 'y.words')}) * {S.COMPARE_KEYWORD_WEIGHT}::DOUBLE) AS score
+  FROM seen x JOIN seen y ON list_has_any(x.words, y.words))
+WHERE score >= 0.3"""})
     add("similar_failures", f"""
 SELECT signature, CAST(rank AS INTEGER) AS rank, earlier_signature, score, n_failures, first_seen, last_seen FROM (
   SELECT *, row_number() OVER (PARTITION BY words ORDER BY score DESC, first_seen DESC, earlier_signature) AS rank

@@ -14,6 +14,8 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.rules import ERROR_RULES, Rule
 from ..operators import groups as G
+from ..operators import history as H
+from ..operators import index as X
 from ..operators import issues as I
 from ..operators import logscan as L
 from ..operators import matching as M
@@ -37,6 +39,8 @@ LABELS = ("fr", "src1")
 GROUP_THRESHOLD = 0.25
 LOW_SCORE = 0.17
 COSINE_RESULTS = 5
+HISTORY = 3
+ALL_KEYWORDS = 10
 CUSTOM_RULES = (
     Rule(r"tool[0-4]$", 6, "custom:tool"),
     Rule(r"^info purchase", 2, "custom:purchase"),
@@ -131,6 +135,15 @@ def search_tests_recent(x):
     return W.search_tests_recent(x.warehouse, NAME_KEYWORD, limit=SEARCH_LIMIT)
 
 
+def search_tests_all(x):
+    names = X.Index.of(X.name_tokens(x.warehouse.test))
+    return W.search_tests(x.warehouse, NAME_KEYWORD, limit=None, names=names)
+
+
+def latest_run_with_test_all(x):
+    return W.latest_run_with_test(x.warehouse, None)
+
+
 def job_details(x):
     j = W.job_details(x.warehouse)
     command = [F.col(f"command.{c}").alias(f"command_{c}") for c in (
@@ -393,6 +406,22 @@ def candidate_issues(x):
     return found.select("issue_key", "project", "status")
 
 
+def _issue_index(x):
+    return X.Index.of(X.issue_tokens(x.issues))
+
+
+def candidates_by_error(x):
+    errors = _errors_of_logs(x).withColumnRenamed("id", "query")
+    return X.candidates_by_keywords(_issue_index(x), errors, M.SEARCH_KEYWORDS).select(
+        F.col("query").alias("log_file"), F.col("doc").alias("issue_key"), "n_words")
+
+
+def issues_with_all_keywords(x):
+    queries = x.issues.select(F.col("issue_key").alias("query"), T.keywords("summary", ALL_KEYWORDS).alias("words"))
+    return _issue_index(x).search(queries, match_all=True).select(
+        "query", F.col("doc").alias("issue_key"), "n_words")
+
+
 def solution_sentence_match(x):
     both = I.with_comments(x.issues, x.comments)
     return both.select("issue_key", S.solution_for_match(comments="match_comments").alias("solution"))
@@ -469,6 +498,11 @@ def similar_failures(x):
     return P.similar_failures(P.test_errors(x.warehouse, tests, x.log_lines), k=SIMILAR_LIMIT)
 
 
+def earlier_failures(x):
+    tests = W.failed_rows(x.warehouse)
+    return H.earlier_failures(P.test_errors(x.warehouse, tests, x.log_lines), HISTORY)
+
+
 def solution_sentences_all(x):
     return I.solution_sentences(x.issues, x.comments)
 
@@ -489,6 +523,7 @@ QUERIES = (
     status_map, run_dims, failed_tests, test_details, log_paths, run_header, status_counts,
     regression_summary, search_tests_run, search_tests_recent, job_details,
     runs_by_regression, list_runs, latest_runs, latest_run_with_test,
+    search_tests_all, latest_run_with_test_all,
     failed_tests_with_errors, test_details_with_errors,
     log_lines, lines_of_text, ignored_lines, classified_lines, warnings_as_errors, log_fileentity,
     tool_events, first_error, analyze_failure, analyze_failure_capped, head_tail_lines,
@@ -498,11 +533,11 @@ QUERIES = (
     keyword_jaccard, simple_similarity, edit_similarity, tfidf_pairs, issue_text,
     match_scores, match_issues, resolved_matches, match_groups, compare_errors,
     match_issues_low, nearest_issues, error_groups, error_group_report, issue_groups,
-    suggest_keywords, candidate_issues, solution_sentence_match, solution_sentence_issue,
+    suggest_keywords, candidate_issues, candidates_by_error, issues_with_all_keywords, solution_sentence_match, solution_sentence_issue,
     find_solutions, batch_solutions, batch_summary,
     search_issues, search_text, search_text_short, issue_comments, issue_details, labels_any, labels_all,
     related_issues, project_info,
-    similar_failures, solution_sentences_all, issue_stats, frequent_issues, resolution_time,
+    similar_failures, earlier_failures, solution_sentences_all, issue_stats, frequent_issues, resolution_time,
 )
 _NAMES = {"tfidf_pairs": "tfidf_cosine"}
 
@@ -516,6 +551,7 @@ NULLABLE_INTEGERS = {
     "test_details": ("failed_job_run_ref",),
     "search_tests_run": ("failed_job_run_ref",),
     "search_tests_recent": ("failed_job_run_ref",),
+    "search_tests_all": ("failed_job_run_ref",),
     "job_details": ("command_cmd_id", "command_exit_code"),
     "failed_tests_with_errors": ("failed_job_run_ref", "error_level"),
     "test_details_with_errors": ("failed_job_run_ref",) + _LOG_NUMBERS,

@@ -98,3 +98,92 @@ def test_warehouse_arguments(spark):
     rest = [s for s in starts if s is not None]
     assert starts == [None] * (len(starts) - len(rest)) + sorted(rest, reverse=True)
     assert W.search_tests(wh, "r_ng", regression_run_id=run).count() <= 10
+
+
+def facts_of(spark, rows):
+    return spark.createDataFrame(rows, "test_object_run_id LONG, regression_run_ref LONG, num_error INT")
+
+
+def test_facts_replace_their_own_folders_only(spark, tmp_path):
+    dims = spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "q", None)],
+                                 "regression_run_id LONG, project_name STRING, regression_name STRING")
+    path = str(tmp_path / "facts")
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # would merge parts as small as these
+    spark.conf.set(merge, "false")
+    try:
+        tables.write_facts(facts_of(spark, [(i, 1 + i % 3, 0) for i in range(30)]), dims, path, file_rows=2)
+        tables.write_facts(facts_of(spark, [(100, 2, 9), (101, 2, 9)]), dims, path, file_rows=2)
+    finally:
+        spark.conf.unset(merge)
+    rows = spark.read.parquet(path)
+    assert rows.where("regression_name = 'a'").count() == 10 and rows.where("regression_name is null").count() == 10
+    assert sorted(r.test_object_run_id for r in rows.where("regression_name = 'b'").collect()) == [100, 101]
+    # a large folder is written by several tasks, a small one by one
+    files = {p.parent.name: len(list(p.parent.glob("*.parquet"))) for p in (tmp_path / "facts").rglob("*.parquet")}
+    assert files["regression_name=a"] > 1 and files["regression_name=b"] == 1
+
+
+def test_runs_prune_a_join(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    tables.write_by_run(facts_of(spark, [(i, i % 12, i) for i in range(120)]), path)
+    runs = spark.createDataFrame([(i, "hot" if i == 5 else "cold") for i in range(12)], "run LONG, kind STRING")
+    runs.write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs")).where("kind = 'hot'")
+    joined = spark.read.parquet(path).join(runs, F.col("regression_run_ref") == F.col("run"))
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 10
+    tables.write_by_run(facts_of(spark, [(999, 5, 1)]), path)
+    assert spark.read.parquet(path).count() == 111
+
+
+def test_ends_of_logs(spark, tmp_path):
+    from faultline.operators import logscan
+    from faultline.sources.ends import read_log_ends
+
+    rnd = random.Random(4)
+    folder = tmp_path / "logs" / "more"
+    folder.mkdir(parents=True)
+    texts = {"empty": "", "one": "x", "feed": "\n", "two": "a\nb", "long": "y" * 300 + "\nz\n" + "w" * 200}
+    for i in range(12):
+        lines = ["é" * rnd.randrange(0, 40) for _ in range(rnd.randrange(1, 30))]
+        texts[f"r{i}"] = "\n".join(lines) + ("\n" if i % 2 else "")
+    for name, text in texts.items():
+        if name.endswith("5"):
+            with gzip.open(folder / f"{name}.gz", "wt") as f:
+                f.write(text)
+        else:
+            (folder / name).write_text(text)
+    named = [(n, k, line) for n, t in texts.items()
+             for k, line in enumerate((t[:-1] if t.endswith("\n") else t).split("\n") if t else [], 1)]
+    lines = spark.createDataFrame(named, "log_file STRING, line_no INT, line STRING")
+    for ends in (0, 1, 7, 50, 10_000):
+        want = sorted((r.log_file, r.byte_start, r.file_size, r.line)
+                      for r in logscan.head_tail_lines(lines, ends).collect())
+        got = sorted((r.log_file.rsplit("/", 1)[1].removesuffix(".gz"), r.byte_start, r.file_size, r.line)
+                     for r in read_log_ends(spark, str(tmp_path / "logs"), ends, files=3).collect())
+        assert got == want
+
+
+def test_ends_read_no_middle(spark, tmp_path):
+    from faultline.sources.ends import LogEndsReader
+
+    class Counted:
+        def __init__(self, size):
+            self.n, self.read = size, 0
+
+        def size(self):
+            return self.n
+
+        def read_at(self, n, at):
+            self.read += n
+            return b"0123456\n" * (n // 8) + b"0123456\n"[: n % 8] if at % 8 == 0 else (b"0123456\n" * (n // 8 + 2))[at % 8:at % 8 + n]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    file = Counted(8 << 40)
+    rows = list(LogEndsReader({"path": "x", "ends": "80"}).ranged("x", file))
+    assert file.read < 4 << 20 and len(rows) == 11 + 10 and rows[-1][1] == (8 << 40) - 8
