@@ -50,12 +50,16 @@ class Rule:
             return None
         return anchored, plain
 
+    def java_regex(self) -> str:
+        """The regex with the flags under which Spark reads it as it is meant."""
+        return (_FLAGS_NOCASE if self.ignore_case else _FLAGS) + self.regex
+
     def found_in(self, line) -> Column:
         literal = self._literal()
         if literal:
             anchored, text = literal
             return line.startswith(text) if anchored else line.contains(text)
-        found = line.rlike((_FLAGS_NOCASE if self.ignore_case else _FLAGS) + self.regex)
+        found = line.rlike(self.java_regex())
         return line.contains(self.stem) & found if self.stem else found
 
     def needed_text(self) -> str | None:

