@@ -16,10 +16,17 @@ def stage_folder(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir, shared by all executors.
 
     A session without that setting uses a folder of its own warehouse, which executors
-    share as well.
+    share as well; on a cluster that warehouse must not be a local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = warehouse.startswith("file:") or "://" not in warehouse
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; "
+                         f"the warehouse {warehouse} is a local one")
+    return f"{warehouse}/_staged"
 
 
 def staged(df: DataFrame) -> DataFrame:

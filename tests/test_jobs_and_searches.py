@@ -1,7 +1,10 @@
 """Jobs keyed by run, whole logs, searches, links, threads, staging."""
 
 import os
+import subprocess
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import issues as I
@@ -158,3 +161,34 @@ def test_frequent_keys_are_spread_by_measure(spark):
             rows = salted_join(many, few, ["k"], F.xxhash64("i"), how="left", **args).collect()
             got = sorted((r.i, r.v or "") for r in rows)
             assert got == sorted([(i, v) for i in range(50) for v in "ab"] + [(50, "c"), (51, ""), (52, "")])
+
+
+def test_staging_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, *default):
+            return super().get(key, *default)
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf(conf)
+            self.sparkContext = type("C", (), {"master": master, "getCheckpointDir": lambda _: None})()
+
+    at = lambda master, **conf: stage_folder(Session(master, **{k.replace("_", "."): v for k, v in conf.items()}))
+    assert at("local[4]", spark_sql_warehouse_dir="file:/w") == "file:/w/_staged"
+    assert at("yarn", spark_sql_warehouse_dir="hdfs://n/w/") == "hdfs://n/w/_staged"
+    assert at("spark://h:1", spark_sql_warehouse_dir="file:/w", spark_checkpoint_dir="file:/shared/") == "file:/shared"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(ValueError):
+            at("spark://h:1", spark_sql_warehouse_dir=warehouse)
+
+
+def test_entry_without_a_library_of_the_corpus_part():
+    code = (
+        "import sys, warnings; sys.modules['xxhash'] = None\n"
+        "with warnings.catch_warnings(record=True) as seen:\n"
+        "    warnings.simplefilter('always'); import __spark_entry__ as e\n"
+        "assert 'find_solutions' in e.queries() and set(e.oracle_sql()) <= set(e.queries())\n"
+        "assert not any(k.startswith('op') for k in e.queries())\n"
+        "assert any('corpus' in str(w.message) for w in seen)\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
