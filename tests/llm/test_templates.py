@@ -1,4 +1,10 @@
+import random
+import re
+from collections import Counter, defaultdict
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import check_queries
 from faultline.llm import mixing, templates
@@ -69,3 +75,112 @@ def test_sql_on_odd_documents(odd):
     docs = odd.select("doc_id", "text").distinct()
     got = templates.drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").toPandas()
     assert check_queries.compare(got, run_sql(templates.SQL, docs)) == ""
+
+
+def plain_drops(docs, least, depth, similarity):
+    """The whole rule, from the docstring, line by line: {(doc_id, text, line_no)}."""
+    rows = []
+    for doc_id, text in docs:
+        for at, line in enumerate((text or "").split("\n") if text is not None else []):
+            t = tuple("<*>" if re.search("[0-9]", x) else x for x in re.split(r"[ \t\x0b\f\r]+", line) if x)
+            if t:
+                rows.append((doc_id, text, at, t))
+    dropped = set()
+
+    def texts_by_leaf(leaf_of):
+        out = defaultdict(set)
+        for doc_id, text, at, t in rows:
+            if leaf_of(t) is not None:
+                out[leaf_of(t)].add(text)
+        return out
+
+    def majority(leaf_of):
+        """Of each leaf the lines that its majority template holds."""
+        votes, sizes = Counter(), Counter()
+        for *_, t in rows:
+            leaf = leaf_of(t)
+            if leaf is not None:
+                sizes[leaf] += 1
+                votes.update((leaf, i, x) for i, x in enumerate(t))
+        return {t for *_, t in rows if leaf_of(t) is not None and sum(
+            votes[leaf_of(t), i, x] * 2 > sizes[leaf_of(t)] for i, x in enumerate(t)) >= similarity * len(t)
+            and any(votes[leaf_of(t), i, x] * 2 > sizes[leaf_of(t)] for i, x in enumerate(t))}
+
+    def drop(members, leaf_of):
+        """Drops recurring members; returns the lines whose template recurs."""
+        texts, first, used = defaultdict(set), {}, set()
+        for doc_id, text, at, t in rows:
+            if t in members:
+                leaf = leaf_of(t)
+                texts[leaf].add(text)
+                if doc_id is not None:
+                    first[leaf] = min(first.get(leaf, doc_id), doc_id)
+        for doc_id, text, at, t in rows:
+            if t in members and len(texts[leaf_of(t)]) >= least:
+                used.add(t)
+                if doc_id is None or doc_id != first.get(leaf_of(t)):
+                    dropped.add((doc_id, text, at))
+        return used
+
+    lead = lambda t: (len(t), t[:depth])
+    many = {leaf for leaf, x in texts_by_leaf(lead).items() if len(x) >= least}
+    leaf = {t: lead(t) for *_, t in rows if lead(t) in many}
+    at_leaf = lambda t: leaf.get(t)
+    for t in drop(majority(at_leaf), at_leaf):
+        del leaf[t]
+
+    def able():
+        votes, n = Counter(), Counter(t for *_, t in rows if t in leaf)
+        for t, k in n.items():
+            for i, x in enumerate(t):
+                votes[leaf[t], i, x] += k
+        held = {t for t in n if sum(votes[leaf[t], i, x] * 2 > least for i, x in enumerate(t)) >= similarity * len(t)
+                and any(votes[leaf[t], i, x] * 2 > least for i, x in enumerate(t))}
+        sizes = Counter()
+        for t in held:
+            sizes[leaf[t]] += n[t]
+        return {t: leaf[t] for t in held if sizes[leaf[t]] >= least}, n
+
+    leaf, n = able()
+    own = {t for t in leaf if n[t] >= least}
+    for t in drop(own, lambda t: (leaf.get(t), t)):
+        del leaf[t]
+    while True:
+        leaf, n = able()
+        if not leaf:
+            return dropped
+        votes, sizes = Counter(), Counter()
+        for t in leaf:
+            sizes[leaf[t]] += n[t]
+            for i, x in enumerate(t):
+                votes[leaf[t], i, x] += n[t]
+        parts = {}
+        for t in leaf:
+            best = max(((votes[leaf[t], i, x], -i, x) for i, x in enumerate(t)
+                        if votes[leaf[t], i, x] < sizes[leaf[t]]), default=None)
+            if best:
+                parts[t] = (leaf[t], best[1], best[2])
+        leaf = parts
+        for t in drop(majority(at_leaf), at_leaf):
+            del leaf[t]
+
+
+@pytest.mark.parametrize("seed, least", [(1, 3), (2, 4)])
+def test_whole_rule_against_plain_python(make, seed, least):
+    rnd = random.Random(seed)
+    heads = ["see the terms", "all rights are", "page x of"]
+    words = ["of", "use", "for", "members", "today", "now", "here"]
+    docs = []
+    for i in range(70):
+        lines = []
+        for _ in range(rnd.randrange(0, 7)):
+            tail = [rnd.choice(words) if rnd.random() < 0.8 else rnd.choice([f"n{i}", f"v{'w' * i}"])
+                    for _ in range(rnd.randrange(2, 5))]
+            lines.append("  ".join([rnd.choice(heads), *tail]))
+        docs.append((None if i % 23 == 0 else i, "\n".join(lines)))
+    docs += [(100, docs[5][1]), (5, docs[5][1]), (200, None), (201, ""), (202, " \n")]
+    got = templates.dropped_lines(make(docs).select("doc_id", "text"), least, 3, 0.7).join(
+        make(docs).select(F.col("doc_id").alias("i"), "text", F.xxhash64("text").alias("h")),
+        F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_doc") == F.col("h")))
+    want = plain_drops(docs, least, 3, 0.7)
+    assert {(r.doc_id, r.text, r.line_no) for r in got.collect()} == want and len(want) > 20
