@@ -64,7 +64,7 @@ class Grams:
     """Phrases of growing length in a batch of words; ``known`` says which can be frequent."""
 
     def __init__(self, batch: WordBatch, langs: np.ndarray, names: list[str]):
-        self.batch, self.names = batch, names
+        self.batch, self.names, self.piece = batch, names, batch.piece
         word_hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in batch.words), np.uint64, len(batch.words))
         self.word_hash = word_hash
         width = max(1, len(batch.words))
@@ -96,7 +96,7 @@ class Grams:
         ends = np.minimum(self.first + n, len(batch.code) - 1)
         fits = (self.first + n < len(batch.code)) & held[self.first + 1]
         if len(batch.code):
-            fits &= batch.piece[ends] == batch.piece[self.first]
+            fits &= self.piece[ends] == self.piece[self.first]
         self.first = self.first[fits]
         width = max(1, len(batch.words))
         lead_hash, lead_lang = self.hash, self.lang

@@ -15,6 +15,7 @@ trigrams of every text, the lower orders from the orders above them.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import compress
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.stage import staged
-from .common import documents, row_key, small_batches, without, worker_state
+from .common import documents, row_key, without, worker_state
+from .words import WordBatch, byte_batches, byte_kinds, spans
 
 ORDER = 5
 #: Stands for what is before and after a word.
@@ -45,54 +47,75 @@ CONTEXT = 3
 #: Classes: before the text, the word before again, the word before that again; then 18
 #: shapes, then frequent words.
 START, AGAIN, LATER, SHAPES, NAMED = 0, 1, 2, 3, 21
-#: Classes of running text counted in a task before they are handed on.
-HELD_CLASSES = 2_000_000
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
 # ---- counts of a text ---------------------------------------------------------------
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACES = b" \t\n\x0b\x0c\r"
 WINDOW = 5
+KINDS = byte_kinds(SPACES)
+SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
+#: Bytes that go on with a code point; they are always part of a word.
+LATER_BYTES = (np.arange(256) & 0xC0) == 0x80
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in five-word windows that are found twice or more, the first included."""
-    n = len(words) - WINDOW + 1
-    if n < 2:
-        return 0
-    codes: dict[bytes, int] = {}
-    ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
-    # Windows get dense ids by pairing: no two different windows share one.
-    key = ids[:n]
-    for k in range(1, WINDOW):
-        key = key * len(codes) + ids[k:k + n]
-        if k < WINDOW - 1 and len(codes) > 1 and key.max() > (1 << 62) // len(codes):
-            key = np.unique(key, return_inverse=True)[1]
+def repeated_words(batch: WordBatch, n: int) -> np.ndarray:
+    """Per text: words in five-word windows that it has twice or more, the first included."""
+    out = np.zeros(n, np.int64)
+    last = len(batch.code) - WINDOW + 1
+    if last < 2:
+        return out
+    at = np.flatnonzero(batch.text[:last] == batch.text[WINDOW - 1:])
+    # Only windows whose first two words the text has again can be repeated.
+    width = len(batch.words) + 1
+    key = (batch.text[at] * width + batch.code[at]) * width + batch.code[at + 1]
+    if len(key) and (batch.text[-1] + 1) * width * width > 1 << 62:
+        key = np.unique(batch.text[at] * width + batch.code[at], return_inverse=True)[1] * width + batch.code[at + 1]
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    at, key = at[again], key[again]
+    # Windows get dense numbers by pairing: no two different windows of a text share one.
+    for k in range(2, WINDOW):
+        key = np.unique(key, return_inverse=True)[1] * width + batch.code[at + k]
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
-    if not same.any():
-        return 0
-    hit = np.zeros(n, bool)
+    hit = np.zeros(len(at), bool)
     hit[order[1:][same]] = hit[order[:-1][same]] = True
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(hit), 1)
-    np.add.at(edge, np.flatnonzero(hit) + WINDOW, -1)
-    return int((np.cumsum(edge)[:-1] > 0).sum())
+    edge = np.zeros(len(batch.code) + 1, np.int64)
+    np.add.at(edge, at[hit], 1)
+    np.add.at(edge, at[hit] + WINDOW, -1)
+    covered = np.cumsum(edge)[:-1] > 0
+    return np.bincount(batch.text[covered], minlength=n)
+
+
+def duplicate_lines(text: bytes) -> int:
+    lines = [x for x in text.split(b"\n") if x.strip(SPACES)] if b"\n" in text else []
+    return len(lines) - len(set(lines))
 
 
-def text_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
-    lines = text.split("\n")
-    with_word = [x for x in lines if x.strip(SPACES)] if len(lines) > 1 else []
-    return (
-        len(words),
-        len(text) - sum(map(text.count, SPACES)),
-        sum(map(text.count, SYMBOLS)),
-        len(with_word) - len(set(with_word)),
-        repeated_words(words),
-    )
+def text_counts(texts: list[bytes], batch: WordBatch) -> list[np.ndarray]:
+    """The base columns of each text."""
+    n = len(texts)
+    return [
+        np.bincount(batch.text, minlength=n), batch.word_bytes() - batch.count(LATER_BYTES[batch.data]),
+        batch.count(SYMBOLS[batch.data]), np.fromiter(map(duplicate_lines, texts), np.int64, n),
+        repeated_words(batch, n),
+    ]
+
+
+def by_lang(langs: list[str], texts: list[bytes]) -> Iterator[tuple[str, list[int], list[bytes], WordBatch]]:
+    """Texts by language, a bounded part at a time, with their places and words."""
+    places: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        places.setdefault(lang, []).append(i)
+    for lang, mine in places.items():
+        for a, b in spans([texts[i] for i in mine]):
+            some = [texts[i] for i in mine[a:b]]
+            yield lang, mine[a:b], some, WordBatch(some, KINDS)
 
 
 # ---- the model ----------------------------------------------------------------------
@@ -107,10 +130,13 @@ def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()),
              pa.array(cols[2], pa.int64())], names=["lang", "word", "n"])
 
-    held: dict[str, Counter] = {}
+    held: dict[str, dict[bytes, int]] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(lang, Counter()).update((text or b"").split())
+        texts = [t or b"" for t in batch.column(1).to_pylist()]
+        for lang, _, _, words in by_lang(batch.column(0).to_pylist(), texts):
+            seen = held.setdefault(lang, {})
+            for word, n in zip(words.words, np.bincount(words.code, minlength=len(words.words)).tolist()):
+                seen[word] = seen.get(word, 0) + n
         if sum(map(len, held.values())) > HELD_WORDS:
             yield flush()
             held = {}
@@ -242,12 +268,12 @@ class HashArrays:
 
         table = rows.mapInPandas(hashed, "lang string, h bigint, logp double").toArrow()  # size checked
         h, logp = table["h"].to_numpy().view(np.uint64), table["logp"].to_numpy()
-        lang = table["lang"].to_numpy(zero_copy_only=False)
-        out = {}
-        for name in set(lang):
-            mine = lang == name
-            order = np.argsort(h[mine])
-            out[name] = (h[mine][order], logp[mine][order])
+        lang = table["lang"].combine_chunks().dictionary_encode()
+        which, out = lang.indices.to_numpy(), {}
+        for i, name in enumerate(lang.dictionary.to_pylist()):
+            mine = np.flatnonzero(which == i)
+            mine = mine[np.argsort(h[mine])]
+            out[name] = (h[mine], logp[mine])
         return cls(out)
 
     def score(self, lang: str, words: list[str]) -> np.ndarray:
@@ -264,33 +290,6 @@ class HashArrays:
         return sums[np.minimum(start + size - ORDER + 1, len(values))] - sums[start]
 
 
-class WordScores:
-    """Scores of words, remembered by a Python worker."""
-
-    def __init__(self, arrays: HashArrays):
-        self.arrays, self.known = arrays, {}
-
-    def totals(self, langs: list[str], texts: list[list[bytes]]) -> list[float]:
-        """Log probability of each text, given its words; new words are scored together."""
-        wanted: dict[str, set[bytes]] = {}
-        for lang, words in zip(langs, texts):
-            wanted.setdefault(lang, set()).update(words)
-        more: dict[str, dict[bytes, float]] = {}
-        for lang, words in wanted.items():
-            known = self.known.setdefault(lang, {})
-            new = list(words - known.keys())
-            more[lang] = dict(zip(new, self.arrays.score(lang, [w.decode() for w in new]).tolist())) if new else {}
-            if sum(map(len, self.known.values())) + len(new) <= KNOWN_WORDS:
-                known.update(more[lang])
-        out = []
-        for lang, words in zip(langs, texts):
-            found = list(map(self.known[lang].get, words))
-            if None in found:
-                found = [more[lang][w] if f is None else f for w, f in zip(words, found)]
-            out.append(sum(found))
-        return out
-
-
 # ---- the context ----------------------------------------------------------------------
 
 def shape(word: str) -> int:
@@ -315,32 +314,78 @@ def repeats(words: list[bytes]) -> np.ndarray:
     return out
 
 
-class Forms:
-    """The shape or frequent word that each word is, remembered by a Python worker."""
+class WordFacts:
+    """Log probability and form of words by language, remembered by a Python worker. A word is
+    looked up once a batch; its facts are gathered for all its places."""
+
+    def __init__(self, arrays: HashArrays | None, frequent: dict[str, dict[bytes, int]]):
+        self.arrays, self.frequent = arrays, frequent
+        self.places: dict[str, dict[bytes, int]] = {}
+        self.facts: dict[str, tuple[array, array]] = {}
+
+    def _new(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        frequent, texts = self.frequent.get(lang, {}), [w.decode() for w in words]
+        logp = self.arrays.score(lang, texts) if self.arrays else np.zeros(len(words))
+        return logp, [frequent[w] if w in frequent else shape(t) for w, t in zip(words, texts)]
+
+    def of(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities and forms of distinct words."""
+        places = self.places.setdefault(lang, {})
+        logps, forms = self.facts.setdefault(lang, (array("d"), array("B")))
+        found = list(map(places.get, words))
+        new = [i for i, f in enumerate(found) if f is None]
+        at = np.fromiter((0 if f is None else f for f in found), np.int64, len(found))
+        if len(logps):
+            p, form = np.frombuffer(logps, np.float64)[at], np.frombuffer(forms, np.uint8)[at].astype(np.int64)
+        else:
+            p, form = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        if new:
+            fresh = [words[i] for i in new]
+            p[new], form[new] = self._new(lang, fresh)
+            if sum(map(len, self.places.values())) + len(new) <= KNOWN_WORDS:
+                places.update(zip(fresh, range(len(logps), len(logps) + len(new))))
+                logps.frombytes(p[new].tobytes())
+                forms.frombytes(form[new].astype(np.uint8).tobytes())
+        return p, form
+
+
+def repeats_of(batch: WordBatch) -> np.ndarray:
+    """The same for the words of a whole batch of texts."""
+    code, text = batch.code, batch.text
+    out = np.zeros(len(code), np.int64)
+    for back, name in ((2, LATER), (1, AGAIN)):
+        if len(code) > back:
+            out[back:][(code[back:] == code[:-back]) & (text[back:] == text[:-back])] = name
+    return out
 
-    def __init__(self, frequent: dict[str, dict[bytes, int]]):
-        self.frequent, self.known = frequent, {}
 
-    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
-        if lang not in self.known:
-            self.known[lang] = dict(self.frequent.get(lang, {}))
-        known = self.known[lang]
-        found = list(map(known.get, words))
-        if None in found:
-            room = KNOWN_WORDS - sum(map(len, self.known.values()))
-            for i, f in enumerate(found):
-                if f is None:
-                    found[i] = shape(words[i].decode())
-                    if room > 0:
-                        known[words[i]] = found[i]
-                        room -= 1
-        return np.array(found, np.int64)
+class Running:
+    """Texts in turn as classes of words, unpacked from two bytes a word: form and repeat."""
 
+    def __init__(self, packed: list[bytes]):
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        codes = np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
+        self.text = np.repeat(np.arange(len(packed)), sizes)
+        self.again, self.forms = np.divmod(codes, CLASSES)
+        classes = np.where(self.again > 0, self.again, self.forms)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        before = lambda k: np.where(place >= k, np.roll(classes, k), START)
+        #: One number per place: its class and the two before.
+        self.trigrams = (before(2) * CLASSES + before(1)) * CLASSES + classes
 
-def trigram_codes(classes: np.ndarray) -> np.ndarray:
-    """One number per place of a text: its class and the two before."""
-    padded = np.concatenate([np.full(CONTEXT - 1, START), classes])
-    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
+    @staticmethod
+    def packed(forms: np.ndarray, again: np.ndarray, text: np.ndarray, n: int) -> list[bytes]:
+        data = (again * CLASSES + forms).astype("<u2").tobytes()
+        ends = (2 * np.cumsum(np.bincount(text, minlength=n))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def running_by_lang(langs: list[str], packed: list[bytes]) -> Iterator[tuple[str, list[int], Running]]:
+    places: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        places.setdefault(lang, []).append(i)
+    for lang, mine in places.items():
+        yield lang, mine, Running([packed[i] for i in mine])
 
 
 def frequent_words(vocab: DataFrame) -> dict[str, dict[bytes, int]]:
@@ -354,107 +399,106 @@ def frequent_words(vocab: DataFrame) -> dict[str, dict[bytes, int]]:
 
 
 class Contexts:
-    """Log probabilities of class trigrams and of forms by language, and the frequent words.
+    """Log probabilities of class trigrams and of forms by language.
 
     At most CLASSES ** CONTEXT trigrams a language, of 12 bytes each.
     """
 
-    def __init__(self, frequent, trigrams: dict[str, tuple[np.ndarray, np.ndarray]], forms: dict[str, np.ndarray]):
-        self.frequent, self.trigrams, self.forms = frequent, trigrams, forms
-
-    @classmethod
-    def of(cls, docs: DataFrame, vocab: DataFrame) -> "Contexts":
-        """Counted by the executors over all texts of (lang, text as binary)."""
-        frequent = frequent_words(vocab)
-        shipped = docs.sparkSession.sparkContext.broadcast(frequent)
-
-        def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
-            def flush() -> pa.RecordBatch:
-                names, codes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for lang, (seen, forms) in held.items():
-                    code, n = np.unique(np.concatenate(seen), return_counts=True)
-                    there = np.flatnonzero(forms)
-                    codes += [code, -1 - there]
-                    counts += [n, forms[there]]
-                    names += [lang] * (len(code) + len(there))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), pa.array(np.concatenate(codes), pa.int64()),
-                     pa.array(np.concatenate(counts), pa.int64())], names=["lang", "code", "n"])
-
-            state = Forms(shipped.value)
-            held, size = {}, 0
-            for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words = (text or b"").split()
-                    if not words:
-                        continue
-                    forms, again = state.of(lang, words), repeats(words)
-                    seen, numbers = held.setdefault(lang, ([], np.zeros(CLASSES, np.int64)))
-                    seen.append(trigram_codes(np.where(again > 0, again, forms)))
-                    numbers += np.bincount(forms, minlength=CLASSES)
-                    size += len(words)
-                if size > HELD_CLASSES:
-                    yield flush()
-                    held, size = {}, 0
-            yield flush()
+    def __init__(self, trigrams: dict[str, tuple[np.ndarray, np.ndarray]], forms: dict[str, np.ndarray]):
+        self.trigrams, self.forms = trigrams, forms
 
-        # Trigrams by their code; forms below zero.
-        counts = staged(docs.mapInArrow(counted, "lang string, code bigint, n bigint")
-                        .groupBy("lang", "code").agg(F.sum("n").alias("n")))
-        places = [CLASSES ** k for k in range(CONTEXT - 1, -1, -1)]
-        gram = F.concat(*[F.char(F.floor(F.col("code") / k) % CLASSES) for k in places])
-        rows = interpolated(counts.where("code >= 0").select("lang", gram.alias("gram"), "n"), CONTEXT)
-        code = sum((F.ascii(F.substring("gram", i + 1, 1)) * k for i, k in enumerate(places)), F.lit(0))
-        table = rows.select("lang", code.cast("int").alias("code"), F.log("p").alias("logp")).toArrow()  # bounded
-        trigrams, forms = {}, {}
-        lang = table["lang"].combine_chunks().dictionary_encode()
-        which, codes, logp = lang.indices.to_numpy(), table["code"].to_numpy(), table["logp"].to_numpy()
-        for i, name in enumerate(lang.dictionary.to_pylist()):
-            at = np.flatnonzero(which == i)
-            at = at[np.argsort(codes[at])]
-            trigrams[name] = (codes[at], logp[at])
-        for r in counts.where("code < 0").collect():  # fewer than CLASSES a language
-            forms.setdefault(r.lang, np.zeros(CLASSES))[-1 - r.code] = r.n
-        with np.errstate(divide="ignore"):
-            forms = {name: np.log(n / n.sum()) for name, n in forms.items()}
-        return cls(frequent, trigrams, forms)
-
-    def gain(self, lang: str, forms: np.ndarray, again: np.ndarray) -> float:
-        """What the context adds to a text's log probability, repeated words aside: these also lose their own."""
-        if not len(forms):
-            return 0.0
+    def gains(self, lang: str, run: Running, n: int) -> np.ndarray:
+        """What the context adds to each text's log probability, repeated words aside: these also lose their own."""
+        if not len(run.forms):
+            return np.zeros(n)
         codes, logp = self.trigrams[lang]
-        at = np.searchsorted(codes, trigram_codes(np.where(again > 0, again, forms)))  # all were counted
-        return float(logp[at].sum() - self.forms[lang][forms[again == 0]].sum())
+        gained = logp[np.searchsorted(codes, run.trigrams)]  # all were counted
+        alone = np.where(run.again == 0, self.forms[lang][run.forms], 0.0)
+        return np.bincount(run.text, gained - alone, n)
+
+
+def contexts_of(rows: DataFrame) -> Contexts:
+    """Counted by the executors over all texts as classes (lang, packed)."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, _, run in running_by_lang(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code, n = np.unique(run.trigrams, return_counts=True)
+                forms = np.bincount(run.forms, minlength=CLASSES)
+                there = np.flatnonzero(forms)
+                names = [lang] * (len(code) + len(there))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(np.concatenate([code, -1 - there]), pa.int64()),
+                     pa.array(np.concatenate([n, forms[there]]), pa.int64())], names=["lang", "code", "n"])
+
+    # Trigrams by their code; forms below zero.
+    counts = staged(rows.mapInArrow(counted, "lang string, code bigint, n bigint")
+                    .groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    places = [CLASSES ** k for k in range(CONTEXT - 1, -1, -1)]
+    gram = F.concat(*[F.char(F.floor(F.col("code") / k) % CLASSES) for k in places])
+    trigrams = interpolated(counts.where("code >= 0").select("lang", gram.alias("gram"), "n"), CONTEXT)
+    code = sum((F.ascii(F.substring("gram", i + 1, 1)) * k for i, k in enumerate(places)), F.lit(0))
+    table = trigrams.select("lang", code.cast("int").alias("code"), F.log("p").alias("logp")).toArrow()  # bounded
+    found, forms = {}, {}
+    lang = table["lang"].combine_chunks().dictionary_encode()
+    which, codes, logp = lang.indices.to_numpy(), table["code"].to_numpy(), table["logp"].to_numpy()
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        at = np.flatnonzero(which == i)
+        at = at[np.argsort(codes[at])]
+        found[name] = (codes[at], logp[at])
+    for r in counts.where("code < 0").collect():  # fewer than CLASSES a language
+        forms.setdefault(r.lang, np.zeros(CLASSES))[-1 - r.code] = r.n
+    with np.errstate(divide="ignore"):
+        forms = {name: np.log(n / n.sum()) for name, n in forms.items()}
+    return Contexts(found, forms)
+
+
+MEASURED = f"doc_id bigint, lang string, {BASE}, logp double, lost double, packed binary, _key bigint"
 
 
 def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame:
     """Each document's counts, language, log probability of its words by themselves, what
-    their context adds to it, and row key."""
+    their context adds to it, and row key.
+
+    Texts are read twice: for the words of the corpus, then to score them. The second time
+    each word leaves two bytes, its form and whether it repeats, from which the context is
+    counted and scored.
+    """
     vocab = vocabulary(docs)
-    grams = model(vocab)
+    grams, frequent = model(vocab), frequent_words(vocab)
+    context = docs.sparkSession.sparkContext
     rows = docs.select(
         "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.col("text").cast("binary").alias("text"), row_key().alias("_key"))
-    schema = f"doc_id bigint, lang string, {BASE}, logp double, context double, _key bigint"
-    contexts = docs.sparkSession.sparkContext.broadcast(Contexts.of(rows.select("lang", "text"), vocab).__dict__)
-    if grams.count() <= shipped_ngrams:
-        arrays = HashArrays.of(grams)
-        shipped = docs.sparkSession.sparkContext.broadcast(arrays.langs)
-        job = str(id(shipped))
-
-        def scored(batches):
-            state = worker_state("word_scores")
-            if job not in state:
-                state.clear()  # of an earlier model
-                state[job] = WordScores(HashArrays(shipped.value))
-            yield from _measure(batches, state[job].totals, Contexts(**contexts.value))
-
-        return staged(rows.mapInArrow(scored, schema))
-
+    shipping = grams.count() <= shipped_ngrams
+    shipped = context.broadcast(HashArrays.of(grams).langs if shipping else None)
+    job = str(id(shipped))
+
+    def scored(batches):
+        state = worker_state("word_facts")
+        if job not in state:
+            state.clear()  # of an earlier model
+            state[job] = WordFacts(HashArrays(shipped.value) if shipped.value is not None else None, frequent)
+        yield from _measure(batches, state[job])
+
+    base = staged(rows.mapInArrow(scored, MEASURED))
+    found = context.broadcast(contexts_of(base.select("lang", "packed")).__dict__)
+
+    def gained(batches):
+        contexts = Contexts(**found.value)
+        for batch in batches:
+            langs, packed = (batch.column(batch.schema.get_field_index(c)) for c in ("lang", "packed"))
+            gains = np.zeros(batch.num_rows)
+            for lang, places, run in running_by_lang(langs.to_pylist(), packed.to_pylist()):
+                gains[places] = contexts.gains(lang, run, len(places))
+            at = batch.schema.get_field_index("packed")
+            yield batch.set_column(at, "context", pa.array(gains))
+
+    base = base.mapInArrow(gained, MEASURED.replace("packed binary", "context double"))
+    columns = [c.split()[0] for c in MEASURED.replace("packed", "context").split(", ") if not c.startswith("lost")]
+    if shipping:
+        return staged(base.withColumn("context", F.col("context") - F.col("lost")).select(columns))
     # A larger model scores words by a join, and documents by a join with their words.
-    base = staged(rows.mapInArrow(lambda b: _measure(b, None, Contexts(**contexts.value)), schema))
     words = rows.dropDuplicates(["_key"]).select("_key", "lang", "text").mapInArrow(
         _words_by_row, "_key bigint, lang string, word string, n bigint, again bigint")
     parts = vocab.mapInPandas(_positions, "lang string, word string, gram string").join(grams, ["lang", "gram"])
@@ -463,27 +507,31 @@ def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame
         F.sum(F.col("logp") * F.col("n")).alias("_logp"), F.sum(F.col("logp") * F.col("again")).alias("_again"))
     return staged(base.join(sums, "_key", "left").withColumns(
         {"logp": F.coalesce("_logp", F.lit(0.0)), "context": F.col("context") - F.coalesce("_again", F.lit(0.0))})
-        .drop("_logp", "_again"))
+        .select(columns))
 
 
-def _measure(batches, totals, contexts):
-    forms = Forms(contexts.frequent)
+def _measure(batches, facts: WordFacts):
+    """Without a model, words have a log probability of 0."""
     for batch in batches:
-        doc_ids, langs, raws, keys = (batch.column(k).to_pylist() for k in range(4))
-        raws = [r or b"" for r in raws]
-        words = [r.split() for r in raws]
-        again = list(map(repeats, words))
-        gains = [contexts.gain(lang, forms.of(lang, w), a) for lang, w, a in zip(langs, words, again)]
-        logp = lost = [0.0] * len(raws)
-        if totals:
-            logp, lost = totals(langs, words), totals(langs, [list(compress(w, a)) for w, a in zip(words, again)])
-        rows = [(d, lang, *text_counts(r.decode(), w), float(p), float(g - x), k)
-                for d, lang, r, w, p, g, x, k in zip(doc_ids, langs, raws, words, logp, gains, lost, keys)]
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.float64(), pa.int64()]
+        doc_ids, langs, raws, keys = (batch.column(k) for k in range(4))
+        raws = [r or b"" for r in raws.to_pylist()]
+        n_rows = len(raws)
+        counts = [np.zeros(n_rows, np.int64) for _ in range(5)]
+        logp, lost, packed = np.zeros(n_rows), np.zeros(n_rows), [b""] * n_rows
+        for lang, places, texts, words in by_lang(langs.to_pylist(), raws):
+            p, forms = facts.of(lang, words.words)
+            p, forms, again, n = p[words.code], forms[words.code], repeats_of(words), len(texts)
+            for column, values in zip(counts, text_counts(texts, words)):
+                column[places] = values
+            logp[places] = np.bincount(words.text, p, n)
+            lost[places] = np.bincount(words.text, np.where(again > 0, p, 0.0), n)
+            for i, codes in zip(places, Running.packed(forms, again, words.text, n)):
+                packed[i] = codes
         names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                 "logp", "context", "_key"]
-        cols = list(zip(*rows)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                 "logp", "lost", "packed", "_key"]
+        yield pa.RecordBatch.from_arrays(
+            [doc_ids, langs, *map(pa.array, counts), pa.array(logp), pa.array(lost), pa.array(packed, pa.binary()),
+             keys], names=names)
 
 
 def _words_by_row(batches):
@@ -550,7 +598,7 @@ def quality_rules(docs: DataFrame, width: float = 8.0, floor: float = 0.5, short
     document that passes the base rules has no band and keeps none. Rows that repeat a
     doc_id are judged each. An empty table gives an empty table; other columns take no part.
     """
-    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     per_word = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words"))
     rows = measured(docs, shipped_ngrams).withColumns(
         {"word_ppl": per_word(-F.col("logp")), "context": per_word(F.col("context"))})

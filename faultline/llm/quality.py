@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.stage import staged
 from .common import documents, small_batches
-from .perplexity import text_counts
+from .perplexity import KINDS, text_counts
+from .words import WordBatch, spans
 
 #: Labelled documents, at most, that the document classifier is fitted on: those with the
 #: smallest hashes of their doc_id.
@@ -28,14 +29,11 @@ MARKED = re.compile(rb"[#*$%&<>!]{2,}")
 DIGIT = re.compile(r"[0-9]")
 
 
-def features(raw: bytes) -> tuple[float, ...]:
-    """The dense features of a text; all are 0 for one without words."""
-    words = raw.split()
-    if not words:
+def features(raw: bytes, n: int, chars: int, dup_lines: int, repeats: int) -> tuple[float, ...]:
+    """The dense features of a text, given its counts; all are 0 for one without words."""
+    if not n:
         return (0.0,) * len(FEATURES)
-    text = raw.decode("utf-8", "replace")
-    n = len(words)
-    _, chars, _, dup_lines, repeats = text_counts(text, words)
+    words, text = raw.split(), raw.decode("utf-8", "replace")
     lower = text.lower()
     capitals = sum(a != b for a, b in zip(text, lower)) if lower != text and len(lower) == len(text) else 0
     return (
@@ -46,13 +44,23 @@ def features(raw: bytes) -> tuple[float, ...]:
     )
 
 
+def features_of(texts: list[bytes]) -> list[tuple[float, ...]]:
+    out = []
+    for a, b in spans(texts):
+        some = texts[a:b]
+        words, chars, _, dup_lines, repeats = (
+            c.tolist() for c in text_counts(some, WordBatch(some, KINDS)))
+        out += map(features, some, words, chars, dup_lines, repeats)
+    return out
+
+
 def featured(rows: DataFrame, keep: str) -> DataFrame:
     """Rows with ``text`` as binary to the features, besides the ``keep`` columns (DDL)."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            cols = list(zip(*[features(t or b"") for t in texts])) or [()] * len(FEATURES)
+            cols = list(zip(*features_of([t or b"" for t in texts]))) or [()] * len(FEATURES)
             rest = [(c, batch.column(c)) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [v for _, v in rest] + [pa.array(c, pa.float64()) for c in cols],
@@ -62,12 +70,16 @@ def featured(rows: DataFrame, keep: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int):
-    """A logistic regression on a bounded sample, or None without labels of both kinds."""
+    """A logistic regression on a bounded sample, or None without labels of both kinds.
+
+    A labelled id counts once, with its first text, however often it repeats.
+    """
     known = staged(
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = docs.join(known, "doc_id").select("label", F.col("text").cast("binary").alias("text"))
+    texts = docs.join(known, "doc_id").groupBy("doc_id", "label").agg(
+        F.min("text").cast("binary").alias("text")).drop("doc_id")
     data = staged(featured(texts, "label double"))
     if data.agg(F.countDistinct("label")).first()[0] < 2:
         return None

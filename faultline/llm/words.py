@@ -36,9 +36,12 @@ def lower_bytes() -> np.ndarray:
 
 
 class WordBatch:
-    """The words of some texts in turn: number in ``words``, text and piece of each."""
+    """The words of some texts in turn: number in ``words``, text and piece of each.
 
-    def __init__(self, texts: list[bytes], kinds: np.ndarray, lower: np.ndarray):
+    ``lower`` maps bytes to those that words are known by.
+    """
+
+    def __init__(self, texts: list[bytes], kinds: np.ndarray, lower: np.ndarray | None = None):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         firsts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -51,15 +54,31 @@ class WordBatch:
         at = np.flatnonzero(new)
         held = np.cumsum(inside, dtype=np.int64)
         places = np.append(held[at] - 1, held[-1] if len(held) else 0)
+        self.data, self.places, self.firsts, self.sizes = data, places, firsts, sizes
         flat = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(lower[data[inside]])])
+            pa.large_binary(), len(at),
+            [None, pa.py_buffer(places), pa.py_buffer(data[inside] if lower is None else lower[data[inside]])])
         found = flat.dictionary_encode()
         #: Distinct words, as bytes.
         self.words: list[bytes] = found.dictionary.to_pylist()
         self.code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # A text without bytes has no word, so the last text that begins here holds it.
         self.text = np.searchsorted(firsts, at, side="right") - 1
-        self.piece = np.cumsum((kind == STOP) | begins)[at]
+        self._marks, self._at = (kind, begins), at
+
+    @property
+    def piece(self) -> np.ndarray:
+        kind, begins = self._marks
+        return np.cumsum((kind == STOP) | begins)[self._at]
+
+    def count(self, bytes_hit: np.ndarray) -> np.ndarray:
+        """How many of some bytes, few as a rule, each text has."""
+        of = np.searchsorted(self.firsts, np.flatnonzero(bytes_hit), side="right") - 1
+        return np.bincount(of, minlength=len(self.sizes))
+
+    def word_bytes(self) -> np.ndarray:
+        """Bytes of each text that belong to words."""
+        return np.bincount(self.text, np.diff(self.places), len(self.sizes)).astype(np.int64)
 
 
 def spans(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:

@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from faultline.llm import perplexity, quality, toxicity
+from faultline.llm.words import WordBatch
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,7 +30,19 @@ def brute_counts(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab é#*\n\t\x0b\x1c\x85|", max_size=80))
 def test_counts(text):
-    assert perplexity.text_counts(text, text.encode().split()) == brute_counts(text)
+    assert counts_of([text]) == [brute_counts(text)]
+
+
+def counts_of(texts):
+    raw = [t.encode() for t in texts]
+    batch = WordBatch(raw, perplexity.KINDS)
+    return list(zip(*(c.tolist() for c in perplexity.text_counts(raw, batch))))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab é#\n |", max_size=40), max_size=8))
+def test_counts_of_many_texts_at_once(texts):
+    assert counts_of(texts) == [brute_counts(t) for t in texts]
 
 
 def brute_model(words, order=5):
