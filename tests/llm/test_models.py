@@ -234,6 +234,62 @@ def test_classifier_on_odd_documents(spark, odd, empty):
     assert quality.quality(odd, labels.limit(0)).where("not kept").count() == 0
 
 
+def plain_strength(sites):
+    """Moments of (mean, n, prior) rows."""
+    spread = sum(n * (m - p) ** 2 for m, n, p in sites)
+    noise = sum(p * (1 - p) for _, _, p in sites)
+    n, scale = sum(x[1] for x in sites), sum(x[1] * x[2] * (1 - x[2]) for x in sites)
+    between = max(0.0, (spread - noise) / n)
+    return min(1e6, max(1.0, scale / n / between - 1)) if between > 0 else 1e6
+
+
+def test_thousands_of_sparse_sites(spark, make):
+    """Sums, shrinking and odds of every document against plain Python."""
+    rnd = np.random.default_rng(4)
+    good, bad = "plain words that follow each other in a quiet line of text", "BUY | NOW | !!! | $$$ | BUY | NOW"
+    rows, quality_of = [], []
+    for i in range(5000):
+        host = f"dense{i % 3}" if i % 4 == 0 else f"h{rnd.integers(1500)}"
+        # one dense host is junk, sparse sites are of either kind
+        is_good = rnd.random() < (0.05 if host == "dense0" else 0.95 if host == "dense1" else 0.6)
+        rows.append((i, f"{good if is_good else bad} {'x' * int(rnd.integers(9))}", f"p{rnd.integers(3)}", host))
+        quality_of.append((i, int(is_good)))
+    docs = make(rows)
+    labels = spark.createDataFrame(quality_of[::7], "doc_id long, quality int")
+    got = quality.quality(docs, labels).collect()
+    mean = sum(r.p_document for r in got) / len(got)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r in got:
+        hosts[r.host].append(r.p_document)
+        paths[r.host, r.path].append(r.p_document)
+    k = plain_strength([(np.mean(v), len(v), mean) for v in hosts.values()])
+    host_q = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    k = plain_strength([(np.mean(v), len(v), host_q[h]) for (h, _), v in paths.items()])
+    logit = lambda p: math.log(p / (1 - p))
+    for r in got:
+        v = paths[r.host, r.path]
+        path_q = (sum(v) - r.p_document + k * host_q[r.host]) / (len(v) - 1 + k)
+        odds = logit(r.p_document) - logit(mean) + logit(path_q)
+        assert r.host_quality == pytest.approx(host_q[r.host], rel=1e-9)
+        assert r.path_quality == pytest.approx(path_q, rel=1e-9)
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-9)
+    assert len(paths) > 2000
+    # Sparse sites stay nearer to the prior than their own mean; dense ones follow theirs.
+    sparse = [h for h, v in hosts.items() if len(v) <= 2 and abs(np.mean(v) - mean) > 0.2]
+    assert len(sparse) > 100
+    assert all(abs(host_q[h] - mean) < 0.8 * abs(np.mean(hosts[h]) - mean) for h in sparse)
+    assert abs(host_q["dense0"] - np.mean(hosts["dense0"])) < 0.05
+
+
+def test_a_labelled_id_counts_once(spark, make):
+    """However often a labelled document repeats, the classifier is the same."""
+    rows = [(i, "calm words in a line " * 3 if i % 2 else "BUY ! $ | BUY ! $", "en", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.fit(make(rows).select("doc_id", "text"), labels, "quality", 100)
+    often = quality.fit(make(rows + [rows[0]] * 300).select("doc_id", "text"), labels, "quality", 100)
+    assert np.allclose(once.coefficients.toArray(), often.coefficients.toArray())
+
+
 # ---- toxicity -----------------------------------------------------------------------
 
 def test_features_see_what_they_name():
