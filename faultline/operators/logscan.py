@@ -17,6 +17,7 @@ from .skew import salted_join
 
 BLOCK_LINES = 65_536
 
+# The fields of an analysis, in their order.
 RECORD = (
     "log_file", "suite", "test", "signature", "tool", "line_number", "error_level",
     "error_line", "pattern_pos", "num_lines_scanned", "error_keywords",
@@ -281,6 +282,7 @@ def analyze_logs(
             F.count(F.lit(1)).cast("int").alias("n_lines"),
             F.max("file_size").alias("file_size"),
         )
+        # Fixed values, here and below: what a log without an error is said to hold.
         cut = f"unknown, did not find error in first/last {ends_only} bytes"
         nothing = F.when(F.col("file_size") > ends_only, F.lit(cut)).otherwise(nothing)
     else:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .index import Index, tests_named
 from .skew import left_lookup
 
+# The fields of a test, a run and a search result, in their order.
 TEST_COLUMNS = (
     "test_object_run_id", "test_name", "block_name", "status", "arch", "conf", "test_group",
     "start_time", "end_time", "cpu_time", "num_error", "num_warning", "host", "random_seed",

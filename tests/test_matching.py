@@ -129,7 +129,7 @@ def test_any_min_score(spark, min_score, search, k):
     got = M.match_issues(e, i, min_score=min_score, max_results=k, search=search).collect()
     want = plain_matches(errors, issues, k, search, min_score)
     assert {(r.id, r["rank"], r.issue_key, round(r.similarity_score, 9)) for r in got} == want
-    if not search:
+    if not search and min_score < 0.19:
         assert any(not r.matching_keywords for r in got) and any(r.id == "nokeys" for r in got)
 
 
