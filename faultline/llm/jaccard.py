@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.skew import salted_join
 from ..operators.stage import staged
 from .common import HashFilter, documents, plain, row_key, small_batches, without
 from .components import components
@@ -224,7 +225,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Returns doc_id, n_shingles, component_id and _key (its ``row_key``) per document.
+    """Returns doc_id, n_shingles, component_id, _key (its ``row_key``) and _root (the same
+    for all documents of a component, null without shingles) per document.
 
     A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased, split
     at ASCII white space); with fewer words the whole sequence is one shingle. Documents
@@ -254,7 +256,7 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
 
     first = HashFilter(members.select("cid").distinct().join(classes, "cid").select(F.xxhash64("first")))
     sets = staged(first.keep(texts, F.xxhash64("doc_id")).select("text")
-                  .mapInArrow(whole_sets(width), "cid bigint, items binary"))
+                  .mapInArrow(whole_sets(width), "cid bigint, items binary").dropDuplicates(["cid"]))
 
     links = verified(staged(stars(members)), sets, num, den)
     comps = components(links)
@@ -265,26 +267,34 @@ def link_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     named = classes.join(comps, classes["cid"] == comps["node"], "left").select(
         "cid", "first", F.coalesce("root", "cid").alias("root"))
     least = staged(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    by_class = staged(named.join(least, "root").select("cid", "component_id"))
+    by_class = staged(named.join(least, "root").select("cid", "component_id", "root"))
     out = rows.select("doc_id", "n", "_key", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(by_class, "cid", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "_key")
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "_key",
+        F.col("root").alias("_root"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document of the smallest doc_id of each component, with all its columns.
+    """One document of each component, with all its columns: that of the smallest doc_id, a
+    missing id last; of several rows with that id the one of the smallest ``row_key``.
 
-    Of rows that repeat a doc_id and a text one stays. Documents without shingles stay,
-    and so does a document without an id if no linked one has an id, once per text.
-    Columns that begin with an underscore are dropped.
+    Of rows that are equal in doc_id, lang and text one stays. Documents without shingles
+    all stay. Columns that begin with an underscore are dropped.
     """
     docs = plain(docs)
-    linked = link_components(docs, width, num, den)
-    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = staged(link_components(docs, width, num, den).where(F.col("_root").isNotNull()).select(
+        "_root", "_key", "doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    stays = linked.groupBy("_root").agg(F.min(order).alias("s")).select("_root", F.col("s._key").alias("_stays"))
+    # A component may hold a third of all rows; the side of those that stay has one row of each.
+    gone = salted_join(linked, staged(stays), ["_root"], F.col("_key")).where("_key <> _stays")
     left = without(docs, gone)
-    repeated = HashFilter(linked.where("n_shingles > 0").groupBy("_key").count().where("count > 1").select("_key"))
-    single = repeated.keep(left, row_key()).withColumn("_key", row_key()).dropDuplicates(["_key"])
+    repeated = HashFilter(linked.groupBy("_key").count().where("count > 1").select("_key"))
+    single = repeated.keep(left, row_key()).withColumn("_key", row_key())
+    with_words = linked.select("_key").distinct()
+    single = single.join(with_words, "_key", "left_semi").dropDuplicates(["_key"]).union(
+        single.join(with_words, "_key", "left_anti"))
     return repeated.rest(left, row_key()).union(single.select(left.columns))
 
 
@@ -336,7 +346,7 @@ def between(members: DataFrame, comps: DataFrame, rows: DataFrame, num: int, den
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(documents(spark, sf_dir)).drop("_key")
+    return link_components(documents(spark, sf_dir)).drop("_key", "_root")
 
 
 SQL = r"""

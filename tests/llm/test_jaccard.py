@@ -148,3 +148,18 @@ def test_pipeline_on_odd_documents(spark, odd, empty):
             docs = stage(spark, docs, "")
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_one_document_stays_whatever_its_id(make):
+    text = " ".join(f"word{i}" for i in range(60))
+    near = text + " more"
+    rows = [(5, text, "en", "s"), (5, text, "de", "s"), (5, near, "en", "s"), (9, text, "en", "s"),
+            (None, "other " + near[6:], None, "s"), (1, "a b c", "en", "s"), (2, None, "en", "s"), (2, None, "en", "s"),
+            (3, "", "en", "s"), (3, "", "en", "s")]
+    alone = [(None, text.upper().replace("WORD", "term"), "en", "s"), (None, text.replace("word", "term") + " x", "en", "s")]
+    kept = jaccard.one_of_each(make(rows + alone)).collect()
+    assert [r.doc_id for r in kept].count(5) == 1 and 9 not in [r.doc_id for r in kept]
+    assert sum(r.doc_id is None for r in kept) == 1  # of the group without ids; the other group has one
+    assert sorted(r.doc_id for r in kept if r.doc_id in (1, 2, 3)) == [1, 2, 2, 3, 3]
+    again = jaccard.one_of_each(make(list(reversed(rows + alone)))).collect()
+    assert sorted(map(repr, kept)) == sorted(map(repr, again))
