@@ -117,11 +117,11 @@ class WordIds:
         if None in found:
             new = self.learn({w for w, f in zip(batch.words, found) if f is None})
             found = [f if f is not None else new[w] for w, f in zip(batch.words, found)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
         size = sizes[batch.code]
-        ends = np.cumsum(size)
-        shift = (np.cumsum(sizes) - sizes)[batch.code] - (ends - size)
+        ends = np.cumsum(size, dtype=np.int64)
+        shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[batch.code] - (ends - size)
         ids = pool[np.repeat(shift, size) + np.arange(ends[-1] if len(ends) else 0)]
         last = np.searchsorted(batch.text, np.arange(n), side="right")
         return ids.tobytes(), (4 * np.append(0, ends)[last]).tolist()

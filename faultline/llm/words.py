@@ -35,6 +35,15 @@ def lower_bytes() -> np.ndarray:
     return table
 
 
+def list_of_bytes(array: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without gaps; much faster than ``to_pylist``."""
+    if not len(array):
+        return []
+    ends = np.frombuffer(array.buffers()[1], np.int64)[array.offset:array.offset + len(array) + 1].tolist()
+    data = array.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class WordBatch:
     """The words of some texts in turn: number in ``words``, text and piece of each.
 
@@ -42,34 +51,30 @@ class WordBatch:
     """
 
     def __init__(self, texts: list[bytes], kinds: np.ndarray, lower: np.ndarray | None = None):
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        firsts = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        kind = kinds[data]
-        inside = kind == WORD
-        begins = np.zeros(len(data), bool)
-        begins[firsts[sizes > 0]] = True
-        new = inside.copy()
-        new[1:] &= ~inside[:-1] | begins[1:]
-        at = np.flatnonzero(new)
-        held = np.cumsum(inside, dtype=np.int64)
-        places = np.append(held[at] - 1, held[-1] if len(held) else 0)
-        self.data, self.places, self.firsts, self.sizes = data, places, firsts, sizes
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        #: Where each text begins; line feeds, which no word holds, part them.
+        self.firsts = 1 + np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        self.data = np.frombuffer(b"".join([b"\n", b"\n".join(texts), b"\n"]), np.uint8)
+        self.kind = kinds[self.data]
+        inside = self.kind == WORD
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        #: Where words begin, and their bytes.
+        self.at, self.lengths = edges[::2], edges[1::2] - edges[::2]
+        places = np.concatenate([[0], np.cumsum(self.lengths)])
+        held = self.data[inside]
         flat = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(at),
-            [None, pa.py_buffer(places), pa.py_buffer(data[inside] if lower is None else lower[data[inside]])])
+            pa.large_binary(), len(self.at),
+            [None, pa.py_buffer(places), pa.py_buffer(held if lower is None else lower[held])])
         found = flat.dictionary_encode()
         #: Distinct words, as bytes.
-        self.words: list[bytes] = found.dictionary.to_pylist()
+        self.words = list_of_bytes(found.dictionary)
         self.code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # A text without bytes has no word, so the last text that begins here holds it.
-        self.text = np.searchsorted(firsts, at, side="right") - 1
-        self._marks, self._at = (kind, begins), at
+        self.text = np.searchsorted(self.firsts, self.at, side="right") - 1
 
     @property
     def piece(self) -> np.ndarray:
-        kind, begins = self._marks
-        return np.cumsum((kind == STOP) | begins)[self._at]
+        """A number that two words share if they are of one text with no stop between them."""
+        return np.cumsum(self.kind == STOP)[self.at] + self.text
 
     def count(self, bytes_hit: np.ndarray) -> np.ndarray:
         """How many of some bytes, few as a rule, each text has."""
@@ -78,7 +83,7 @@ class WordBatch:
 
     def word_bytes(self) -> np.ndarray:
         """Bytes of each text that belong to words."""
-        return np.bincount(self.text, np.diff(self.places), len(self.sizes)).astype(np.int64)
+        return np.bincount(self.text, self.lengths, len(self.sizes)).astype(np.int64)
 
 
 def spans(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
