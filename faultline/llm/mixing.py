@@ -69,7 +69,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, key: str
     ``shuffle_key``; input columns of these names, or that begin with an underscore, are
     dropped.
 
-    Rows that repeat a doc_id get equal counts. A missing doc_id is seeded by the text. A
+    Rows that repeat a doc_id get equal counts and equal keys; their order among each other
+    is that of their languages, sources and texts. A missing doc_id is seeded by the text. A
     missing source counts as one source. Empty and missing texts are documents like any
     other. An empty table gives an empty table.
     """
@@ -105,7 +106,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, key: str
         .drop("_cdf", "_parts", "_count")
         .withColumn("shuffle_key", order)
         .repartition("shuffle_key")
-        .sortWithinPartitions("shuffle_key")
+        .sortWithinPartitions("shuffle_key", *[c for c in ("lang", "source", "text") if c in docs.columns])
     )
 
 
