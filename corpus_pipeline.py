@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all documents that the one before it kept."""
+"""The corpus pipeline: each stage works on all documents that the one before it kept.
+
+Every stage takes documents with any columns beside COLUMNS, which are dropped, and an empty
+table, which stays empty. All but the last return COLUMNS.
+"""
 
 from __future__ import annotations
 
@@ -11,29 +15,43 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or leave their language's perplexity band go."""
+    """Documents that fail the base rules or leave their language's perplexity band go.
+
+    A missing or empty text has too few words and goes; a missing language is one of its own.
+    Rows that repeat are judged each, and alike.
+    """
     return perplexity.filter_documents(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; documents stay."""
+    """Lines of recurring templates go; documents stay, even with nothing left.
+
+    n_chars is counted anew where a line went. A missing text stays missing.
+    """
     cut = templates.drop_recurring_lines(docs.select(*COLUMNS))
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard 0.8.
+
+    It is the one of the smallest doc_id, a missing id last. Texts without words all stay.
+    """
     return jaccard.one_of_each(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal shares of all sources, by Poisson replication in a global shuffle."""
+    """Equal shares of all sources, by Poisson replication in a global shuffle.
+
+    Rows of a document repeat, or are none. A missing source is one of its own; a missing
+    doc_id is drawn by its text.
+    """
     return mixing.replicate(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048."""
+    """Token pieces in sequences of 2048; a missing or empty text is one end token."""
     import public_tokenizers
 
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
