@@ -497,7 +497,11 @@ def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame
     base = base.mapInArrow(gained, MEASURED.replace("packed binary", "context double"))
     columns = [c.split()[0] for c in MEASURED.replace("packed", "context").split(", ") if not c.startswith("lost")]
     if shipping:
-        return staged(base.withColumn("context", F.col("context") - F.col("lost")).select(columns))
+        done = staged(base.withColumn("context", F.col("context") - F.col("lost")).select(columns))
+        for model_ in (shipped, found):  # what reads them is written down
+            model_.destroy()
+        pa.default_memory_pool().release_unused()
+        return done
     # A larger model scores words by a join, and documents by a join with their words.
     words = rows.dropDuplicates(["_key"]).select("_key", "lang", "text").mapInArrow(
         _words_by_row, "_key bigint, lang string, word string, n bigint, again bigint")

@@ -140,7 +140,8 @@ def recurring_lines(found: DataFrame, alike: DataFrame, min_documents: int) -> t
     )
     recurring = staged(recurring)
     kept = F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(False))
-    return (members.join(recurring, "_leaf").where(~kept).select("doc_id", "_doc", "line_no"),
+    # Written down by round, so that no plan, and no driver, holds the lookups of all rounds at once.
+    return (staged(members.join(recurring, "_leaf").where(~kept).select("doc_id", "_doc", "line_no")),
             staged(alike.join(recurring, "_leaf", "left_semi").select("_leaf", "_line")))
 
 
