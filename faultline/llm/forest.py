@@ -73,15 +73,15 @@ class Forest:
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
         least = max(4 * k, int(np.ceil(SHARE * len(self.ids))))
-        rough = q @ self.x.T
         norms = np.sqrt((self.x**2).sum(axis=1).max() * (q**2).sum(axis=1))
         found = []
         for i, mask in enumerate(self.candidates(q, least)):
             mask &= self.ids != query_ids[i]
             at = np.flatnonzero(mask)
             if len(at) > k:  # all that may be among the k best once summed exactly
-                worst = np.partition(rough[i, at], len(at) - k)[len(at) - k]
-                at = at[rough[i, at] >= worst - ROUNDING * norms[i]]
+                rough = self.x[at] @ q[i]
+                worst = np.partition(rough, len(at) - k)[len(at) - k]
+                at = at[rough >= worst - ROUNDING * norms[i]]
             score = (self.x[at] * q[i]).sum(axis=1)  # one order of summing for equal vectors
             best = np.lexsort((self.ids[at], -score))[:k]
             found.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": self.ids[at][best], "score": score[best]}))
@@ -100,14 +100,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     Returns query_id, rank (from 1), vec_id, score: nearest first, ties to the smaller
     vec_id. The score is the inner product in double precision of the original vectors.
 
-    Rows are dealt into blocks by the hash of their id; in each block a forest is built
+    Rows are dealt into blocks by the hash of their id and vector; in each block a forest is built
     once and every query meets every block: it descends to the longest prefix match of
     each tree and ascends in all trees at once until it has seen SHARE of the block. What
     it has seen is scored exactly; the best of all blocks are merged.
 
     Vectors that are null, zero, or hold a null or a non-finite component take no part,
     nor do rows without an id. Only vectors of equal length are compared. Rows that repeat
-    an id and vector count once; a query never finds its own id. A query with fewer than
+    an id and vector count once. An id with several vectors is found by the best of them and,
+    as a query, asks with each: a vec_id may then come twice, with different scores. A query
+    never finds its own id. A query with fewer than
     ``k`` candidates gets all of them. An empty table gives an empty table.
     """
     v = F.col(vector_col).cast("array<double>")
@@ -119,7 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     )
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     blocks, chunks = max(1, -(-n // block)), max(1, -(-asked // QUERIES))
-    part = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+    part = lambda m, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(m)).cast("int")
     index = rows.select(F.size("v").alias("dim"), part(blocks, 1).alias("block"), "vec_id", "v")
     queries = rows.where("q").select(
         F.size("v").alias("dim"), part(chunks, 2).alias("chunk"), "vec_id", "v",

@@ -64,3 +64,28 @@ def test_prefix_ranges():
             for q in range(3):
                 same = (strings[t] >> np.uint64(forest.BITS - depth)) == (strings[t, q] >> np.uint64(forest.BITS - depth))
                 assert set(f.order[t, lo[t, q]:hi[t, q]]) == set(np.flatnonzero(same))
+
+
+def test_recall_of_a_full_block():
+    x = np.random.default_rng(8).standard_normal((forest.BLOCK, 64))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    f, asked = forest.Forest(np.arange(len(x)), x), np.arange(0, len(x), 400)
+    got = f.search(asked, x[asked], 20)
+    hits = 0
+    for i in asked:
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20]) & set(got.vec_id[got.query_id == i]))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
+def test_an_id_with_many_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(7 if i % 3 else i, rng.standard_normal(4).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.nearest(df, F.col("vec_id").isin(7, 3), k=5, block=40).collect()
+    want = []
+    for q in (3, 7):
+        pairs = {(-float((np.array(v) * np.array(w)).sum()), j) for i, v in rows if i == q for j, w in rows if j != q}
+        want += [(q, r, j) for r, (_, j) in enumerate(sorted(pairs)[:5], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
