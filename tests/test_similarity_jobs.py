@@ -167,3 +167,21 @@ def test_search_reads_few_lists(spark):
         tfidf.met = met
     assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == ["d007", "d047", "d087"]
     assert lists[1] and "often" not in lists[1]
+
+
+def test_rare_terms_are_not_repeated(spark, monkeypatch):
+    """Frequencies are repeated for frequent terms only; one row a term, whatever the number of tasks."""
+    from faultline.operators import tfidf
+
+    repeated, join = [], tfidf.salted_join
+
+    def recorded(many, few, on, salt, **how):
+        out = join(many, few, on, salt, **how)
+        repeated.append("sequence(0, 15" in out._jdf.queryExecution().analyzed().toString() or "salts" in how)
+        return out
+
+    monkeypatch.setattr(tfidf, "salted_join", recorded)
+    docs = spark.createDataFrame([("a", "red disk failed"), ("b", "red disk was slow"), ("c", "blue")], "id STRING, text STRING")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "left_id STRING, right_id STRING")
+    got = {(r.left_id, r.right_id): r.cosine for r in tfidf.tfidf_cosine(docs, pairs, max_share=1.0).collect()}
+    assert repeated == [False] and 0 < got["a", "b"] < 1 and got["a", "c"] == 0
