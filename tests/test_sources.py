@@ -187,3 +187,15 @@ def test_ends_read_no_middle(spark, tmp_path):
     file = Counted(8 << 40)
     rows = list(LogEndsReader({"path": "x", "ends": "80"}).ranged("x", file))
     assert file.read < 4 << 20 and len(rows) == 11 + 10 and rows[-1][1] == (8 << 40) - 8
+
+
+def test_derived_lookups_do_not_shuffle_the_facts(spark):
+    """Status and architecture come from the table of facts; their few values would make a few tasks."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")  # below the size of the orders
+    try:
+        plan = W.test_details(Inputs(spark, "/root/testdata/sf0.001").warehouse)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for ref in ("test_status_ref", "arch_ref", "conf_ref", "test_group_ref", "block_ref"):
+        assert f"BroadcastHashJoin [{ref}" in plan and f"hashpartitioning({ref}" not in plan
