@@ -146,6 +146,27 @@ def test_search_by_cosine(spark, k, cell_rows):
     assert got == want and any(q == "copy" for q, *_ in want)
 
 
+@pytest.mark.parametrize("k, weights", [(1, 50), (5, 300), (5, 200_000), (1000, 100)])
+def test_search_by_cosine_in_blocks(spark, monkeypatch, k, weights):
+    """Frequent terms are in nearly all lists: pairs are never rows, and the best are the same."""
+    from faultline.operators import cosineblocks
+
+    monkeypatch.setattr(tfidf, "LIST_POSTINGS", 0)
+    monkeypatch.setattr(cosineblocks, "LEAST_WEIGHTS", weights)
+    monkeypatch.setattr(tfidf, "met", None)  # pairs by list
+    rnd = random.Random(5)
+    word = lambda: f"t{int(rnd.expovariate(0.08))}"
+    docs = {f"d{i:03d}": " ".join(["common"] * (i % 8 > 0) + [word() for _ in range(rnd.randrange(0, 25))])
+            for i in range(150)}
+    docs |= {f"c{i}": docs["d007"] for i in range(12)} | {"none": None, "blank": ""}
+    queries = {f"q{i}": " ".join(word() for _ in range(rnd.randrange(1, 9))) for i in range(30)}
+    queries |= {"same": docs["d007"], "copy": docs["d007"], "other": "nothing known", "empty": "", "null": None}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id STRING, text STRING")
+    got = tfidf.tfidf_search(frame(queries), frame(docs), k).collect()
+    got = {(r.query_id, r["rank"], r.id, r.cosine) for r in got}
+    assert got == plain_search(queries, docs, k)
+
+
 def test_search_reads_few_lists(spark):
     """Once the best are known, lists of frequent terms are left out."""
     docs = spark.range(400).select(
