@@ -80,3 +80,39 @@ def test_only_the_best_are_scored(spark, monkeypatch, search):
     found = M.rank_matches(M.error_queries(errors), issues, 0.05, 2, search=search).orderBy("rank").collect()
     assert len(found) == 2 and {r.issue_key for r in found} <= {f"I-00{i}" for i in range(5)}
     assert written[0] < 40
+
+
+def test_frequent_words_start_no_pairs(monkeypatch):
+    """What is read grows with the rare words of the queries, not with all profiles."""
+    import pyarrow as pa
+
+    from faultline.operators import blockmatch
+
+    n, common = 4000, [1, 2, 3]
+    kinds = [("asks", pa.bool_()), ("id", pa.string()), ("words", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())),
+             ("wanted", pa.int32()), ("settled", pa.bool_()), ("head", pa.string()), ("block", pa.int32())]
+    batch = lambda rows: pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[name for name, _ in kinds])
+    profiles = [(False, f"p{i}", [*common, *range(100 + 17 * i, 117 + 17 * i)], None, None, True, "x" * 50, 0) for i in range(n)]
+    asked = [(True, f"q{i}", [*common, *range(100 + 17 * i, 107 + 17 * i)], None, 10, False, "x" * 50, 0) for i in range(0, n, 40)]
+    read, places = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda a: read.append(len(a)) or places(a))
+    found = list(blockmatch._pairs_of_blocks(0.3)([batch(profiles), batch(asked)]))
+    pairs = {(q, p) for b in found for q, p in zip(b.column("query").to_pylist(), b.column("profile").to_pylist())}
+    assert pairs == {(f"q{i}", f"p{i}") for i in range(0, n, 40)}
+    assert max(read) < 2 * n  # of n * len(asked) pairs
+
+
+def test_only_the_best_of_all_blocks_are_joined(spark, monkeypatch):
+    from faultline.operators import blockmatch
+
+    monkeypatch.setattr(blockmatch, "LEAST_ROWS", 1)
+    profiles = spark.createDataFrame(
+        [(f"p{i:02d}", ["a", "b", *[f"w{i}_{k}" for k in range(i // 2)]], True, "") for i in range(60)],
+        "profile string, words array<string>, settled boolean, head string")
+    queries = spark.createDataFrame(
+        [("q", "s", ["a", "b"], None, 3), ("all", "s", ["a", "b"], None, None), ("late", "s", ["b", "a"], ["w1_0"], 3)],
+        "query string, signature string, error_keywords array<string>, first array<string>, wanted int")
+    got = M._candidates(queries, profiles, 0.2, None).groupBy("query").count().collect()
+    # Profiles score alike two by two; two pairs beat no third, and no sure one beats those of "late".
+    assert {r["query"]: r["count"] for r in got} == {"q": 4, "all": 8, "late": 8}
