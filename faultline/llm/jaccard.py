@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.skew import salted_join
 from ..operators.stage import staged
-from .common import HashFilter, documents, plain, row_key, small_batches, without
+from .common import HashFilter, documents, no_worker_state, plain, row_key, small_batches, without
 from .components import components
 
 #: Chance that a link at the very threshold shares no bucket; links above share more.
@@ -84,6 +84,7 @@ def sketch(width: int, bands: int):
     """For mapInArrow: (doc_id, text) to a row per document without its shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_worker_state()
         for batch in batches:
             sets = [shingles(t or b"", width) for t in batch.column(1).to_pylist()]
             keys = [bucket_keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.stage import staged
-from .common import documents, row_key, without, worker_state
+from .common import documents, no_worker_state, row_key, without, worker_state
 from .words import WordBatch, byte_batches, byte_kinds, spans
 
 ORDER = 5
@@ -421,6 +421,7 @@ def contexts_of(rows: DataFrame) -> Contexts:
     """Counted by the executors over all texts as classes (lang, packed)."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_worker_state()  # words have been scored
         for batch in batches:
             for lang, _, run in running_by_lang(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 code, n = np.unique(run.trigrams, return_counts=True)
@@ -485,6 +486,7 @@ def measured(docs: DataFrame, shipped_ngrams: int = SHIPPED_NGRAMS) -> DataFrame
     found = context.broadcast(contexts_of(base.select("lang", "packed")).__dict__)
 
     def gained(batches):
+        no_worker_state()
         contexts = Contexts(**found.value)
         for batch in batches:
             langs, packed = (batch.column(batch.schema.get_field_index(c)) for c in ("lang", "packed"))

@@ -163,3 +163,20 @@ def test_one_document_stays_whatever_its_id(make):
     assert sorted(r.doc_id for r in kept if r.doc_id in (1, 2, 3)) == [1, 2, 2, 3, 3]
     again = jaccard.one_of_each(make(list(reversed(rows + alone)))).collect()
     assert sorted(map(repr, kept)) == sorted(map(repr, again))
+
+
+def test_workers_keep_the_state_of_one_operator():
+    """What a Python worker remembers of scored words makes room for the operators that follow."""
+    import pyarrow as pa
+
+    from faultline.llm.common import worker_state
+
+    worker_state("word_facts")["job"] = "facts"
+    assert worker_state("word_facts") == {"job": "facts"}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([b"a few words"]), pa.array([7])], names=["doc_id", "text", "_key"])
+    assert sum(b.num_rows for b in jaccard.sketch(2, 3)([batch])) == 1
+    assert worker_state("word_facts") == {}
+    worker_state("word_facts")["job"] = "facts"
+    worker_state("word_ids")
+    assert worker_state("word_facts") == {}
