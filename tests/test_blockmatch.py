@@ -116,3 +116,41 @@ def test_only_the_best_of_all_blocks_are_joined(spark, monkeypatch):
     got = M._candidates(queries, profiles, 0.2, None).groupBy("query").count().collect()
     # Profiles score alike two by two; two pairs beat no third, and no sure one beats those of "late".
     assert {r["query"]: r["count"] for r in got} == {"q": 4, "all": 8, "late": 8}
+
+
+def test_letters_in_order_spare_the_edit_measure(monkeypatch):
+    """Texts of the same letters in another order are hardly ever compared letter by letter."""
+    import pyarrow as pa
+
+    from faultline.operators import blockmatch
+
+    rnd = random.Random(5)
+    parts = ["the", "on", "re", "an", "ti", "sh", "ing", "é", "7", "zz"]
+    text = lambda n: " ".join("".join(rnd.choices(parts, k=rnd.randrange(1, 4))) for _ in range(n))
+    heads = [text(rnd.choice([3, 30, 30, 40]))[:200] for _ in range(300)] + ["e" * 200, "e" * 90 + "t" * 90]
+    signatures = heads[:8] + [heads[9][:100] + text(30)[:80], "e" * 150, "é", ""]
+    kinds = [("asks", pa.bool_()), ("id", pa.string()), ("words", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())),
+             ("wanted", pa.int32()), ("settled", pa.bool_()), ("head", pa.string()), ("block", pa.int32())]
+    batch = lambda rows: pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[name for name, _ in kinds])
+    words = lambda i: [1, 2, 3, *range(10 * i, 10 * i + 5)]
+    profiles = [(False, f"{i}", words(i + 100), None, None, i % 2 == 0, h, 0) for i, h in enumerate(heads)]
+    asked = [(True, f"{i}", [1] if i > 8 else [7], None, None, False, s, 0) for i, s in enumerate(signatures)]
+    level, compared, made = 0.17, [], S.common_lengths
+
+    def watched():
+        measure = made()
+        return lambda a, b, ai, bi: compared.append(len(ai)) or measure(a, b, ai, bi)
+
+    monkeypatch.setattr(S, "common_lengths", watched)
+    found = list(blockmatch._pairs_of_blocks(level)([batch(profiles), batch(asked)]))
+    got = {(int(q), int(p)): e for b in found for q, p, e in zip(*[b.column(c).to_pylist() for c in ("query", "profile", "edit_score")])}
+    want = {}
+    for q, (_, _, mine, *_, text_) in enumerate((*a[:6], a[6]) for a in asked):
+        for p, (_, _, theirs, _, _, settled, head, _) in enumerate(profiles):
+            edit = 2.0 * plain_common(text_, head) / (len(text_) + len(head)) if text_ and head else 0.0
+            score = len({*mine} & {*theirs}) / len({*mine} | {*theirs}) * 0.5 + edit * 0.2
+            if (score * 1.1 if settled else score) >= level:
+                want[q, p] = pytest.approx(edit)
+    assert got == want and want
+    assert sum(compared) < 2 * len(want) + 100  # of 3,624 pairs
