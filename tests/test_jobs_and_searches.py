@@ -192,3 +192,61 @@ def test_entry_without_a_library_of_the_corpus_part():
         "assert any('corpus' in str(w.message) for w in seen)\n")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def _moves_of_lines(df):
+    """The exchanges by hash in the plan of a table."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_numbering_moves_rows_once(spark):
+    from faultline.operators.skew import number_rows
+
+    rows = [("a", 1, 2, "x"), ("a", 1, 1, "y"), ("a", None, 1, "z"), (None, 1, 1, "u"), (None, 1, 2, "v"), ("b", 3, 1, "w")]
+    df = spark.createDataFrame(rows, "log string, day int, place int, text string")
+    got = {r.text: r.n for r in number_rows(df, "log", ["place"], "day", "n").collect()}
+    assert got == {"z": 1, "y": 2, "x": 3, "u": 1, "v": 2, "w": 1}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = number_rows(df, "log", ["place"], "day", "n")
+        # counts per slice, their order per key, the shifts and the rows themselves
+        assert len(_moves_of_lines(plan)) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_staging_leaves_no_shuffles(spark):
+    from faultline.operators import stage
+
+    before = spark.conf.get(stage.SHUFFLES_REMOVED, None)
+    table = stage.staged(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    assert table.count() == 7 and spark.conf.get(stage.SHUFFLES_REMOVED, None) == before
+    seen = []
+    with stage._shuffles_removed(spark):
+        seen.append(spark.conf.get(stage.SHUFFLES_REMOVED))
+    assert seen == ["true"]
+    stage.drop(table)
+    assert not os.path.exists(table._staged_at.removeprefix("file:"))
+
+
+def test_log_report_moves_tests_once(spark, monkeypatch):
+    """Analysis and tail of a log meet before the tests do, so tests are joined to logs once."""
+    from faultline.operators import warehouse
+
+    lines = spark.createDataFrame(
+        [("a", 1, "ERROR: one"), ("a", 2, "info two"), ("b", 1, "info x")], "log_file string, line_no int, line string")
+    tests = spark.createDataFrame(
+        [(1, i, f"t{i}", "blk", None if i == 3 else i, f) for i, f in enumerate(["a", "a", "b", None, "gone"])],
+        "regression_run_id int, test_object_run_id int, test_name string, block_name string, failed_job_run_ref int, log_file string")
+    monkeypatch.setattr(warehouse, "test_details", lambda wh, **which: tests.withColumn("more", F.lit("x" * 50)))
+    monkeypatch.setattr(warehouse, "with_log_path", lambda wh, t: t.join(tests.select("test_object_run_id", "log_file"), "test_object_run_id"))
+    joins, salted = [], triage.salted_join
+    monkeypatch.setattr(triage, "salted_join", lambda many, few, *a, **k: joins.append((set(many.columns), set(few.columns))) or salted(many, few, *a, **k))
+    got = {r.test_object_run_id: (r.error, r.log_tail, r.analysis and r.analysis.signature) for r in triage.test_log_report(None, lines).collect()}
+    assert got == {0: (None, "ERROR: one\ninfo two", "ERROR: one"), 1: (None, "ERROR: one\ninfo two", "ERROR: one"),
+                   2: (None, "info x", "unknown"), 3: ("Log file path not found in database", None, None),
+                   4: ("Log file not accessible", None, None)}
+    [(many, few)] = joins
+    assert "log_tail" in few and "more" not in many and "error" not in many
