@@ -206,3 +206,26 @@ def test_rare_terms_are_not_repeated(spark, monkeypatch):
     pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "left_id STRING, right_id STRING")
     got = {(r.left_id, r.right_id): r.cosine for r in tfidf.tfidf_cosine(docs, pairs, max_share=1.0).collect()}
     assert repeated == [False] and 0 < got["a", "b"] < 1 and got["a", "c"] == 0
+
+
+def test_terms_and_blocks_take_turns(spark, monkeypatch):
+    """Parts of the terms and rounds of blocks give what one part and one round give."""
+    from faultline.operators import cosineblocks
+
+    rnd = random.Random(11)
+    text = lambda: " ".join(rnd.choices(["red", "disk", "failed", "slow", "blue", "node", "link", "down"], k=rnd.randrange(0, 9)))
+    docs = spark.createDataFrame([(f"d{i:02d}", text()) for i in range(40)] + [("none", None)], "id STRING, text STRING")
+    pairs = spark.createDataFrame([(f"d{i:02d}", f"d{i // 2:02d}") for i in range(40)] + [("d01", "gone")], "left_id STRING, right_id STRING")
+
+    def both():
+        found = tfidf.tfidf_cosine(docs, pairs, max_share=1.0).collect(), tfidf.tfidf_search(docs.limit(6), docs, 3).collect()
+        return [{tuple(r)[:-1]: round(r.cosine, 8) for r in rows} for rows in found]
+
+    monkeypatch.setattr(tfidf, "LIST_POSTINGS", 0)
+    monkeypatch.setattr(cosineblocks, "BLOCK_DOCS", 12)
+    want, rounds, search = both(), [], tfidf.best_of_blocks
+    monkeypatch.setattr(tfidf, "PART_CHARS", 500)
+    monkeypatch.setattr(tfidf, "blocks_at_once", lambda n_asked: 2)
+    monkeypatch.setattr(tfidf, "best_of_blocks", lambda *a: rounds.append(a[5:]) or search(*a))
+    assert both() == want and want[0] and want[1]
+    assert rounds[0] == (0, 2) and rounds[1][0] == 2
